@@ -1,0 +1,31 @@
+"""Translate document corpora and score translations with Spark."""
+
+from .operators.translators import (
+    GlossaryTranslator,
+    MemoryTranslator,
+    ModelTranslator,
+    build_glossary,
+    build_memory,
+)
+from .plans.benchmark import run_benchmark
+from .plans.evaluate import Evaluation, choose_pairs, evaluate, proxy_pairs
+from .plans.translate import Options, make_briefs, translate_corpus, translate_paragraphs
+from .session import build_session
+
+__all__ = [
+    "Evaluation",
+    "GlossaryTranslator",
+    "MemoryTranslator",
+    "ModelTranslator",
+    "Options",
+    "build_glossary",
+    "build_memory",
+    "build_session",
+    "choose_pairs",
+    "evaluate",
+    "make_briefs",
+    "proxy_pairs",
+    "run_benchmark",
+    "translate_corpus",
+    "translate_paragraphs",
+]

@@ -28,12 +28,12 @@ def zip_segments(hyps: DataFrame, refs: DataFrame, pos: str = "pos") -> DataFram
 
 def length_report(hyps: DataFrame, refs: DataFrame) -> DataFrame:
     """Per system: how many segments a positional zip drops, and how serious that is."""
-    shared = refs.agg(F.count("*").alias("n_ref"))
     counts = hyps.groupBy("system").agg(F.count("*").alias("n_hyp"))
+    counts = counts.withColumn("n_ref", refs.agg(F.count("*")).scalar())
     h, r = F.col("n_hyp"), F.col("n_ref")
     longer, shorter = F.greatest(h, r), F.least(h, r)
     dropped = longer - shorter
-    return counts.join(shared).select(
+    return counts.select(
         "system",
         "n_hyp",
         "n_ref",

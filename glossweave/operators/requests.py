@@ -85,10 +85,13 @@ def translation_requests(
 
 
 def review_requests(responses: DataFrame, target: str) -> DataFrame:
-    """Review prompts over the draft replies of the translation step."""
+    """Review prompts over the draft replies of the translation step.
+
+    The draft moves to ``draft`` and ``draft_error``; a failed draft gets no prompt.
+    """
     prompt = _sections(
         f"Review this {target} translation.",
-        F.coalesce(F.col("raw"), F.lit("")),
+        F.coalesce("draft", F.lit("")),
         "Rules:\n"
         "- The meaning of every sentence must be kept.\n"
         f"- The {target} must read naturally, without grammar mistakes.\n"
@@ -97,7 +100,9 @@ def review_requests(responses: DataFrame, target: str) -> DataFrame:
         "- Return an accurate and fluent translation unchanged.\n"
         f"- Write the final {target} text only.",
     )
-    return responses.withColumns({"step": F.lit("review"), "prompt": prompt})
+    return responses.withColumnsRenamed({"raw": "draft", "error": "draft_error"}).withColumns(
+        {"step": F.lit("review"), "prompt": F.when(F.col("draft_error").isNull(), prompt)}
+    )
 
 
 def back_translation_requests(batches: DataFrame, spoken: str, original: str = "English") -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import is_blank, strip
+from ..session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -28,7 +29,8 @@ class ModelTranslator:
 
     ``workers`` spreads the requests over that many tasks; the result does not depend on
     it.  A call that raises is repeated prompt by prompt, so that one bad request costs
-    only its own batch.  ``pause`` seconds are kept between calls of one task.
+    only its own batch.  Requests without a prompt are not sent.  ``pause`` seconds are kept
+    between calls of one task.
     """
 
     fn: Callable[[list[str]], list[str]]
@@ -57,9 +59,11 @@ class ModelTranslator:
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                answers = []
-                for start in range(0, len(frame), step):
-                    answers += ask(frame["prompt"].iloc[start : start + step].tolist())
+                answers = pd.Series([(None, "no prompt")] * len(frame), index=frame.index, dtype=object)
+                prompts = frame["prompt"].dropna()
+                for start in range(0, len(prompts), step):
+                    part = prompts.iloc[start : start + step]
+                    answers[part.index] = ask(part.tolist())
                     if pause:
                         time.sleep(pause)
                 frame["raw"] = [a[0] for a in answers]
@@ -93,16 +97,27 @@ def memory_key(text: Column | str) -> Column:
     return F.lower(strip(text))
 
 
-def translate_by_memory(rows: DataFrame, memory: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``translated`` (null where the memory has no entry).
+def build_memory(pairs: DataFrame) -> DataFrame:
+    """A lookup table with one target per key (the smallest, for a stable result).
 
-    The memory holds one target per key (its smallest, for a stable result).  Only keys
-    occurring in it travel wide; a hot key on the text side is left to skew-join splitting.
+    It is checkpointed, so that later joins read it directly: a text that makes up much of
+    the corpus is then split by Spark's skew join, which does not look through an aggregate.
     """
-    entries = memory.groupBy(memory_key("source").alias("_key")).agg(F.min("target").alias("translated"))
+    entries = pairs.groupBy(memory_key("source").alias("key")).agg(F.min("target").alias("target"))
+    return cut_lineage(entries)
+
+
+def translate_by_memory(rows: DataFrame, memory: DataFrame, text: str = "text") -> DataFrame:
+    """Add ``translated``, null where the memory (see ``build_memory``) has no entry."""
+    entries = memory.select(F.col("key").alias("_key"), F.col("target").alias("translated"))
     return rows.withColumn("_key", memory_key(text)).join(entries, "_key", "left").drop("_key")
 
 
+def build_glossary(pairs: DataFrame) -> DataFrame:
+    """A glossary table with one target per word, checkpointed like a memory."""
+    return cut_lineage(pairs.groupBy("source").agg(F.min("target").alias("target")))
+
+
 def glossary_column(text: Column, pairs: dict[str, str]) -> Column:
     """Word-by-word replacement inside a projection, for a glossary known to be small."""
     if len(pairs) > 200:
@@ -115,12 +130,12 @@ def glossary_column(text: Column, pairs: dict[str, str]) -> Column:
 def translate_by_glossary(
     rows: DataFrame, glossary: DataFrame, keys: list[str], text: str = "text"
 ) -> DataFrame:
-    """Word-by-word replacement by a glossary table of any size.
+    """Word-by-word replacement by a glossary (see ``build_glossary``) of any size.
 
     Each distinct word of a text is looked up once; the answers come back as one small map
     per text.  Spark broadcasts the glossary only while it is under its own size limit.
     """
-    entries = glossary.groupBy(F.col("source").alias("_word")).agg(F.min("target").alias("_to"))
+    entries = glossary.select(F.col("source").alias("_word"), F.col("target").alias("_to"))
     words = rows.select(*keys, F.explode(F.array_distinct(F.split(text, " "))).alias("_word"))
     hits = (
         words.join(entries, "_word")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -24,10 +26,16 @@ def build_session(app: str = "glossweave", master: str | None = None, **conf) ->
 
 
 def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder named by the session (shared on a cluster)."""
+    """Reliable checkpoint in the shared folder that the session names.
+
+    Only a local session without that setting gets a folder of its own.
+    """
     spark = frame.sparkSession
     folder = spark.conf.get(CHECKPOINT_KEY, None)
     if folder is None:
-        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that every executor can reach")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that every executor can reach")
+        folder = tempfile.mkdtemp(prefix="glossweave-")
+        spark.conf.set(CHECKPOINT_KEY, folder)
     spark.sparkContext.setCheckpointDir(folder)
     return frame.checkpoint()
