@@ -55,24 +55,21 @@ def parse_items(raw: Column) -> Column:
     line, together with its continuation lines.
     """
     marked = F.array_join(F.transform(reply_lines(drop_lead_in(raw)), _mark), "")
-    pieces = F.split(marked, "\n")
-    after_preamble = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
-    return F.filter(after_preamble, lambda p: (p != "") & ~F.startswith(p, F.lit(" ")))
+    return F.filter(
+        F.split(marked, "\n"), lambda p, i: (i > 0) & (p != "") & ~F.startswith(p, F.lit(" "))
+    )
 
 
 def align_items(items: Column, parsed: Column) -> Column:
     """Give the k-th parsed text to the k-th non-blank input of a batch.
 
     Blank inputs pass through; inputs without a reply keep their own text and are
-    flagged; surplus replies are dropped.  Work is bounded by the batch size.
+    flagged; surplus replies are dropped.  The result is in the order of the batch.
     """
-    live = F.transform(F.filter(items, lambda i: ~is_blank(i["text"])), lambda i: i["pos"])
+    live = F.filter(items, lambda i: ~is_blank(i["text"]))
+    blank = F.filter(items, lambda i: is_blank(i["text"]))
 
-    def one(item: Column) -> Column:
-        reply = F.when(
-            ~is_blank(item["text"]),
-            F.get(parsed, F.array_position(live, item["pos"]).cast("int") - 1),
-        )
+    def row(item: Column, reply: Column) -> Column:
         return F.struct(
             item["pos"].alias("pos"),
             item["index"].alias("index"),
@@ -81,4 +78,7 @@ def align_items(items: Column, parsed: Column) -> Column:
             (~is_blank(item["text"]) & reply.isNull()).alias("is_fallback"),
         )
 
-    return F.transform(items, one)
+    # Zipping visits each side once; a lookup per item would parse the reply per item.
+    answered = F.zip_with(live, F.slice(parsed, 1, F.size(live)), row)
+    passed = F.transform(blank, lambda item: row(item, F.lit(None).cast("string")))
+    return F.array_sort(F.concat(answered, passed))

@@ -80,21 +80,15 @@ def _overlap(
         gram = F.col("gram")
         full = (gram != "") & (order_of(gram) == n)
         common = F.when(full, F.least("hyp", "ref")).otherwise(zero)
-        level = (
-            level.withColumn(f"_k{n}", common)
-            .withColumn("hyp", F.col("hyp") - F.col(f"_k{n}"))
-            .withColumn("ref", F.col("ref") - F.col(f"_k{n}"))
+        used_up = F.col("hyp") + F.col("ref") == common * 2
+        rest = F.when(used_up, F.lit("")).otherwise(prefix(gram, n - 1)) if n > 1 else F.lit("")
+        level = level.groupBy(*keys, rest.alias("gram")).agg(
+            F.sum(F.col("hyp") - common).alias("hyp"),
+            F.sum(F.col("ref") - common).alias("ref"),
+            F.sum(common).alias(f"_k{n}"),
+            *[F.sum(c).alias(c) for c in ("same", *found)],
         )
         found.append(f"_k{n}")
-        rest = F.when(F.col("hyp") + F.col("ref") == 0, F.lit("")).otherwise(
-            prefix(gram, n - 1) if n > 1 else F.lit("")
-        )
-        by = [*keys, "gram"] if n > 1 else keys
-        level = (
-            level.withColumn("gram", rest)
-            .groupBy(*by)
-            .agg(*[F.sum(c).alias(c) for c in ("hyp", "ref", "same", *found)])
-        )
     matched = _add(F.col(c) for c in found)
     return level.select(
         *keys,
