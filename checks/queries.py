@@ -387,9 +387,9 @@ def m5_glossary_table_run(spark, sf):
 
 
 def m7_parse_items(spark, sf):
-    return raw_replies(spark, sf).select(
-        "doc_id", F.posexplode(replies.parse_items(F.col("raw"))).alias("item_no", "text")
-    )
+    parsed = replies.parse_items(F.col("raw"))
+    rows = segmentation.explode_rows(raw_replies(spark, sf), ["doc_id"], parsed, "item_no", "text")
+    return rows.filter(F.col("text").isNotNull())
 
 
 def m8_table_translation(spark, sf):

@@ -25,8 +25,10 @@ def tokens_13a(c: Column) -> Column:
         plain = F.replace(plain, F.lit(old), F.lit(new))
     c = F.when(F.contains(c, F.lit("&")), plain).otherwise(c)
     c = F.concat(F.lit(" "), c, F.lit(" "))
-    for pattern, replacement in TOKENIZER_13A:
+    for pattern, replacement in TOKENIZER_13A[:-1]:
         c = F.regexp_replace(c, pattern, replacement)
+    pattern, replacement = TOKENIZER_13A[-1]
+    c = F.when(F.contains(c, F.lit("-")), F.regexp_replace(c, pattern, replacement)).otherwise(c)
     return squeeze_spaces(c)
 
 

@@ -26,10 +26,15 @@ def drop_lead_in(raw: Column) -> Column:
 
 
 def _keep_line(line: Column) -> Column:
-    lowered = F.lower(line)
-    noise = [F.contains(lowered, F.lit(k)) for k in METADATA_KEYWORDS]
-    noise += [F.startswith(line, F.lit(p)) for p in DROPPED_LINE_STARTS]
-    return (line != "") & ~reduce(lambda a, b: a | b, noise)
+    def any_of(tests: list[Column]) -> Column:
+        return reduce(lambda a, b: a | b, tests)
+
+    dropped = any_of([F.startswith(line, F.lit(p)) for p in DROPPED_LINE_STARTS])
+    # Every keyword holds "=", so most lines need no lower-casing.
+    metadata = F.contains(line, F.lit("=")) & any_of(
+        [F.contains(F.lower(line), F.lit(k)) for k in METADATA_KEYWORDS]
+    )
+    return (line != "") & ~dropped & ~metadata
 
 
 def reply_lines(text: Column) -> Column:

@@ -18,8 +18,8 @@ def strip(c: Column | str) -> Column:
 
 
 def is_blank(c: Column | str) -> Column:
-    """True for null, empty and whitespace-only text."""
-    return F.coalesce(strip(c), F.lit("")) == ""
+    """True for null, empty and whitespace-only text; stops at the first other character."""
+    return F.coalesce(F.ltrim(_col(c), F.lit(SPACE_CHARS)), F.lit("")) == ""
 
 
 def squeeze_spaces(c: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
-from .segmentation import paragraph_array
+from .segmentation import explode_rows, paragraph_array
 
 ITEM = "struct<pos:int,index:int,text:string>"
 
@@ -22,11 +22,12 @@ def batch_documents(docs: DataFrame, batch_size: int, text: str = "text") -> Dat
         lambda p, pos: F.struct(pos.alias("pos"), p["index"].alias("index"), p["text"].alias("text")),
     )
     n = F.size("_items")
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(batch_size)))
+    starts = F.sequence(F.lit(0), n - 1, F.lit(batch_size))
     return (
         docs.select(*others, paragraph_array(text).alias("_kept"))
         .select(*others, items.alias("_items"))
-        .select(*others, "_items", F.explode(starts).alias("_start"))
+        .filter(n > 0)
+        .select(*others, "_items", F.explode_outer(starts).alias("_start"))
         .select(
             *others,
             F.floor(F.col("_start") / batch_size).cast("int").alias("batch_id"),
@@ -68,4 +69,4 @@ def unbatch(aligned: DataFrame, keys: list[str], items: str = "aligned") -> Data
 
     Order is carried by ``index``; nothing has to be gathered in order before the sink.
     """
-    return aligned.select(*keys, F.explode(items).alias("_i")).select(*keys, "_i.*")
+    return explode_rows(aligned, keys, F.col(items), "_n", "_i").select(*keys, "_i.*")

@@ -19,6 +19,17 @@ def paragraph_array(text: Column | str) -> Column:
     return F.filter(every, lambda p: ~is_blank(p["text"]))
 
 
+def explode_rows(
+    rows: DataFrame, keep: list[str], array: Column, position: str, element: str
+) -> DataFrame:
+    """``posexplode`` that computes ``array`` once per row.
+
+    For a plain explode Spark adds the filter ``size(array) > 0`` below it, which repeats
+    the whole expression.  Rows with an empty array come out once, with null values.
+    """
+    return rows.select(*keep, F.posexplode_outer(array).alias(position, element))
+
+
 def segment_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per kept paragraph; no shuffle.
 
@@ -26,15 +37,17 @@ def segment_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     paragraphs.  All other columns of ``docs`` are carried along.
     """
     others = [c for c in docs.columns if c != text]
-    return docs.select(*others, F.posexplode(paragraph_array(text)).alias("pos", "p")).select(
-        *others, F.col("p.index").alias("index"), "pos", F.col("p.text").alias("text")
+    return (
+        explode_rows(docs, others, paragraph_array(text), "pos", "p")
+        .filter(F.col("p").isNotNull())
+        .select(*others, F.col("p.index").alias("index"), "pos", F.col("p.text").alias("text"))
     )
 
 
 def all_paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per paragraph of the original, blank ones included."""
     others = [c for c in docs.columns if c != text]
-    return docs.select(*others, F.posexplode(lines(text)).alias("index", "text"))
+    return explode_rows(docs, others, lines(text), "index", "text")
 
 
 def roll_up_runs(runs: DataFrame, keys: list[str]) -> DataFrame:

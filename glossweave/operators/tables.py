@@ -9,7 +9,7 @@ from .alignment import align_responses, lookup_cells, non_blank
 from .batching import batch_rows
 from .positions import dense_position, spread_join
 from .requests import translation_requests
-from .segmentation import table_shapes
+from .segmentation import explode_rows, table_shapes
 
 TABLE = ["doc_id", "table_index"]
 CELL = [*TABLE, "row_idx", "col_idx"]
@@ -34,7 +34,7 @@ def translate_cells(
     requests = translation_requests(batches, target, quality)
     replied = align_responses(translator.respond(requests, [*TABLE, "batch_id"]))
     # Aligned items keep the order of the batch, so coordinates come from the same place.
-    moved = replied.select(*TABLE, "items", F.posexplode("aligned").alias("_n", "a")).select(
+    moved = explode_rows(replied, [*TABLE, "items"], F.col("aligned"), "_n", "a").select(
         *TABLE,
         F.get("items", F.col("_n"))["row_idx"].alias("row_idx"),
         F.get("items", F.col("_n"))["col_idx"].alias("col_idx"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip, universal_lines
 from ..operators.positions import dense_position
+from ..operators.segmentation import explode_rows
 
 
 def reference_lines(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -15,7 +16,7 @@ def reference_lines(texts: DataFrame, keys: list[str], text: str = "text") -> Da
     Lines end at every Unicode line boundary.
     """
     kept = F.filter(F.transform(universal_lines(text), strip), lambda x: x != "")
-    return texts.select(*keys, F.posexplode(kept).alias("pos", "ref"))
+    return explode_rows(texts, keys, kept, "pos", "ref").filter(F.col("ref").isNotNull())
 
 
 def read_references(spark: SparkSession, path: str) -> DataFrame:
