@@ -354,18 +354,26 @@ def m4_back_request(spark, sf):
     return requests.back_translation_requests(one, "Hindi").select("doc_id", "prompt")
 
 
-def echo_model(prompts: list[str]) -> list[str]:
-    """Stands in for a model: returns the numbered part of a prompt with another letter."""
-    return ["Answer: " + p.split("\n\nRules:")[0].split("\n\n", 1)[1].replace("e", "E") for p in prompts]
+def echo_model():
+    """Stands in for a model: returns the numbered part of a prompt with another letter.
+
+    A nested function travels to the workers by value.
+    """
+
+    def reply(prompts: list[str]) -> list[str]:
+        bodies = [p.split("\n\nRules:")[0].split("\n\n", 1)[1] for p in prompts]
+        return ["Answer: " + b.replace("e", "E") for b in bodies]
+
+    return reply
 
 
 def m5_model_run(spark, sf):
-    done = plan.translate_paragraphs(documents(spark, sf), ModelTranslator(echo_model))
+    done = plan.translate_paragraphs(documents(spark, sf), ModelTranslator(echo_model()))
     return done.select("doc_id", "index", "text", "is_fallback")
 
 
 def m6_parallel_run(spark, sf):
-    done = plan.translate_paragraphs(documents(spark, sf), ModelTranslator(echo_model, workers=5))
+    done = plan.translate_paragraphs(documents(spark, sf), ModelTranslator(echo_model(), workers=5))
     return done.select("doc_id", "index", "text", "is_fallback")
 
 

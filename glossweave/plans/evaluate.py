@@ -7,12 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import is_blank
 from ..operators.alignment import align_responses
-from ..operators.batching import batch_rows, unbatch
+from ..operators.batching import batch_rows
 from ..operators.metrics import corpus_scores, score_spread, segment_scores
 from ..operators.positions import head
 from ..operators.requests import back_translation_requests
 from ..operators.scoring import flagged_report
+from ..operators.segmentation import explode_rows
 from ..session import cut_lineage
 from .translate import Options
 
@@ -46,23 +48,30 @@ def evaluate(
 
 
 def translation_sample(translations: DataFrame, n: int) -> DataFrame:
-    """First ``n`` translated paragraphs of each document."""
-    return head(translations, ["doc_id"], "pos", n)
+    """First ``n`` non-blank translated paragraphs of each document, with dense ``pos``."""
+    live = translations.filter(~is_blank("text")).drop("is_fallback")
+    ranked = head(live, ["doc_id"], "pos", n, rank="_rank")
+    return ranked.withColumn("pos", F.col("_rank") - 1).drop("_rank")
 
 
 def proxy_pairs(translations: DataFrame, back_translator, options: Options = Options()) -> DataFrame:
     """``(doc_id, index, hyp, ref)``: the sample translated back, and its source texts.
 
-    The whole sample of a document is one request; a failed request gives its inputs.
+    The whole sample of a document is one request; a failed request gives its inputs.  The
+    source texts travel inside the batch, so the translations are read only once.
     """
     n = options.eval_back_translate_sample
-    sample = translation_sample(translations, n)
-    batches = batch_rows(sample.select("doc_id", "pos", "index", "text"), ["doc_id"], n)
+    batches = batch_rows(
+        translation_sample(translations, n), ["doc_id"], n, carry=("source_text",)
+    )
     requests = back_translation_requests(batches, options.target_language, options.source_language)
-    replies = back_translator.respond(requests, ["doc_id", "batch_id"])
-    back = unbatch(align_responses(replies), ["doc_id"])
-    return back.select("doc_id", "index", F.col("text").alias("hyp")).join(
-        sample.select("doc_id", "index", F.col("source_text").alias("ref")), ["doc_id", "index"]
+    replies = align_responses(back_translator.respond(requests, ["doc_id", "batch_id"]))
+    rows = explode_rows(replies, ["doc_id", "items"], F.col("aligned"), "_n", "_a")
+    return rows.select(
+        "doc_id",
+        F.col("_a.index").alias("index"),
+        F.col("_a.text").alias("hyp"),
+        F.get("items", F.col("_n"))["source_text"].alias("ref"),
     )
 
 
