@@ -11,10 +11,13 @@ from .segmentation import explode_rows, paragraph_array
 ITEM = "struct<pos:int,index:int,text:string>"
 
 
-def batch_documents(docs: DataFrame, batch_size: int, text: str = "text") -> DataFrame:
+def batch_documents(
+    docs: DataFrame, batch_size: int, text: str = "text", kept: Column | None = None
+) -> DataFrame:
     """Batches straight from document rows; no shuffle.
 
-    Other columns (a brief, for instance) are carried to every batch of the document.
+    ``kept`` replaces the paragraphs of ``text`` by an array of kept paragraphs, whose
+    column is then named ``text``.  Other columns (a brief, for instance) are carried to every batch of the document.
     """
     others = [c for c in docs.columns if c != text]
     items = F.transform(
@@ -24,7 +27,7 @@ def batch_documents(docs: DataFrame, batch_size: int, text: str = "text") -> Dat
     n = F.size("_items")
     starts = F.sequence(F.lit(0), n - 1, F.lit(batch_size))
     return (
-        docs.select(*others, paragraph_array(text).alias("_kept"))
+        docs.select(*others, (paragraph_array(text) if kept is None else kept).alias("_kept"))
         .select(*others, items.alias("_items"))
         .filter(n > 0)
         .select(*others, "_items", F.explode_outer(starts).alias("_start"))

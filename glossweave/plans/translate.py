@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.alignment import align_responses, merge_by_index, with_brief
@@ -57,17 +57,20 @@ def translate_paragraphs(
     reviewer=None,
     briefs: DataFrame | None = None,
     folder: str | None = None,
+    kept: Column | None = None,
 ) -> DataFrame:
     """``(doc_id, pos, index, source_text, text, is_fallback)`` of ``(doc_id, text)``.
 
+    ``kept`` is an array of kept paragraphs for documents that are not plain text.
+
     From document row to aligned paragraph everything stays inside the row: nothing is
     shuffled unless the translator itself joins or spreads its requests.
     """
-    docs = documents.select("doc_id", "text")
+    docs = documents.select("doc_id", (F.col("text") if kept is None else kept).alias("text"))
     brief = None
     if briefs is not None:
         docs, brief = with_brief(docs, briefs), "brief"
-    batches = batch_documents(docs, options.batch_size)
+    batches = batch_documents(docs, options.batch_size, kept=None if kept is None else F.col("text"))
     requests = translation_requests(
         batches, options.target_language, options.translation_quality, brief, options.source_language
     )

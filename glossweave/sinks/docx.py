@@ -1,0 +1,154 @@
+"""Word-processor packages with translated runs and cells put back.
+
+The original package is the template: only the texts of its main part change, so images,
+styles and run formatting stay.  The rows of one package meet in one row, as in the
+package itself.
+"""
+
+from __future__ import annotations
+
+import io
+import os
+import zipfile
+from collections.abc import Iterator
+from urllib.parse import unquote, urlparse
+from xml.etree import ElementTree
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.docx import WORD
+
+MAIN = "word/document.xml"
+
+
+def _package_writer():
+    """The helper as a nested function, so that it travels to the workers by value."""
+    word, main = WORD, MAIN
+    texts = {word + n for n in ("t", "tab", "br", "cr")}
+
+    def set_text(run, text: str) -> None:
+        for node in [n for n in run if n.tag in texts]:
+            run.remove(node)
+        if text:
+            node = ElementTree.SubElement(run, word + "t")
+            node.text = text
+            node.set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
+
+    def runs_of(paragraph) -> list:
+        groups = [[c] if c.tag == word + "r" else c.findall(word + "r") for c in paragraph
+                  if c.tag in (word + "r", word + "hyperlink")]
+        return [r for group in groups for r in group]
+
+    def text_of(run) -> str:
+        marks = {word + "tab": "\t", word + "br": "\n", word + "cr": "\n"}
+        return "".join((n.text or "") if n.tag == word + "t" else marks.get(n.tag, "") for n in run)
+
+    def put_runs(body, rows) -> None:
+        paragraphs = body.findall(word + "p")
+        found = {i: runs_of(p) for i, p in enumerate(paragraphs)}
+        for row in rows:
+            known = found[row["index"]]
+            if row["run_no"] < len(known):
+                if text_of(known[row["run_no"]]) != row["text"]:
+                    set_text(known[row["run_no"]], row["text"])
+            else:
+                set_text(ElementTree.SubElement(paragraphs[row["index"]], word + "r"), row["text"])
+
+    def put_cells(body, rows) -> None:
+        new = {(r["table_index"], r["row_idx"], r["col_idx"]): r["text"] for r in rows}
+        for t, table in enumerate(body.findall(word + "tbl")):
+            for r, row in enumerate(table.findall(word + "tr")):
+                column = 0
+                for cell in row.findall(word + "tc"):
+                    put_cell(cell, new.get((t, r, column)))
+                    span = cell.find(f"{word}tcPr/{word}gridSpan")
+                    column += 1 if span is None else int(span.get(word + "val"))
+
+    def put_cell(cell, text: str | None) -> None:
+        merged = cell.find(f"{word}tcPr/{word}vMerge")
+        if text is None or (merged is not None and merged.get(word + "val") != "restart"):
+            return
+        paragraphs = cell.findall(word + "p")
+        old = "\n".join("".join(text_of(r) for r in p.iter(word + "r")) for p in paragraphs)
+        if text != old and paragraphs:
+            # The new text is one paragraph, in the formatting of the first run.
+            for extra in paragraphs[1:]:
+                cell.remove(extra)
+            runs = list(paragraphs[0].iter(word + "r"))
+            first = runs[0] if runs else ElementTree.SubElement(paragraphs[0], word + "r")
+            for run in runs[1:]:
+                set_text(run, "")
+            set_text(first, text)
+
+    def rewrite(content: bytes, runs, cells) -> bytes:
+        package = zipfile.ZipFile(io.BytesIO(content))
+        source = package.read(main)
+        for _, (prefix, uri) in ElementTree.iterparse(io.BytesIO(source), events=["start-ns"]):
+            ElementTree.register_namespace(prefix, uri)
+        root = ElementTree.fromstring(source)
+        # This attribute names prefixes that are no longer declared once unused.
+        root.attrib.pop("{http://schemas.openxmlformats.org/markup-compatibility/2006}Ignorable", None)
+        body = root.find(word + "body")
+        put_runs(body, runs)
+        put_cells(body, cells)
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as target:
+            for item in package.infolist():
+                data = package.read(item.filename)
+                if item.filename == main:
+                    data = ElementTree.tostring(root, encoding="UTF-8", xml_declaration=True)
+                target.writestr(item, data)
+        return out.getvalue()
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, content, runs, cells in frame[["path", "content", "runs", "cells"]].itertuples(index=False):
+                none = lambda x: [] if x is None else x
+                yield pd.DataFrame(
+                    [{"doc_id": path, "content": rewrite(content, none(runs), none(cells))}]
+                )
+
+    return rows
+
+
+def rewrite_packages(
+    spark: SparkSession, path: str, runs: DataFrame, cells: DataFrame | None = None
+) -> DataFrame:
+    """``(doc_id, content)`` of the packages under ``path`` that have ``runs``.
+
+    ``runs`` come from ``write_runs``, ``cells`` from ``translate_cells``; ``doc_id`` is the path.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path)
+    new = runs.groupBy("doc_id").agg(F.collect_list(F.struct("index", "run_no", "text")).alias("runs"))
+    joined = files.select("path", "content").join(new, F.col("path") == F.col("doc_id")).drop("doc_id")
+    if cells is None:
+        joined = joined.withColumn("cells", F.lit(None).cast("array<struct<table_index:int>>"))
+    else:
+        grids = cells.groupBy(F.col("doc_id").alias("path")).agg(
+            F.collect_list(F.struct("table_index", "row_idx", "col_idx", "text")).alias("cells")
+        )
+        joined = joined.join(grids, "path", "left")
+    return joined.mapInPandas(_package_writer(), "doc_id string, content binary")
+
+
+def save_packages(packages: DataFrame, folder: str, base: str) -> None:
+    """Write packages into a folder that every executor can reach.
+
+    Paths stay as they were relative to ``base``, so equal file names do not collide.  A file is replaced as a whole, so a retried task leaves the same result.
+    """
+
+    def save(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, content in zip(frame["doc_id"], frame["content"]):
+                path = unquote(urlparse(name).path)
+                target = os.path.join(folder, os.path.relpath(path, base))
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                part = f"{target}.{os.getpid()}.part"
+                with open(part, "wb") as out:
+                    out.write(content)
+                os.replace(part, target)
+            yield frame[["doc_id"]]
+
+    packages.mapInPandas(save, "doc_id string").write.format("noop").mode("overwrite").save()

@@ -1,0 +1,200 @@
+"""Word-processor packages (``.docx``) as rows.
+
+A package is a zip file with XML parts.  One Arrow-batched helper opens each package and
+hands out its runs, grids and image parts as nested values; everything after that is
+column work.  A package is one row, so its size bounds every array.
+"""
+
+from __future__ import annotations
+
+import io
+import posixpath
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import is_blank
+from ..operators.segmentation import explode_rows
+
+# Namespaces of the package format.
+WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+PICTURE = "{http://schemas.openxmlformats.org/drawingml/2006/picture}"
+DRAWING = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+OFFICE = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+
+CONTENT = """
+    doc_id string, error string,
+    paragraphs array<struct<index:int, alignment:string, style_name:string,
+        runs:array<struct<run_no:int, text:string, bold:boolean, italic:boolean,
+                          has_picture:boolean, image_id:string>>>>,
+    tables array<array<array<string>>>,
+    parts array<struct<part_no:int, rel_id:string, content_type:string, data:binary>>
+"""
+
+
+def _package_reader():
+    """The helper as a nested function, so that it travels to the workers by value."""
+    word, picture, drawing, office = WORD, PICTURE, DRAWING, OFFICE
+    marks = {word + "tab": "\t", word + "br": "\n", word + "cr": "\n"}
+
+    def run_text(run) -> str:
+        return "".join((n.text or "") if n.tag == word + "t" else marks.get(n.tag, "") for n in run)
+
+    def flag(run, name: str) -> bool:
+        node = run.find(f"{word}rPr/{word}{name}")
+        return node is not None and node.get(word + "val", "1") not in ("0", "false", "off")
+
+    def run_row(number: int, run) -> dict:
+        ids = [b.get(office + "embed") for b in run.iter(drawing + "blip")]
+        has_picture = next(run.iter(picture + "pic"), None) is not None
+        return {
+            "run_no": number,
+            "text": run_text(run),
+            "bold": flag(run, "b"),
+            "italic": flag(run, "i"),
+            "has_picture": has_picture,
+            "image_id": next((i for i in ids if i), None) if has_picture else None,
+        }
+
+    def value(node, path: str) -> str | None:
+        found = node.find(path)
+        return None if found is None else found.get(word + "val")
+
+    def cell_text(cell) -> str:
+        return "\n".join(
+            "".join(run_text(r) for r in p.iter(word + "r")) for p in cell.findall(word + "p")
+        )
+
+    def grid(table) -> list[list[str]]:
+        out: list[list[str]] = []
+        for row in table.findall(word + "tr"):
+            cells: list[str] = []
+            for cell in row.findall(word + "tc"):
+                merged = cell.find(f"{word}tcPr/{word}vMerge")
+                continued = merged is not None and merged.get(word + "val") != "restart"
+                above = out[-1][len(cells)] if continued and out and len(out[-1]) > len(cells) else None
+                width = int(value(cell, f"{word}tcPr/{word}gridSpan") or 1)
+                cells += [cell_text(cell) if above is None else above] * width
+            out.append(cells)
+        return out
+
+    def parts(package: zipfile.ZipFile) -> list[dict]:
+        types = ElementTree.fromstring(package.read("[Content_Types].xml"))
+        named = {t.get("PartName"): t.get("ContentType") for t in types if t.get("PartName")}
+        endings = {t.get("Extension", "").lower(): t.get("ContentType") for t in types if t.get("Extension")}
+        out = []
+        if "word/_rels/document.xml.rels" not in package.namelist():
+            return out
+        for relation in ElementTree.fromstring(package.read("word/_rels/document.xml.rels")):
+            if relation.get("TargetMode") == "External":
+                continue
+            name = posixpath.normpath(posixpath.join("/word", relation.get("Target")))
+            kind = named.get(name) or endings.get(name.rsplit(".", 1)[-1].lower(), "")
+            data = package.read(name[1:]) if "image" in kind else None
+            out.append({"part_no": len(out), "rel_id": relation.get("Id"), "content_type": kind, "data": data})
+        return out
+
+    def read(content: bytes) -> dict:
+        package = zipfile.ZipFile(io.BytesIO(content))
+        body = ElementTree.fromstring(package.read("word/document.xml")).find(word + "body")
+        names = {}
+        if "word/styles.xml" in package.namelist():
+            styles = ElementTree.fromstring(package.read("word/styles.xml"))
+            names = {s.get(word + "styleId"): value(s, word + "name") for s in styles.findall(word + "style")}
+        paragraphs = []
+        for index, p in enumerate(body.findall(word + "p")):
+            style = value(p, f"{word}pPr/{word}pStyle")
+            runs = p.findall(f"./{word}r") if p.find(f"./{word}hyperlink") is None else [
+                r for c in p for r in ([c] if c.tag == word + "r" else c.findall(f"./{word}r"))
+                if c.tag in (word + "r", word + "hyperlink")
+            ]
+            paragraphs.append(
+                {
+                    "index": index,
+                    "alignment": value(p, f"{word}pPr/{word}jc"),
+                    "style_name": names.get(style) or style or "Normal",
+                    "runs": [run_row(i, r) for i, r in enumerate(runs)],
+                }
+            )
+        return {
+            "error": None,
+            "paragraphs": paragraphs,
+            "tables": [grid(t) for t in body.findall(word + "tbl")],
+            "parts": parts(package),
+        }
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"]):
+                try:
+                    row = read(content)
+                except Exception as e:  # noqa: BLE001 - one broken file must not end the job
+                    row = {"error": f"{type(e).__name__}: {e}", "paragraphs": [], "tables": [], "parts": []}
+                # One package per frame: images make rows large.
+                yield pd.DataFrame([{"doc_id": path, **row}])
+
+    return rows
+
+
+def read_docx(spark: SparkSession, path: str) -> DataFrame:
+    """One row per package: ``doc_id`` (its path), ``error``, ``paragraphs``, ``tables``, ``parts``."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path)
+    return files.select("path", "content").mapInPandas(_package_reader(), CONTENT)
+
+
+def _any(runs: Column, name: str) -> Column:
+    return F.exists(runs, lambda r: r[name])
+
+
+def paragraph_rows(packages: DataFrame) -> DataFrame:
+    """Kept paragraphs with their formatting roll-up; no shuffle."""
+    p = F.col("p")
+    runs = p["runs"]
+    pictures = F.filter(runs, lambda r: r["image_id"].isNotNull())
+    every = explode_rows(packages, ["doc_id"], F.col("paragraphs"), "_n", "p").filter(p.isNotNull())
+    rows = every.select(
+        "doc_id",
+        p["index"].alias("index"),
+        F.array_join(F.transform(runs, lambda r: r["text"]), "").alias("text"),
+        _any(runs, "bold").alias("is_bold"),
+        _any(runs, "italic").alias("is_italic"),
+        p["alignment"].alias("alignment"),
+        p["style_name"].alias("style_name"),
+        _any(runs, "has_picture").alias("has_image"),
+        F.get(pictures, F.size(pictures) - 1)["image_id"].alias("image_id"),
+    )
+    return rows.filter(~is_blank("text") | F.col("has_image"))
+
+
+def kept_array(paragraphs: str = "paragraphs") -> Column:
+    """Kept paragraphs of a package as ``array<struct<index, text>>`` for batching."""
+    texts = F.transform(
+        paragraphs,
+        lambda p: F.struct(
+            p["index"].alias("index"),
+            F.array_join(F.transform(p["runs"], lambda r: r["text"]), "").alias("text"),
+            _any(p["runs"], "has_picture").alias("_image"),
+        ),
+    )
+    kept = F.filter(texts, lambda p: ~is_blank(p["text"]) | p["_image"])
+    return F.transform(kept, lambda p: F.struct(p["index"].alias("index"), p["text"].alias("text")))
+
+
+def run_rows(packages: DataFrame) -> DataFrame:
+    every = explode_rows(packages, ["doc_id"], F.col("paragraphs"), "_n", "p").filter("p is not null")
+    runs = explode_rows(every.select("doc_id", "p.index", "p.runs"), ["doc_id", "index"], F.col("runs"), "_n", "r")
+    return runs.filter("r is not null").select("doc_id", "index", "r.*")
+
+
+def cell_rows(packages: DataFrame) -> DataFrame:
+    tables = packages.select("doc_id", F.posexplode("tables").alias("table_index", "t"))
+    rows = tables.select("doc_id", "table_index", F.posexplode("t").alias("row_idx", "r"))
+    return rows.select("doc_id", "table_index", "row_idx", F.posexplode("r").alias("col_idx", "text"))
+
+
+def part_rows(packages: DataFrame) -> DataFrame:
+    return packages.select("doc_id", F.explode("parts").alias("part")).select("doc_id", "part.*")

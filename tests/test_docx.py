@@ -1,0 +1,75 @@
+import zipfile
+
+import pytest
+
+from glossweave.operators import runs, segmentation, tables
+from glossweave.operators.translators import GlossaryTranslator
+from glossweave.plans.translate import translate_paragraphs
+from glossweave.sinks.docx import rewrite_packages, save_packages
+from glossweave.sources import docx
+
+W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+BODY = f"""<?xml version="1.0" encoding="UTF-8"?>
+<w:document {W} xmlns:pic="http://schemas.openxmlformats.org/drawingml/2006/picture"
+ xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"
+ xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><w:body>
+<w:p><w:pPr><w:pStyle w:val="H1"/><w:jc w:val="center"/></w:pPr><w:r><w:rPr><w:b/></w:rPr><w:t>the </w:t></w:r><w:r><w:t>cat</w:t><w:tab/><w:t>!</w:t></w:r></w:p>
+<w:p><w:r><w:rPr><w:i w:val="0"/></w:rPr><w:t xml:space="preserve"> </w:t></w:r></w:p>
+<w:p><w:r><w:drawing><pic:pic><a:blip r:embed="rId2"/></pic:pic></w:drawing></w:r></w:p>
+<w:tbl><w:tr><w:tc><w:tcPr><w:gridSpan w:val="2"/></w:tcPr><w:p><w:r><w:t>the</w:t></w:r></w:p></w:tc></w:tr>
+<w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc><w:tc><w:p/></w:tc></w:tr></w:tbl>
+</w:body></w:document>"""
+RELATIONS = """<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">
+<Relationship Id="rId1" Type="t" Target="styles.xml"/><Relationship Id="rId2" Type="t" Target="media/image1.png"/>
+</Relationships>"""
+TYPES = """<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">
+<Default Extension="png" ContentType="image/png"/><Override PartName="/word/styles.xml" ContentType="text/xml"/></Types>"""
+STYLES = f'<w:styles {W}><w:style w:styleId="H1"><w:name w:val="heading 1"/></w:style></w:styles>'
+
+
+@pytest.fixture
+def packages(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("[Content_Types].xml", TYPES)
+        z.writestr("word/document.xml", BODY)
+        z.writestr("word/_rels/document.xml.rels", RELATIONS)
+        z.writestr("word/styles.xml", STYLES)
+        z.writestr("word/media/image1.png", b"png")
+    (tmp_path / "broken.docx").write_bytes(b"no zip")
+    return docx.read_docx(spark, str(tmp_path))
+
+
+def test_package_contents(packages):
+    assert packages.filter("error is not null").count() == 1
+    got = [tuple(r)[1:] for r in docx.paragraph_rows(packages).orderBy("index").collect()]
+    assert got == [(0, "the cat\t!", True, False, "center", "heading 1", False, None),
+                   (2, "", False, False, None, "Normal", True, "rId2")]
+    cells = [tuple(r)[1:] for r in docx.cell_rows(packages).orderBy("row_idx", "col_idx").collect()]
+    assert cells == [(0, 0, 0, "the"), (0, 0, 1, "the"), (0, 1, 0, "a\nb"), (0, 1, 1, "")]
+    image = segmentation.image_catalogue(docx.part_rows(packages), ["doc_id"]).first()
+    assert (image.rel_id, image.filename, bytes(image.data)) == ("rId2", "image_0.png", b"png")
+
+
+def test_package_translation(packages):
+    done = translate_paragraphs(packages, GlossaryTranslator({"the": "die"}), kept=docx.kept_array())
+    assert [(r["index"], r.text) for r in done.orderBy("index").collect()] == [(0, "die cat\t!"), (2, "")]
+    new = runs.write_runs(docx.run_rows(packages), done, ["doc_id", "index"])
+    texts = [(r["index"], r.run_no, r.text) for r in new.orderBy("index", "run_no").collect()]
+    assert texts == [(0, 0, ""), (0, 1, "die cat\t!"), (1, 0, " "), (2, 0, "")]
+
+
+def test_written_packages_read_back(spark, packages, tmp_path):
+    translator = GlossaryTranslator({"the": "die", "a": "ein"})
+    done = translate_paragraphs(packages, translator, kept=docx.kept_array())
+    new_runs = runs.write_runs(docx.run_rows(packages), done, ["doc_id", "index"])
+    new_cells = tables.translate_cells(docx.cell_rows(packages), translator, "German")
+    (tmp_path / "out").mkdir()
+    written = rewrite_packages(spark, str(tmp_path), new_runs, new_cells)
+    save_packages(written, str(tmp_path / "out"), str(tmp_path))
+    again = docx.read_docx(spark, str(tmp_path / "out"))
+    assert [r.text for r in docx.paragraph_rows(again).orderBy("index").collect()] == ["die cat\t!", ""]
+    flat = docx.run_rows(again).orderBy("index", "run_no").collect()
+    assert [(r.run_no, r.text, r.bold) for r in flat if r["index"] == 0] == [(0, "", True), (1, "die cat\t!", False)]
+    cells = [r.text for r in docx.cell_rows(again).orderBy("row_idx", "col_idx").collect()]
+    assert cells == ["die", "die", "a b", ""]
+    assert segmentation.image_catalogue(docx.part_rows(again), ["doc_id"]).count() == 1
