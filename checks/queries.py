@@ -505,8 +505,8 @@ def k3_rebuilt_rows(spark, sf):
 
 
 def k4_flagged_report(spark, sf):
-    scored = system_scores(spark, sf).join(hypotheses(spark, sf), ["system", "seg_id"])
-    return scoring.flagged_report(scored, ["system"], ["seg_id"]).select(
+    scored, texts = system_scores(spark, sf), hypotheses(spark, sf)
+    return scoring.flagged_report(scored, texts, ["system"], ["seg_id"]).select(
         "system", F.col("rank"), "number", "chrf", "preview"
     )
 

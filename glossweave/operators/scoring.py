@@ -19,10 +19,16 @@ def worst_segments(scored: DataFrame, by: list[str], ties: list[str], k: int = 5
     return scored.withColumn("rank", F.row_number().over(ordered)).filter(F.col("rank") <= k)
 
 
-def flagged_report(scored: DataFrame, by: list[str], ties: list[str], k: int = 5) -> DataFrame:
-    """Worst segments as report lines: 1-based four-digit number, score, preview."""
-    worst = worst_segments(scored, by, ties, k)
-    return worst.select(
+def flagged_report(
+    scored: DataFrame, texts: DataFrame, by: list[str], ties: list[str], k: int = 5
+) -> DataFrame:
+    """Worst segments as report lines: 1-based four-digit number, score, preview.
+
+    Only the few worst segments are joined with their texts (``hyp``).
+    """
+    keys = [*by, *ties]
+    worst = worst_segments(scored.select(*keys, "chrf"), by, ties, k)
+    return worst.join(texts.select(*keys, "hyp"), keys).select(
         *by,
         "rank",
         F.lpad((F.col(ties[-1]) + 1).cast("string"), 4, "0").alias("number"),

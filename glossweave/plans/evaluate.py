@@ -37,13 +37,12 @@ def evaluate(
     Segment scores feed three tables, so they are checkpointed once.
     """
     scored = cut_lineage(segment_scores(pairs, keys))
-    ties = [k_ for k_ in keys if k_ not in by]
-    texts = scored.join(pairs.select(*keys, "hyp"), keys)
+    ties = [c for c in keys if c not in by]
     return Evaluation(
         segments=scored,
         corpus=corpus_scores(scored, by, mode),
         spread=score_spread(scored, by),
-        flagged=flagged_report(texts, by, ties, k),
+        flagged=flagged_report(scored, pairs, by, ties, k),
     )
 
 

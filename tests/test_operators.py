@@ -260,3 +260,22 @@ def test_streaming_equals_batch(spark, tmp_path):
     streaming.write_translations(stream, translator, folders[1], folders[2]).awaitTermination()
     want = plan.translate_paragraphs(documents(spark), translator)
     assert rows(spark.read.parquet(folders[1]), "doc_id", "pos") == rows(want, "doc_id", "pos")
+
+
+def test_plans(spark, sf):
+    from checks import queries as q
+
+    def plan_of(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    # From scan to aligned paragraph nothing is shuffled, and only two columns are read.
+    rows_plan = plan_of(q.translations(spark, sf))
+    assert "Exchange" not in rows_plan and "ReadSchema: struct<doc_id:bigint,text:string>" in rows_plan
+    # Ranks are limited inside each task before the shuffle.
+    scored = spark.range(100).selectExpr("'s' system", "id seg_id", "rand() chrf")
+    assert plan_of(scoring.worst_segments(scored, ["system"], ["seg_id"])).count("WindowGroupLimit") == 2
+    assert plan_of(ev.translation_sample(q.translations(spark, sf), 20)).count("WindowGroupLimit") == 2
+    # No join is a nested loop.
+    for name in ("j7_length_report", "a9_run_summary", "k2_written_runs", "k4_flagged_report"):
+        text = plan_of(q.QUERIES[name](spark, sf))
+        assert "NestedLoop" not in text and "Cartesian" not in text
