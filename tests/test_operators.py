@@ -272,8 +272,9 @@ def test_plans(spark, sf):
     rows_plan = plan_of(q.translations(spark, sf))
     assert "Exchange" not in rows_plan and "ReadSchema: struct<doc_id:bigint,text:string>" in rows_plan
     # Ranks are limited inside each task before the shuffle.
-    scored = spark.range(100).selectExpr("'s' system", "id seg_id", "rand() chrf")
+    scored = spark.range(100).selectExpr("string(id div 30) system", "id seg_id", "rand() chrf")
     assert plan_of(scoring.worst_segments(scored, ["system"], ["seg_id"])).count("WindowGroupLimit") == 2
+    assert "TakeOrderedAndProject" in plan_of(scoring.worst_segments(scored, [], ["seg_id"]))
     assert plan_of(ev.translation_sample(q.translations(spark, sf), 20)).count("WindowGroupLimit") == 2
     # No join is a nested loop.
     for name in ("j7_length_report", "a9_run_summary", "k2_written_runs", "k4_flagged_report"):
