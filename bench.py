@@ -48,7 +48,7 @@ def main() -> None:
         "bench",
         f"local[{cpus}]",
         **{
-            "spark.sql.shuffle.partitions": int(cpus) * 4,
+            "spark.sql.shuffle.partitions": int(cpus) * 8,
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g"),
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
