@@ -7,12 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, sentencepiece_fst, simhash, token_counts
+from . import (
+    decontaminate,
+    line_dedup,
+    quality_rules,
+    secret_scan,
+    sentencepiece_fst,
+    simhash,
+    token_counts,
+)
 from .common import table
 
 MAX_TOKENS = 4096
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base numbers and verdict of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return quality_rules.quality(docs, ["doc_id"])
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -58,6 +72,22 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = secret_scan.find_secrets(docs)
+    of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == secret_scan.KINDS.index(k))).cast("long")
+    live = F.size(F.filter("verdicts", lambda v: v["live"])).cast("long")
+    return found.select(
+        "doc_id",
+        *[of_kind(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secret_scan.span_text(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.span_text(F.col("spans")).alias("spans"),
+        live.alias("n_live"),
+        (F.size("verdicts") - live).alias("n_examples"),
+    )
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -71,10 +101,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": op2_quality_rules,
     "op3_decontamination": op3_decontamination,
     "op4_line_dedup": op4_line_dedup,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_simhash": op6_simhash,
+    "op8_secret_scan": op8_secret_scan,
     "op9_token_counts": op9_token_counts,
 }
 ORACLE: dict[str, str] = {
