@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    chat_format,
     decontaminate,
     line_dedup,
+    pii,
     quality_rules,
     secret_scan,
     sentencepiece_fst,
@@ -19,17 +21,26 @@ from . import (
 from .common import table
 
 MAX_TOKENS = 4096
+TEXTS_PER_BATCH = 1000
+#: A real job passes its own secret.
+PII_KEY = b"example key of the query"
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents.  Texts are long, so fewer of them make a batch for Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS_PER_BATCH)
+    return table(spark, sf_dir, "documents")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base numbers and verdict of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
     return quality_rules.quality(docs, ["doc_id"])
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     found = decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",
@@ -44,7 +55,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that three documents share."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256")
     )
@@ -52,13 +63,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and the text they decode to."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     coded = sentencepiece_fst.decode(sentencepiece_fst.encode(docs))
     plain = F.translate(F.coalesce("text", F.lit("")), sentencepiece_fst.SPACE, " ")
     return coded.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.xxhash64("token_ids").alias("ids_hash"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
         (F.col("decoded") == plain).alias("round_trip"),
     )
@@ -66,15 +77,28 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of the documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     return simhash.near_duplicates(docs).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under pseudonyms, and where they stand."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    named = pii.pseudonymise(docs, PII_KEY)
+    of_kind = lambda k: F.size(F.filter("pii", lambda s: s["kind"] == k)).cast("long")
+    return named.select(
+        "doc_id",
+        F.col("new_text").alias("text"),
+        *[of_kind(k).alias(f"n_{k}") for k in pii.KINDS],
+        F.col("pii").alias("spans"),
+    )
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source")
     found = secret_scan.find_secrets(docs)
     of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == secret_scan.KINDS.index(k))).cast("long")
     live = F.size(F.filter("verdicts", lambda v: v["live"])).cast("long")
@@ -90,7 +114,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     counted = token_counts.count_tokens(docs)
     return counted.select(
         "doc_id",
@@ -100,16 +124,52 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examples of all conversations, read back; conversation -1 holds the marks themselves."""
+    marks = "</s>[INST] ok [/INST]"
+    own = spark.range(1).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.explode(
+            F.array(*[F.struct(F.lit(k).cast("long").alias("turn"), F.lit(r).alias("role")) for k, r in enumerate(("user", "assistant"))])
+        ).alias("t"),
+        F.lit(marks).alias("text"),
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    both = turns.unionByName(own.select("conv_id", "t.turn", "t.role", "text"))
+    return chat_format.read_back(chat_format.expand_examples(both))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_decontamination": op3_decontamination,
     "op4_line_dedup": op4_line_dedup,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_simhash": op6_simhash,
+    "op7_pii": op7_pii,
     "op8_secret_scan": op8_secret_scan,
     "op9_token_counts": op9_token_counts,
+    "op10_chat_format": op10_chat_format,
 }
 ORACLE: dict[str, str] = {
+    "op10_chat_format": r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+marked AS (
+  SELECT *, length(regexp_replace(replace(text, '\', '\\'), '<(/?s>|</?SYS>>)|\[(/?INST\]|/?REPLY\]|/?ROLE)', '\0x', 'g'))
+         + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 11
+           ELSE 15 + length(replace(regexp_replace(replace(role, '\', '\\'), '<(/?s>|</?SYS>>)|\[(/?INST\]|/?REPLY\]|/?ROLE)', '\0x', 'g'), ']', '\]')) END AS chars
+  FROM turns),
+placed AS (
+  SELECT *, 3 + sum(chars) OVER w AS upto, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS from_end
+  FROM marked WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(upto) FILTER (role = 'assistant' OR from_end = 1)::BIGINT AS formatted_chars
+FROM placed GROUP BY conv_id
+""",
     "op4_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, pos, line,

@@ -29,8 +29,8 @@ from .pretokens import LONGEST_CACHED, default_model, pre_tokens
 
 SPACE = "▁"
 #: Entries of one generation of a worker's path cache, and of its acceptor before it starts anew.
-PATHS = 500_000
-ARCS = 1_000_000
+PATHS = 350_000
+ARCS = 400_000
 NO_ARCS: dict[int, bool] = {}
 #: Stands for the last piece at the start and after bytes.
 BYTES = -1
@@ -46,17 +46,12 @@ class PieceTransducer:
         size = model.get_piece_size()
         self.pieces = [model.id_to_piece(i) for i in range(size)]
         self.byte_ids = [0] * 256
-        self.bytes_of: list[bytes] = [b""] * size
         self.ids: dict[str, int] = {}
         for i, piece in enumerate(self.pieces):
             if model.is_byte(i):
                 self.byte_ids[int(piece[1:-1], 16)] = i
-                self.bytes_of[i] = bytes([int(piece[1:-1], 16)])
-            elif model.is_unknown(i):
-                self.bytes_of[i] = " ⁇ ".encode()
-            elif not (model.is_control(i) or model.is_unused(i)):
+            elif not (model.is_unknown(i) or model.is_control(i) or model.is_unused(i)):
                 self.ids[piece] = i
-                self.bytes_of[i] = piece.replace(SPACE, " ").encode()
         self.score = {piece: model.get_score(i) for piece, i in self.ids.items()}
         # A node is a dict from character to node; "" holds the piece that ends there.
         self.root: dict = {}
@@ -102,12 +97,15 @@ class PieceTransducer:
         The merges of every prefix are unique, so the acceptor leaves one arc into each
         position: a state of the composed machine is a position with its last piece
         (``BYTES`` at the start and after bytes, which never merge), and the first arc found
-        into it is the shortest path to it.
+        into it is the shortest path to it.  States are taken on best first, the one behind
+        the longest piece, which meets the end after few of them; each at most once.
         """
         n, root, arcs, compute = len(text), self.root, self.arcs, self._arc
         last: list[int | None] = [BYTES] + [None] * n
         came = [0] * (n + 1)
-        for i in range(n):
+        agenda = [0]
+        while last[n] is None:
+            i = agenda.pop()
             piece = last[i]
             row = arcs.get(piece, NO_ARCS)
             node, j = root, i
@@ -123,8 +121,10 @@ class PieceTransducer:
                         allowed = compute(piece, to)
                     if allowed:
                         last[j], came[j] = to, i
+                        agenda.append(j)
             if j == i and text[i] not in self.ids:
                 last[j + 1], came[j + 1] = BYTES, i
+                agenda.append(j + 1)
         at, found = n, []
         while at:
             back = came[at]
@@ -157,10 +157,29 @@ class PieceTransducer:
         get, path = self.paths.get, self.path_bytes
         return np.frombuffer(b"".join([get(t) or path(t) for t in pre_tokens(text)]), "<i4")
 
-    def decode(self, ids) -> str:
-        """Text of piece ids; the space that the normaliser put in front goes again."""
-        raw = b"".join(map(self.bytes_of.__getitem__, ids))
-        return (raw[1:] if raw.startswith(b" ") else raw).decode("utf-8", "replace")
+
+@lru_cache(maxsize=2)
+def piece_texts(path: str) -> list[bytes]:
+    """The decoding machine: what each piece id writes, as UTF-8.  Control ids write nothing."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    out = []
+    for i in range(model.get_piece_size()):
+        piece = model.id_to_piece(i)
+        if model.is_byte(i):
+            out.append(bytes([int(piece[1:-1], 16)]))
+        elif model.is_unknown(i):
+            out.append(" ⁇ ".encode())
+        else:
+            out.append(b"" if model.is_control(i) else piece.replace(SPACE, " ").encode())
+    return out
+
+
+def decoded(ids: list[int], texts: list[bytes]) -> str:
+    """Text of piece ids; the space that the normaliser put in front goes again."""
+    raw = b"".join(map(texts.__getitem__, ids))
+    return (raw[1:] if raw.startswith(b" ") else raw).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -191,8 +210,8 @@ def decode(docs: DataFrame, model: str | None = None, ids: str = "token_ids", co
 
     @F.pandas_udf("string")
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        machine = transducer(path)
+        pieces = piece_texts(path)
         for batch in batches:
-            yield pd.Series([None if x is None else machine.decode(x) for x in batch], dtype=object)
+            yield pd.Series([None if x is None else decoded(x.tolist(), pieces) for x in batch], dtype=object)
 
     return docs.withColumn(column, texts(F.col(ids)))
