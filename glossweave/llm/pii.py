@@ -31,12 +31,14 @@ _EDGE, _END = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
 PATTERN = re.compile(
     r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9]))"
     rf"|(?P<iban>{_EDGE}[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}{_END})"
-    r"|(?P<phone>(?<![A-Za-z0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"
+    r"|(?P<phone>(?<![A-Za-z0-9+])\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
+    r"|(?<![A-Za-z0-9+])\+[2-9][0-9]{0,2}[ -]?\(?[0-9]{1,4}\)?(?:[ -]?[0-9]{2,4}(?![0-9]*\.[0-9])){2,4}(?![0-9])"
     r"|(?<![A-Za-z0-9(])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![A-Za-z0-9]))"
     rf"|(?P<date>{_EDGE}(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}[./][0-9]{{1,2}}[./][0-9]{{4}}){_END})"
     rf"|(?P<ssn>{_EDGE}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_END}(?!-))"
     r"|(?P<ip>(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9]|\.[0-9]))"
-    rf"|(?P<card>{_EDGE}[0-9](?:[ -]?[0-9]){{12,18}}{_END})"
+    rf"|(?P<card>{_EDGE}(?:[0-9]{{13,19}}|[0-9]{{4}}(?P<_a>[ -])[0-9]{{4}}(?P=_a)[0-9]{{4}}(?P=_a)[0-9]{{1,7}}"
+    rf"|[0-9]{{4}}(?P<_b>[ -])[0-9]{{6}}(?P=_b)[0-9]{{5}}){_END})"
 )
 _SOME = re.compile("[0-9@]")
 
@@ -107,6 +109,8 @@ def _iban_check(country: str, rest: str) -> str:
 
 def _iban(p: Permutation, text: str) -> str | None:
     plain = text.replace(" ", "")
+    if len(plain) < 15:
+        return None
     country, check, rest = plain[:2], plain[2:4], plain[4:]
     if _iban_check(country, rest) != check:
         return None
@@ -212,16 +216,20 @@ class Pseudonyms:
         """The new text, and ``(kind, start, end, new start, new end)`` of every datum."""
         out, spans, at, shift, begin = [], [], 0, 0, 0
         while m := PATTERN.search(text, begin):
-            new = self.of(m.lastgroup, m[0])
+            kind = next(k for k in KINDS if m[k] is not None)
+            value, new = m[0], self.of(kind, m[0])
+            while new is None and kind in ("iban", "phone") and " " in value:
+                # Words after the number may look like more of it.
+                value = value[: value.rindex(" ")]
+                new = self.of(kind, value)
             if new is None:
-                # Not valid: the next pattern may start inside, at the next word.
                 begin = m.start() + 1
                 continue
-            begin = m.end()
+            begin = m.start() + len(value)
             out += [text[at : m.start()], new]
-            spans.append((m.lastgroup, m.start(), m.end(), m.start() + shift, m.start() + shift + len(new)))
-            shift += len(new) - len(m[0])
-            at = m.end()
+            spans.append((kind, m.start(), begin, m.start() + shift, m.start() + shift + len(new)))
+            shift += len(new) - len(value)
+            at = begin
         return "".join([*out, text[at:]]), spans
 
 
