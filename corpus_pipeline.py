@@ -23,7 +23,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that others hold too; a document left blank goes."""
-    kept = line_dedup.dedup_lines(docs)
+    kept = line_dedup.dedup_lines(docs.select(*COLUMNS))
     return (
         kept.filter((F.col("n_dropped") == 0) | (F.btrim("kept_text", F.lit(" \t\n\x0b\x0c\r")) != ""))
         .withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")})
@@ -33,6 +33,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every near-duplicate group."""
+    docs = docs.select(*COLUMNS)
     groups = simhash.near_duplicates(docs)
     first = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
     # Rows without an id are in no group of their own and stay.
@@ -41,7 +42,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark window."""
-    found = decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_benchmark(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
     return found.filter("found.hits = 0").select(*COLUMNS)
 
 

@@ -10,7 +10,8 @@ The automaton is broadcast, so its size is bounded: windows are dealt into block
 hit and which items occur come back per row and pass, and are joined in the next pass.
 
 Null texts and texts without words have no words and no hits.  Items without words have no
-windows.  Rows are kept as they are (repeated rows, null ids, extra columns).
+windows, items without an id no part.  Rows are kept as they are (repeated rows, null ids, extra
+columns; one named ``found`` is replaced).  An empty table or benchmark is no special case.
 """
 
 from __future__ import annotations

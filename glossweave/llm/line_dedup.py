@@ -8,7 +8,8 @@ positions, and its other lines are put together in their order.
 
 A line shorter than ``min_chars`` after normalising never counts and always stays.  A null or
 empty text is one empty line.  Rows with a null id take no part: they neither count nor lose
-lines.  Repeated rows of one id are one document.  Extra columns are kept.
+lines.  Repeated rows of one id are one document.  Extra columns are kept, but for those with
+the name of a result or of a working column (``_row``, ``_lost*``).  An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ def dedup_lines(
 
     A line found in ``min_docs`` documents stays only in the largest id that holds it.
     """
+    docs = docs.drop("_row", "_lost_id", "_lost_row", "_lost")
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = (
         docs.filter(F.col(id_column).isNotNull())

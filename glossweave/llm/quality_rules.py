@@ -219,9 +219,13 @@ def judge(measured: DataFrame, limits: DataFrame, lang: str = "lang", source: st
 
 
 def quality(docs: DataFrame, keep: list[str], lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
-    """The columns ``keep`` of every row with its base numbers and ``kept``."""
-    columns = list(dict.fromkeys([*keep, lang, source]))
+    """The columns ``keep`` of every row with its base numbers and ``kept``.
+
+    A column of ``keep`` with the name of a result is replaced by it.
+    """
     numbers = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    keep = [c for c in keep if c not in (*numbers, "kept")]
+    columns = list(dict.fromkeys([*keep, lang, source]))
     own = measures(docs.select(*columns, text) if text not in columns else docs.select(*columns), text)
     rows = saved(own.select(*columns, *numbers, "_rules"), "measures")
     limits = saved(cutoffs(saved(sketches(rows, lang, source), "sketches")), "cutoffs")

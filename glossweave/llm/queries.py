@@ -162,6 +162,96 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": op10_chat_format,
 }
 ORACLE: dict[str, str] = {
+    "op2_quality_rules": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t,
+         translate(coalesce(text, ''), E' \t\n\x0b\x0c\r', '') AS dense,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF trim(x, E' \t\n\x0b\x0c\r') <> ''] AS l
+  FROM documents),
+grams AS (
+  SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM docs)),
+again AS (SELECT r, i FROM grams QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+repeats AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY r),
+base AS (
+  SELECT d.*, len(w)::BIGINT AS n_words, length(dense)::BIGINT AS word_chars,
+         (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+         length(dense) - length(translate(dense, '!"''()+,-./:;=?@[\]^_`{}~#*$%&|<>', '')) AS marks,
+         length(dense) - length(translate(dense, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS capitals
+  FROM docs d LEFT JOIN repeats USING (r)),
+rules AS (
+  SELECT *, n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_failed,
+         [{'rule': 'symbols', 'v': CASE WHEN word_chars > 0 THEN n_symbols * 1000 // word_chars ELSE 0 END},
+          {'rule': 'marks', 'v': CASE WHEN word_chars > 0 THEN marks * 1000 // word_chars ELSE 0 END},
+          {'rule': 'capitals', 'v': CASE WHEN word_chars > 0 THEN capitals * 1000 // word_chars ELSE 0 END},
+          {'rule': 'dup_lines', 'v': CASE WHEN len(l) > 0 THEN n_dup_lines * 1000 // len(l) ELSE 0 END},
+          {'rule': 'repeats', 'v': CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END},
+          {'rule': 'word_length', 'v': CASE WHEN n_words > 0 THEN word_chars * 100 // n_words ELSE 0 END}] AS rs
+  FROM base),
+vals AS (SELECT r, lang, source, x.rule AS rule, x.v::BIGINT AS v FROM (SELECT r, lang, source, unnest(rs) AS x FROM rules)),
+buckets AS (
+  SELECT *, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS b FROM vals),
+sized AS (
+  SELECT *, count(*) OVER (PARTITION BY lang, source, rule) AS own, count(*) OVER (PARTITION BY lang, rule) AS of_lang FROM buckets),
+used AS (
+  SELECT DISTINCT lang, source, rule, CASE WHEN own >= 200 THEN 0 WHEN of_lang >= 200 THEN 1 ELSE 2 END AS level FROM sized),
+pooled AS (
+  SELECT u.lang, u.source, u.rule, b.b FROM used u JOIN buckets b
+  ON u.rule = b.rule AND (u.level > 1 OR u.lang IS NOT DISTINCT FROM b.lang) AND (u.level > 0 OR u.source IS NOT DISTINCT FROM b.source)),
+quartiles AS (
+  SELECT lang, source, rule, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM pooled GROUP BY ALL),
+fences AS (
+  SELECT *, greatest((q3 - q1) * 4, CASE rule WHEN 'symbols' THEN 50 WHEN 'marks' THEN 60 WHEN 'capitals' THEN 150
+                                    WHEN 'dup_lines' THEN 400 WHEN 'repeats' THEN 350 ELSE 200 END) AS gap FROM quartiles),
+outside AS (
+  SELECT DISTINCT v.r FROM vals v JOIN fences f ON v.rule = f.rule AND v.lang IS NOT DISTINCT FROM f.lang
+  AND v.source IS NOT DISTINCT FROM f.source
+  WHERE v.v > f.q3 + f.gap OR (v.rule = 'word_length' AND v.v < f.q1 - f.gap))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND r NOT IN (SELECT r FROM outside) AS kept
+FROM rules
+""",
+    "op8_secret_scan": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
+runs AS (
+  SELECT r, doc_id, owner, 0 AS k, 'assign' AS kind,
+         regexp_extract_all(t, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0) AS m,
+         regexp_extract_all(t, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS v,
+         regexp_split_to_array(t, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS b FROM docs
+  UNION ALL
+  SELECT r, doc_id, owner, 1, 'access', regexp_extract_all(t, 'AKIA[A-Z0-9]+'), NULL, regexp_split_to_array(t, 'AKIA[A-Z0-9]+') FROM docs
+  UNION ALL
+  SELECT r, doc_id, owner, 2, 'hex', regexp_extract_all(t, '[0-9a-f]{32,}'), NULL, regexp_split_to_array(t, '[0-9a-f]{32,}') FROM docs
+  UNION ALL
+  SELECT r, doc_id, owner, 3, 'token', regexp_extract_all(t, '[A-Za-z0-9+/_-]{24,}'), NULL, regexp_split_to_array(t, '[A-Za-z0-9+/_-]{24,}') FROM docs),
+placed AS (
+  SELECT r, doc_id, owner, k, kind, i, m[i] AS m, coalesce(v[i], m[i]) AS v,
+         sum(length(b[i]) + length(m[i])) OVER (PARTITION BY r, k ORDER BY i) AS e
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM runs)),
+spans AS (
+  SELECT *, (e - length(m))::BIGINT AS s,
+         regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= 8 AS rnd
+  FROM placed WHERE (k = 0 AND length(v) >= 8) OR (k = 1 AND length(m) >= 16) OR (k = 2 AND length(m) >= 32) OR (k = 3 AND length(m) >= 24)),
+wide AS (
+  SELECT * FROM spans w WHERE k = 3 AND rnd
+  AND NOT EXISTS (SELECT 1 FROM spans b WHERE b.r = w.r AND b.k < 3 AND b.s < w.e AND w.s < b.e)),
+cand AS (SELECT * FROM spans WHERE k < 3 UNION ALL SELECT * FROM wide),
+judged AS (SELECT v, bool_or(rnd) AND count(DISTINCT owner) <= 2 AS live FROM cand GROUP BY v),
+shown AS (SELECT c.*, j.live FROM cand c JOIN judged j USING (v)),
+rowwise AS (
+  SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+         string_agg(kind || ':' || s || ':' || e::BIGINT, ',' ORDER BY s, k) FILTER (k < 3) AS base,
+         string_agg(kind || ':' || s || ':' || e::BIGINT, ',' ORDER BY s, k) FILTER (k < 3 OR live) AS spans,
+         count(DISTINCT v) FILTER (live) AS n_live, count(DISTINCT v) FILTER (NOT live) AS n_examples
+  FROM shown GROUP BY r)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_live, 0) AS n_live, coalesce(n_examples, 0) AS n_examples
+FROM docs d LEFT JOIN rowwise USING (r)
+""",
     "op10_chat_format": r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
