@@ -78,6 +78,8 @@ class Automaton:
 
     def scan(self, own: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Spans of words in any occurrence (start, end), and the windows that occur."""
+        if not self.numbers:
+            return [], set()
         get = self.numbers.get
         # Number 0 is in no window; empty strings between separators are no words.
         found = list(self.machine.iter(tuple([get(w, 0) for w in own])))
