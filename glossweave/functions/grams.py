@@ -1,19 +1,13 @@
-"""Token and gram expressions for BLEU and chrF."""
+"""Token expressions for BLEU and chrF."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed import BLEU_ORDER, CHRF_ORDER, ENTITIES_13A, SPACE_CHARS, TOKENIZER_13A
+from .fixed import ENTITIES_13A, SPACE_CHARS, TOKENIZER_13A
 from .text import drop_spaces, squeeze_spaces
 
-# Each match reads a window ahead (group 1) and consumes only its first unit.
-# Up to four tokens, at each token:
-_TOKEN_WINDOW = r"(?=(\S+(?: \S+){0,%d}))\S+ ?" % (BLEU_ORDER - 1)
-# Up to six code points, at each code point:
-_CHAR_WINDOW = r"(?s)(?=(.{1,%d}))." % CHRF_ORDER
-
 
 def tokens_13a(c: Column) -> Column:
     """Published 13a tokenization as text: tokens joined by single spaces."""
@@ -32,30 +26,5 @@ def tokens_13a(c: Column) -> Column:
     return squeeze_spaces(c)
 
 
-def token_count(tokens: Column) -> Column:
-    return F.when(tokens == "", 0).otherwise(F.size(F.split(tokens, " "))).cast("bigint")
-
-
-def token_windows(tokens: Column) -> Column:
-    return F.regexp_extract_all(tokens, F.lit(_TOKEN_WINDOW), F.lit(1))
-
-
-def token_prefix(gram: Column, n: int) -> Column:
-    return F.substring_index(gram, " ", n)
-
-
-def token_order(gram: Column) -> Column:
-    """Number of tokens in a non-empty window."""
-    return F.length(gram) - F.length(F.replace(gram, F.lit(" "))) + 1
-
-
 def chrf_text(c: Column) -> Column:
     return drop_spaces(F.coalesce(c, F.lit("")))
-
-
-def char_windows(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(_CHAR_WINDOW), F.lit(1))
-
-
-def char_prefix(gram: Column, n: int) -> Column:
-    return F.substring(gram, 1, n)

@@ -1,22 +1,20 @@
-"""BLEU and chrF as DataFrame aggregations.
-
-Both metrics need the clipped n-gram overlap of two texts for several orders.  Exploding
-every order would emit 2 x 6 grams per character, so overlap is resolved longest grams
-first: each position yields one window of the highest order, equal windows of both sides
-cancel out, and only what is left over is shortened by one unit and compared again.  A
-position matched at order n is matched at every lower order as well, because
-``min(c + x, c + y) = c + min(x, y)``.  The closer the two sides, the fewer rows reach
-the lower orders; equal texts need no grams at all.
-
-Text is co-located by segment before the windows are made, so none of the grouping below
-shuffles again.
+"""BLEU and chrF where the row is.
+
+A pair has both texts in one row, so its statistics need no shuffle: the row's texts are
+normalised by column expressions and go through one Arrow-batched kernel that counts clipped
+grams of all segments of a slice at once.  Grams get numbers order by order (number of the gram
+without its last unit, then the last unit), one sort per order; a gram that one side lacks
+cannot be part of a longer match, so only the rest goes on to the next order.  Corpus
+scores are partial aggregates over the segments' statistics.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,72 +34,79 @@ CHRF_COLUMNS = tuple(
 )
 
 
-def _overlap(
-    pairs: DataFrame,
-    keys: list[str],
-    prepare: Callable[[Column], Column],
-    size: Callable[[Column], Column],
-    windows: Callable[[Column], Column],
-    prefix: Callable[[Column, int], Column],
-    order_of: Callable[[Column], Column],
-    order: int,
-) -> DataFrame:
-    """Per segment: unit counts of both sides and clipped matches ``_m1.._mN``."""
-    zero = F.lit(0).cast("bigint")
-    texts = pairs.select(*keys, prepare(F.col("hyp")).alias("h"), prepare(F.col("ref")).alias("r"))
-    equal = F.col("h") == F.col("r")
-
-    def side(text: str, hyp: int) -> Column:
-        # The empty gram keeps every segment in the result.
-        found = F.when(~equal, windows(F.col(text))).otherwise(F.array().cast("array<string>"))
-        return F.struct(
-            F.lit(hyp).cast("bigint").alias("hyp"),
-            F.lit(1 - hyp).cast("bigint").alias("ref"),
-            F.concat(F.array(F.lit("")), found).alias("grams"),
-        )
+#: Units of both sides that the kernel takes at once, beyond one segment's.
+SLICE = 1 << 18
 
-    level = (
-        texts.select(
-            *keys,
-            F.when(equal, size(F.col("h"))).otherwise(zero).alias("same"),
-            F.explode(F.array(side("h", 1), side("r", 0))).alias("s"),
-        )
-        .select(*keys, "same", "s.hyp", "s.ref", F.explode("s.grams").alias("gram"))
-        .withColumn("real", F.col("gram") != "")
-        .groupBy(*keys, "gram")
-        .agg(
-            F.sum(F.when(F.col("real"), F.col("hyp")).otherwise(zero)).alias("hyp"),
-            F.sum(F.when(F.col("real"), F.col("ref")).otherwise(zero)).alias("ref"),
-            F.max(F.when(F.col("real"), zero).otherwise(F.col("same"))).alias("same"),
-        )
-    )
-    found = []
-    for n in range(order, 0, -1):
-        gram = F.col("gram")
-        full = (gram != "") & (order_of(gram) == n)
-        common = F.when(full, F.least("hyp", "ref")).otherwise(zero)
-        used_up = F.col("hyp") + F.col("ref") == common * 2
-        rest = F.when(used_up, F.lit("")).otherwise(prefix(gram, n - 1)) if n > 1 else F.lit("")
-        level = level.groupBy(*keys, rest.alias("gram")).agg(
-            F.sum(F.col("hyp") - common).alias("hyp"),
-            F.sum(F.col("ref") - common).alias("ref"),
-            F.sum(common).alias(f"_k{n}"),
-            *[F.sum(c).alias(c) for c in ("same", *found)],
+
+def _characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Units of all texts in a row, and how many each has."""
+    units = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return units, np.array([len(t) for t in texts], np.int64)
+
+
+def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    split = [t.split(" ") if t else [] for t in texts]
+    return pd.factorize(np.array([x for t in split for x in t], object))[0], np.array(list(map(len, split)), np.int64)
+
+
+def clipped_matches(units: np.ndarray, sizes: np.ndarray, order: int) -> np.ndarray:
+    """Matches of every order per segment.
+
+    ``units`` holds all hypotheses, then all references; ``sizes`` their lengths (2 x segments).
+    """
+    segments = len(sizes) // 2
+    out = np.zeros((segments, order), np.int64)
+    base = np.int64(len(np.unique(units)) + 1)
+    units = np.unique(units, return_inverse=True)[1].astype(np.int64)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    end = np.repeat(np.cumsum(sizes), sizes)
+    segment, is_ref = text % segments, text >= segments
+    at = np.arange(len(units))
+    gram = segment.astype(np.int64)
+    for n in range(1, order + 1):
+        fits = at + n <= end[at]
+        at, gram = at[fits], gram[fits]
+        if not len(at):
+            break
+        found, number = np.unique(gram * base + units[at + n - 1], return_inverse=True)
+        ref = is_ref[at]
+        common = np.minimum(
+            np.bincount(number[~ref], minlength=len(found)), np.bincount(number[ref], minlength=len(found))
         )
-        found.append(f"_k{n}")
-    matched = _add(F.col(c) for c in found)
-    return level.select(
-        *keys,
-        (F.col("hyp") + matched + F.col("same")).alias("_h"),
-        (F.col("ref") + matched + F.col("same")).alias("_r"),
-        *[
-            (
-                _add(F.col(f"_k{k}") for k in range(n, order + 1))
-                + _windows_of(F.col("same"), n)
-            ).alias(f"_m{n}")
-            for n in range(1, order + 1)
-        ],
-    )
+        owner = np.empty(len(found), np.int64)
+        owner[number] = segment[at]
+        out[:, n - 1] = np.bincount(owner, common, segments)
+        shared = common[number] > 0
+        at, gram = at[shared], number[shared]
+    return out
+
+
+def _slices(hyp: list[str], ref: list[str]) -> Iterator[slice]:
+    start = size = 0
+    for k, (h, r) in enumerate(zip(hyp, ref)):
+        size += len(h) + len(r)
+        if size >= SLICE:
+            yield slice(start, k + 1)
+            start, size = k + 1, 0
+    if start < len(hyp):
+        yield slice(start, len(hyp))
+
+
+def _counts(order: int, units) -> Column:
+    """UDF from normalised ``(hyp, ref)`` to ``[hyp units, ref units, matches of every order]``."""
+
+    @F.pandas_udf("array<bigint>")
+    def count(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+        rows = []
+        hyp, ref = hyp.tolist(), ref.tolist()
+        for part in _slices(hyp, ref):
+            numbers, sizes = units(hyp[part] + ref[part])
+            n = len(sizes) // 2
+            matches = clipped_matches(numbers, sizes, order)
+            rows.extend(np.column_stack([sizes[:n], sizes[n:], matches]))
+        return pd.Series(rows, dtype=object)
+
+    return count
 
 
 def _add(columns) -> Column:
@@ -112,65 +117,46 @@ def _windows_of(length: Column, n: int) -> Column:
     return F.greatest(length - (n - 1), F.lit(0)).cast("bigint")
 
 
-def colocate(pairs: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
-    """Shuffle the texts (not their grams) so that each segment sits in one partition.
+def _bleu_counts() -> Column:
+    return _counts(BLEU_ORDER, _tokens)(grams.tokens_13a(F.col("hyp")), grams.tokens_13a(F.col("ref")))
 
-    The count is explicit because adaptive execution would otherwise merge partitions by
-    the size of the text, which is a hundredth of the work that follows.
-    """
-    if partitions is None:
-        partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.select(*keys, "hyp", "ref").repartition(partitions, *keys)
-
-
-def bleu_stats(pairs: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
-    """Sufficient statistics of BLEU per segment.  ``keys`` identify a segment."""
-    counts = _overlap(
-        colocate(pairs, keys, partitions),
-        keys,
-        grams.tokens_13a,
-        grams.token_count,
-        grams.token_windows,
-        grams.token_prefix,
-        grams.token_order,
-        BLEU_ORDER,
-    )
-    orders = range(1, BLEU_ORDER + 1)
-    return counts.select(
-        *keys,
-        F.col("_h").alias("sys_len"),
-        F.col("_r").alias("ref_len"),
-        *[F.col(f"_m{n}").alias(f"correct_{n}") for n in orders],
-        *[_windows_of(F.col("_h"), n).alias(f"total_{n}") for n in orders],
-    )
 
+def _chrf_counts() -> Column:
+    return _counts(CHRF_ORDER, _characters)(grams.chrf_text(F.col("hyp")), grams.chrf_text(F.col("ref")))
 
-def chrf_stats(pairs: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
-    """Sufficient statistics of chrF per segment.
 
-    Hypothesis counts of an order the reference does not have are zero, per segment.
-    """
-    counts = _overlap(
-        colocate(pairs, keys, partitions),
-        keys,
-        grams.chrf_text,
-        lambda text: F.length(text).cast("bigint"),
-        grams.char_windows,
-        grams.char_prefix,
-        F.length,
-        CHRF_ORDER,
-    )
+def _bleu_columns(counts: str) -> list[Column]:
+    c = F.col(counts)
+    return [
+        c[0].alias("sys_len"),
+        c[1].alias("ref_len"),
+        *[c[n + 1].alias(f"correct_{n}") for n in range(1, BLEU_ORDER + 1)],
+        *[_windows_of(c[0], n).alias(f"total_{n}") for n in range(1, BLEU_ORDER + 1)],
+    ]
+
+
+def _chrf_columns(counts: str) -> list[Column]:
+    """Hypothesis counts of an order the reference does not have are zero, per segment."""
+    c = F.col(counts)
     orders = range(1, CHRF_ORDER + 1)
-    hyp, ref = F.col("_h"), F.col("_r")
-    return counts.select(
-        *keys,
+    return [
         *[
-            F.when(ref >= n, _windows_of(hyp, n)).otherwise(F.lit(0).cast("bigint")).alias(f"hyp_{n}")
+            F.when(c[1] >= n, _windows_of(c[0], n)).otherwise(F.lit(0).cast("bigint")).alias(f"hyp_{n}")
             for n in orders
         ],
-        *[_windows_of(ref, n).alias(f"ref_{n}") for n in orders],
-        *[F.col(f"_m{n}").alias(f"match_{n}") for n in orders],
-    )
+        *[_windows_of(c[1], n).alias(f"ref_{n}") for n in orders],
+        *[c[n + 1].alias(f"match_{n}") for n in orders],
+    ]
+
+
+def bleu_stats(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Sufficient statistics of BLEU, a row per row of ``pairs``."""
+    return pairs.select(*keys, _bleu_counts().alias("_b")).select(*keys, *_bleu_columns("_b"))
+
+
+def chrf_stats(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Sufficient statistics of chrF, a row per row of ``pairs``."""
+    return pairs.select(*keys, _chrf_counts().alias("_c")).select(*keys, *_chrf_columns("_c"))
 
 
 def total_stats(stats: DataFrame, by: list[str]) -> DataFrame:
@@ -256,12 +242,11 @@ def with_chrf(stats: DataFrame, score: str = "chrf") -> DataFrame:
     ).drop("_p", "_r", "_n")
 
 
-def segment_scores(pairs: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
-    """Statistics and rounded scores of every segment, one row each.
-
-    Both statistics are partitioned alike, so their join needs no further shuffle.
-    """
-    both = bleu_stats(pairs, keys, partitions).join(chrf_stats(pairs, keys, partitions), keys)
+def segment_scores(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Statistics and rounded scores of every segment, one row each, in one pass."""
+    both = pairs.select(*keys, _bleu_counts().alias("_b"), _chrf_counts().alias("_c")).select(
+        *keys, *_bleu_columns("_b"), *_chrf_columns("_c")
+    )
     scored = with_chrf(with_bleu(both))
     return scored.withColumns({"bleu": round2(F.col("bleu")), "chrf": round2(F.col("chrf"))})
 

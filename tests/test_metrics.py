@@ -71,10 +71,19 @@ def test_against_plain_scorer(spark, seed):
         assert got[seg].chrf == pytest.approx(plain.chrf(c), abs=0.00501)
 
 
-def test_only_texts_are_shuffled(spark):
+def test_nothing_is_shuffled(spark):
     pairs = frame(spark, [r[:3] for r in GOLDEN])
-    plan = M.chrf_stats(pairs, ["seg_id"])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1
+    for make in (M.bleu_stats, M.chrf_stats, M.segment_scores):
+        plan = make(pairs, ["seg_id"])._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_slices_do_not_change_results(spark, monkeypatch):
+    rows = random_pairs(50, 3)
+    texts = [r[1] for r in rows] + [r[2] for r in rows]
+    whole = M.clipped_matches(*M._characters(texts), 6)
+    for k, (_, hyp, ref) in enumerate(rows):
+        assert (M.clipped_matches(*M._characters([hyp, ref]), 6)[0] == whole[k]).all()
 
 
 def test_empty_corpus(spark):
