@@ -87,7 +87,7 @@ flags AS (
   FROM runs GROUP BY ALL)"""
 CELLS = """
 cells AS (
-  SELECT 0::BIGINT AS doc_id, 0::INTEGER AS table_index, p_partkey::INTEGER AS row_idx, 0::INTEGER AS col_idx, p_name AS text FROM part
+  SELECT 0::BIGINT AS doc_id, 0::INTEGER AS table_index, p_partkey::BIGINT AS row_idx, 0::INTEGER AS col_idx, p_name AS text FROM part
   UNION ALL SELECT 0, 0, p_partkey::INTEGER, 1, p_brand FROM part
   UNION ALL SELECT 0, 0, p_partkey::INTEGER, 2, p_type FROM part
   UNION ALL SELECT 0, 1, n_nationkey, 0, n_name FROM nation)"""
@@ -288,7 +288,7 @@ ORACLE = {
 SELECT doc_id, table_index, count(DISTINCT row_idx) AS n_rows, count(*) FILTER (WHERE row_idx = 0) AS n_cols
 FROM cells GROUP BY ALL""",
     "s4_image_catalogue": """WITH parts AS (
-  SELECT source, doc_id::INTEGER AS part_no,
+  SELECT source, doc_id AS part_no,
          CASE lang WHEN 'fr' THEN 'image/png' WHEN 'de' THEN 'image/jpeg' WHEN 'es' THEN 'image/gif'
               ELSE 'text/xml' END AS content_type FROM documents),
 images AS (
@@ -444,7 +444,7 @@ pairs AS (SELECT doc_id, "index", text AS hyp, lower(source_text) AS ref FROM tr
     'doc_id, "index"')},{corpus(None, 'reference')}
 SELECT mode, n_evaluated, bleu, chrf FROM corpus""",
     "k1_translated_documents": f"""WITH {TRANSLATED}
-SELECT e.doc_id, 0::BIGINT AS part_no,
+SELECT e.doc_id,
   string_agg(CASE WHEN {strip('t.text')} <> '' THEN {strip('t.text')} ELSE e.text END, {NL} ORDER BY e."index") AS text
 FROM every e LEFT JOIN translated t ON t.doc_id = e.doc_id AND t."index" = e."index" GROUP BY e.doc_id""",
     "k2_written_runs": f"""WITH {RUNS},
@@ -470,7 +470,7 @@ FROM plan WHERE new IS NOT NULL AND carrier IS NULL""",
 SELECT conv_id, CASE WHEN {strip('text')} <> '' THEN text ELSE '' END AS text,
   is_bold AND {strip('text')} <> '' AS is_bold, is_italic AND {strip('text')} <> '' AS is_italic,
   has_image AS lost_image
-FROM flags JOIN (SELECT conv_id, text FROM runs WHERE run_no = 0) USING (conv_id)""",
+FROM flags JOIN (SELECT conv_id, string_agg(coalesce(text, ''), '' ORDER BY run_no, text) AS text FROM runs GROUP BY conv_id) USING (conv_id)""",
     "k3_grid_cells": f"""WITH {CELLS},
 ragged AS (SELECT * FROM cells WHERE row_idx > 0 OR col_idx < 2),
 shapes AS (SELECT table_index, max(row_idx)::BIGINT + 1 AS n_rows, count(*) FILTER (WHERE row_idx = 0) AS n_cols
@@ -479,10 +479,12 @@ SELECT r.*, n_rows, n_cols FROM ragged r JOIN shapes USING (table_index) WHERE r
     "k3_rebuilt_rows": f"""WITH {CELLS}
 SELECT table_index, row_idx, string_agg(text, '|' ORDER BY col_idx) AS row FROM cells GROUP BY ALL""",
     "k4_flagged_report": f"""{SYSTEM_SCORES}
-SELECT system, rank::INTEGER AS rank, lpad((seg_id + 1)::VARCHAR, 4, '0') AS number, chrf,
+SELECT system, rank::INTEGER AS rank, printf('%04d', seg_id + 1) AS number, chrf,
   CASE WHEN length(hyp) > 70 THEN substr(hyp, 1, 70) || '…' ELSE hyp END AS preview
 FROM (SELECT *, row_number() OVER (PARTITION BY system ORDER BY chrf, seg_id) AS rank
       FROM scored JOIN hyps USING (system, seg_id)) WHERE rank <= 5""",
     "k5_benchmark_tables": f"""{SYSTEM_SCORES}, {DETAIL[DETAIL.index('detail AS'):]}
 SELECT detail.*, bleu, chrf FROM detail JOIN scored USING (seg_id) WHERE system = 'glossary'""",
 }
+
+ORACLE["a12_mode_fallback"] = ORACLE["a11_proxy_evaluation"]

@@ -174,7 +174,7 @@ def s4_image_catalogue(spark, sf):
         .otherwise("text/xml")
     )
     parts = table(spark, sf, "documents").select(
-        "source", F.col("doc_id").cast("int").alias("part_no"), kind.alias("content_type")
+        "source", F.col("doc_id").alias("part_no"), kind.alias("content_type")
     )
     return segmentation.image_catalogue(parts, ["source"])
 
@@ -470,6 +470,13 @@ def a12_mode_choice(spark, sf):
     return metrics.corpus_scores(scored, [], mode).select("mode", "n_evaluated", "bleu", "chrf")
 
 
+def a12_mode_fallback(spark, sf):
+    """No reference file: back-translation of the sample."""
+    found = eval_plan.file_pairs(translations(spark, sf), f"{sf}/no-references", GlossaryTranslator(BACK))
+    scored = metrics.segment_scores(found.pairs, ["doc_id", "pos"])
+    return metrics.corpus_scores(scored, [], found.mode).select("mode", "n_evaluated", "bleu", "chrf")
+
+
 # --- sinks --------------------------------------------------------------------------------
 
 
@@ -488,7 +495,7 @@ def k2_written_runs(spark, sf):
 
 def k3_plain_rebuild(spark, sf):
     flags = s2_run_flags(spark, sf).select("conv_id", "is_bold", "is_italic", "has_image")
-    text = run_rows(spark, sf).filter("run_no = 0").select("conv_id", "text")
+    text = runs.paragraph_texts(run_rows(spark, sf), ["conv_id"])
     return runs.plain_rebuild(flags.join(text, "conv_id"), ["conv_id"])
 
 
@@ -499,8 +506,8 @@ def k3_grid_cells(spark, sf):
 
 def k3_rebuilt_rows(spark, sf):
     rows = sink.rebuild_tables(cells(spark, sf), tables.TABLE)
-    return rows.select("table_index", F.posexplode("rows").alias("row_idx", "row")).select(
-        "table_index", "row_idx", F.array_join("row", "|").alias("row")
+    return rows.select("table_index", F.explode("rows").alias("r")).select(
+        "table_index", "r.row_idx", F.array_join("r.row", "|").alias("row")
     )
 
 
@@ -525,9 +532,11 @@ QUERIES = {
 
 
 def flagship(spark, sf):
-    """Segment, translate by glossary, translate back, and score chrF per language."""
+    """Segment, translate by glossary, translate back, and score every paragraph per language."""
     langs = table(spark, sf, "documents").select("doc_id", "lang")
-    pairs = eval_plan.proxy_pairs(translations(spark, sf), GlossaryTranslator(BACK))
+    pairs = translations(spark, sf).select(
+        "doc_id", "index", glossary_column(F.col("text"), BACK).alias("hyp"), F.col("source_text").alias("ref")
+    )
     stats = metrics.chrf_stats(pairs, ["doc_id", "index"]).join(langs, "doc_id")
     return metrics.with_chrf(metrics.total_stats(stats, ["lang"])).select(
         "lang", "n_evaluated", round2(F.col("chrf")).alias("chrf")

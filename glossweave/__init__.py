@@ -7,8 +7,8 @@ from .operators.translators import (
     build_glossary,
     build_memory,
 )
-from .plans.benchmark import run_benchmark
-from .plans.evaluate import Evaluation, choose_pairs, evaluate, proxy_pairs
+from .plans.benchmark import run_benchmark, timed_hypotheses
+from .plans.evaluate import Evaluation, choose_pairs, evaluate, file_pairs, proxy_pairs
 from .plans.translate import Options, make_briefs, translate_corpus, translate_paragraphs
 from .session import build_session
 
@@ -23,9 +23,11 @@ __all__ = [
     "build_session",
     "choose_pairs",
     "evaluate",
+    "file_pairs",
     "make_briefs",
     "proxy_pairs",
     "run_benchmark",
+    "timed_hypotheses",
     "translate_corpus",
     "translate_paragraphs",
 ]

@@ -18,9 +18,11 @@ def align_responses(batches: DataFrame) -> DataFrame:
     return batches.withColumn("aligned", align_items(F.col("items"), parse_items(F.col("raw"))))
 
 
-def zip_segments(hyps: DataFrame, refs: DataFrame, pos: str = "pos") -> DataFrame:
+def zip_segments(hyps: DataFrame, refs: DataFrame, pos: str | list[str] = "pos") -> DataFrame:
     """Pair hypotheses ``(system, pos, hyp)`` with shared references ``(pos, ref)``.
 
+    With ``pos=["doc_id", "pos"]`` every document has references of its own.
+
     Surplus rows of either side drop out.  Positions are unique per system, so no key is hot.
     """
     return hyps.join(refs, pos)
@@ -29,12 +31,16 @@ def zip_segments(hyps: DataFrame, refs: DataFrame, pos: str = "pos") -> DataFram
 def length_report(hyps: DataFrame, refs: DataFrame) -> DataFrame:
     """Per system: how many segments a positional zip drops, and how serious that is."""
     counts = hyps.groupBy("system").agg(F.count("*").alias("n_hyp"))
-    counts = counts.withColumn("n_ref", refs.agg(F.count("*")).scalar())
+    return length_severity(counts.withColumn("n_ref", refs.agg(F.count("*")).scalar()), ["system"])
+
+
+def length_severity(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """What a positional zip of ``n_hyp`` and ``n_ref`` segments drops."""
     h, r = F.col("n_hyp"), F.col("n_ref")
     longer, shorter = F.greatest(h, r), F.least(h, r)
     dropped = longer - shorter
     return counts.select(
-        "system",
+        *keys,
         "n_hyp",
         "n_ref",
         dropped.alias("n_dropped"),

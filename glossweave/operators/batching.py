@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.text import is_blank
 from .segmentation import explode_rows, paragraph_array
 
-ITEM = "struct<pos:int,index:int,text:string>"
-
 
 def batch_documents(
     docs: DataFrame, batch_size: int, text: str = "text", kept: Column | None = None
@@ -44,9 +42,9 @@ def batch_rows(rows: DataFrame, keys: list[str], batch_size: int, carry: tuple[s
 
     A group is one batch, so it holds at most ``batch_size`` rows.
     """
-    item = F.struct(F.col("pos").cast("int").alias("pos"), F.col("index").cast("int").alias("index"), "text", *carry)
+    item = F.struct("pos", "index", "text", *carry)
     return (
-        rows.withColumn("batch_id", F.floor(F.col("pos") / batch_size).cast("int"))
+        rows.withColumn("batch_id", F.floor(F.col("pos") / batch_size))
         .groupBy(*keys, "batch_id")
         .agg(F.array_sort(F.collect_list(item)).alias("items"))
     )

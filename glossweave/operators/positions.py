@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 65536
+SALTS = 64
 
 
 def block_of(order: Column | str, block: int = BLOCK) -> Column:
@@ -47,16 +48,19 @@ def _block_offsets(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def head(
-    rows: DataFrame, keys: list[str], order: str, n: int, rank: str | None = None
+    rows: DataFrame, keys: list[str], order: str | list[str], n: int, rank: str | None = None
 ) -> DataFrame:
-    """First ``n`` rows per group.
+    """First ``n`` rows per group, for any ``n``.
 
-    Spark turns the rank filter into a per-task limit ahead of the shuffle, so each task
-    sends at most ``n`` rows per group.
+    Rows are ranked in ``SALTS`` parts of their group first, so that no task sorts a whole
+    group, then the first ``n`` of each part in the group.
     """
-    kept = rows.withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    ).filter(F.col("_rank") <= n)
+    order = [order] if isinstance(order, str) else order
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+    for part in ([*keys, "_salt"], keys):
+        ranked = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
+        salted = salted.withColumn("_rank", ranked).filter(F.col("_rank") <= n)
+    kept = salted.drop("_salt")
     return kept.withColumnRenamed("_rank", rank) if rank else kept.drop("_rank")
 
 

@@ -57,7 +57,8 @@ def translation_requests(
     brief: str | None = None,
     source: str = "English",
 ) -> DataFrame:
-    """Add the translation prompt; batches without any text are left out.
+    """Add the translation prompt; batches without any text have a null one, which no
+    translator sends, and so come back unchanged.
 
     ``brief`` names a column; a null or blank brief leaves its section out.
     """
@@ -79,8 +80,8 @@ def translation_requests(
     prompt = _sections(
         f"Translate this {source} text into {target}.", numbered_text(F.col("items")), context, rules
     )
-    return batches.filter(has_text(F.col("items"))).withColumns(
-        {"step": F.lit("translate"), "prompt": prompt}
+    return batches.withColumns(
+        {"step": F.lit("translate"), "prompt": F.when(has_text(F.col("items")), prompt)}
     )
 
 

@@ -85,10 +85,20 @@ def write_runs(runs: DataFrame, translations: DataFrame, keys: list[str]) -> Dat
     return kept.unionByName(added)
 
 
+def paragraph_texts(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Text of every paragraph: all its runs in order.  A group is one paragraph."""
+    part = F.struct("run_no", F.coalesce("text", F.lit("")).alias("text"))
+    return (
+        runs.groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(part)).alias("_runs"))
+        .select(*keys, F.array_join(F.transform("_runs", lambda r: r["text"]), "").alias("text"))
+    )
+
+
 def plain_rebuild(paragraphs: DataFrame, keys: list[str]) -> DataFrame:
     """Paragraphs of a document built without its original: one run with the flags.
 
-    Blank paragraphs stay as empty ones; pictures cannot be kept.
+    An ``alignment`` column is carried.  Blank paragraphs stay as empty ones; pictures cannot be kept.
     """
     has_text = ~is_blank("text")
     return paragraphs.select(
@@ -97,4 +107,5 @@ def plain_rebuild(paragraphs: DataFrame, keys: list[str]) -> DataFrame:
         (has_text & F.coalesce("is_bold", F.lit(False))).alias("is_bold"),
         (has_text & F.coalesce("is_italic", F.lit(False))).alias("is_italic"),
         F.coalesce("has_image", F.lit(False)).alias("lost_image"),
+        *[c for c in ("alignment",) if c in paragraphs.columns],
     )

@@ -2,36 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, preview
 from .metrics import corpus_scores
+from .positions import head
 
 
 def worst_segments(scored: DataFrame, by: list[str], ties: list[str], k: int = 5) -> DataFrame:
-    """The ``k`` lowest segment chrF per group; ties keep the segment order.
-
-    Spark applies the rank limit inside each task before shuffling, so even one group with
-    all rows sends at most ``k`` rows per task.
-    """
-    ordered = Window.partitionBy(*by).orderBy("chrf", *ties)
-    return scored.withColumn("rank", F.row_number().over(ordered)).filter(F.col("rank") <= k)
+    """The ``k`` lowest segment chrF per group; ties keep the segment order."""
+    return head(scored, by, ["chrf", *ties], k, rank="rank")
 
 
 def flagged_report(
     scored: DataFrame, texts: DataFrame, by: list[str], ties: list[str], k: int = 5
 ) -> DataFrame:
-    """Worst segments as report lines: 1-based four-digit number, score, preview.
+    """Worst segments as report lines: their keys, 1-based number of at least four digits,
+    score and preview.
 
     Only the few worst segments are joined with their texts (``hyp``).
     """
     keys = [*by, *ties]
     worst = worst_segments(scored.select(*keys, "chrf"), by, ties, k)
     return worst.join(texts.select(*keys, "hyp"), keys).select(
-        *by,
+        *keys,
         "rank",
-        F.lpad((F.col(ties[-1]) + 1).cast("string"), 4, "0").alias("number"),
+        F.format_string("%04d", F.col(ties[-1]) + 1).alias("number"),
         "chrf",
         preview("hyp", 70, "…").alias("preview"),
     )

@@ -75,7 +75,7 @@ def flatten_columns(
     """A wide frame as table cells: one grid row per input row, one cell per column."""
     number = F.create_map(*[F.lit(x) for i, v in enumerate(values) for x in (v, i)])
     return (
-        wide.select(*ids, row.cast("int").alias("row_idx"), *values)
+        wide.select(*ids, row.cast("bigint").alias("row_idx"), *values)
         .unpivot([*ids, "row_idx"], values, "col_name", "text")
         .select(*ids, "row_idx", number[F.col("col_name")].cast("int").alias("col_idx"), "text")
     )

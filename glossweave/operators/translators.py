@@ -17,10 +17,9 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import is_blank, strip
-from ..session import cut_lineage
+from ..session import saved
 
 
 @dataclass(frozen=True)
@@ -28,8 +27,8 @@ class ModelTranslator:
     """Run ``fn(list of prompts) -> list of replies`` over the requests.
 
     ``workers`` spreads the requests over that many tasks; the result does not depend on
-    it.  A call that raises is repeated prompt by prompt, so that one bad request costs
-    only its own batch.  Requests without a prompt are not sent.  ``pause`` seconds are kept
+    it.  A call that raises is repeated in halves, so that one bad request costs only few
+    others a second call.  Requests without a prompt are not sent.  ``pause`` seconds are kept
     between calls of one task.
     """
 
@@ -42,9 +41,6 @@ class ModelTranslator:
         if self.workers:
             requests = requests.repartition(self.workers, *keys)
         fn, pause, step = self.fn, self.pause, self.calls_per_batch
-        schema = T.StructType(
-            [*requests.schema.fields, T.StructField("raw", T.StringType()), T.StructField("error", T.StringType())]
-        )
 
         def ask(prompts: list[str]) -> list[tuple[str | None, str | None]]:
             try:
@@ -53,24 +49,26 @@ class ModelTranslator:
                     raise ValueError(f"{len(replies)} replies to {len(prompts)} prompts")
                 return [(None if r is None else str(r), None) for r in replies]
             except Exception as e:  # noqa: BLE001 - a failing model must not end the job
-                if len(prompts) > 1:
-                    return [answer for p in prompts for answer in ask([p])]
+                half = len(prompts) // 2
+                if half:
+                    return ask(prompts[:half]) + ask(prompts[half:])
                 return [(None, f"{type(e).__name__}: {e}")]
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                answers = pd.Series([(None, "no prompt")] * len(frame), index=frame.index, dtype=object)
-                prompts = frame["prompt"].dropna()
+        @F.pandas_udf("raw string, error string")
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                answers = pd.Series([(None, "no prompt")] * len(batch), index=batch.index, dtype=object)
+                prompts = batch.dropna()
                 for start in range(0, len(prompts), step):
                     part = prompts.iloc[start : start + step]
                     answers[part.index] = ask(part.tolist())
                     if pause:
                         time.sleep(pause)
-                frame["raw"] = [a[0] for a in answers]
-                frame["error"] = [a[1] for a in answers]
-                yield frame
+                yield pd.DataFrame(answers.tolist(), columns=["raw", "error"], index=batch.index)
 
-        return requests.mapInPandas(run, schema)
+        # Only the prompt travels; a model is asked once, so the call must not be repeated.
+        replied = requests.withColumn("_reply", run.asNondeterministic()("prompt"))
+        return replied.withColumns({"raw": F.col("_reply.raw"), "error": F.col("_reply.error")}).drop("_reply")
 
 
 def _numbered_reply(items: Column, text: Callable[[Column], Column]) -> Column:
@@ -97,14 +95,15 @@ def memory_key(text: Column | str) -> Column:
     return F.lower(strip(text))
 
 
-def build_memory(pairs: DataFrame) -> DataFrame:
+def build_memory(pairs: DataFrame, folder: str | None = None) -> DataFrame:
     """A lookup table with one target per key (the smallest, for a stable result).
 
-    It is checkpointed, so that later joins read it directly: a text that makes up much of
-    the corpus is then split by Spark's skew join, which does not look through an aggregate.
+    With a ``folder`` it is a written table that later joins read directly: a text that
+    makes up much of the corpus is then split by Spark's skew join, which does not look
+    through an aggregate.
     """
     entries = pairs.groupBy(memory_key("source").alias("key")).agg(F.min("target").alias("target"))
-    return cut_lineage(entries)
+    return saved(entries, folder, "memory")
 
 
 def translate_by_memory(rows: DataFrame, memory: DataFrame, text: str = "text") -> DataFrame:
@@ -113,15 +112,13 @@ def translate_by_memory(rows: DataFrame, memory: DataFrame, text: str = "text")
     return rows.withColumn("_key", memory_key(text)).join(entries, "_key", "left").drop("_key")
 
 
-def build_glossary(pairs: DataFrame) -> DataFrame:
-    """A glossary table with one target per word, checkpointed like a memory."""
-    return cut_lineage(pairs.groupBy("source").agg(F.min("target").alias("target")))
+def build_glossary(pairs: DataFrame, folder: str | None = None) -> DataFrame:
+    """A glossary table with one target per word, written like a memory."""
+    return saved(pairs.groupBy("source").agg(F.min("target").alias("target")), folder, "glossary")
 
 
 def glossary_column(text: Column, pairs: dict[str, str]) -> Column:
-    """Word-by-word replacement inside a projection, for a glossary known to be small."""
-    if len(pairs) > 200:
-        raise ValueError("more than 200 entries: use translate_by_glossary with a table")
+    """Word-by-word replacement inside a projection; large glossaries are better tables."""
     lookup = F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
     words = F.transform(F.split(text, " "), lambda w: F.coalesce(F.try_element_at(lookup, w), w))
     return F.array_join(words, " ")
@@ -181,21 +178,29 @@ class GlossaryTranslator:
 def _respond_by_item(
     requests: DataFrame, keys: list[str], translate: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
-    """Translate the items of each batch as rows and put the numbered reply together.
+    """Translate the items of each batch as rows and put batch and numbered reply together.
 
-    A group is one batch, so gathering is bounded by the batch size.
+    Items travel with their rows, so the requests are read once.  Prompts are not used and
+    come back null.  A group is one batch, so gathering is bounded by the batch size.
     """
-    rows = requests.select(*keys, F.posexplode("items").alias("_n", "item")).select(
-        *keys, "_n", F.col("item.pos").alias("pos"), F.col("item.text").alias("text")
+    others = [c for c in requests.columns if c not in (*keys, "items", "prompt")]
+    rows = requests.select(*keys, *others, F.posexplode("items").alias("_n", "_item")).select(
+        *keys, *others, "_n", "_item", F.col("_item.pos").alias("pos"), F.col("_item.text").alias("text")
     )
-    line = F.struct(
-        "_n",
-        F.concat(F.col("_n") + 1, F.lit(". "), F.coalesce("translated", "text")).alias("line"),
+    reply = F.when(
+        ~is_blank("text"), F.concat(F.col("_n") + 1, F.lit(". "), F.coalesce("translated", "text"))
     )
-    replies = (
-        translate(rows.filter(~is_blank("text")))
+    lines = F.array_sort(F.collect_list(F.struct("_n", "_item", reply.alias("line"))))
+    return (
+        translate(rows)
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(line)).alias("_lines"))
-        .select(*keys, F.array_join(F.transform("_lines", lambda x: x["line"]), "\n").alias("raw"))
+        .agg(lines.alias("_lines"), *[F.any_value(c).alias(c) for c in others])
+        .select(
+            *keys,
+            *others,
+            F.transform("_lines", lambda x: x["_item"]).alias("items"),
+            F.lit(None).cast("string").alias("prompt"),
+            F.array_join(F.transform("_lines", lambda x: x["line"]), "\n").alias("raw"),
+            F.lit(None).cast("string").alias("error"),
+        )
     )
-    return requests.join(replies, keys, "left").withColumn("error", F.lit(None).cast("string"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.alignment import zip_segments
@@ -21,3 +25,17 @@ def run_benchmark(
 ) -> DataFrame:
     """One comparison row per system."""
     return compare_systems(score_systems(hyps, bitext), elapsed)
+
+
+def timed_hypotheses(
+    spark: SparkSession, systems: dict[str, Callable[[], DataFrame]], folder: str
+) -> tuple[DataFrame, DataFrame]:
+    """``(system, seg_id, hyp)`` of all systems, each written once, and ``(system, seconds)``."""
+    frames, seconds = [], []
+    for k, (name, make) in enumerate(systems.items()):
+        start = time.perf_counter()
+        path = f"{folder}/system-{k}"
+        make().select("seg_id", "hyp").write.mode("overwrite").parquet(path)
+        seconds.append((name, round(time.perf_counter() - start, 2)))
+        frames.append(spark.read.parquet(path).select(F.lit(name).alias("system"), "seg_id", "hyp"))
+    return reduce(DataFrame.unionByName, frames), spark.createDataFrame(seconds, "system string, seconds double")

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
-from ..operators.alignment import align_responses
+from ..operators.alignment import align_responses, length_severity, zip_segments
 from ..operators.batching import batch_rows
 from ..operators.metrics import corpus_scores, score_spread, segment_scores
 from ..operators.positions import head
 from ..operators.requests import back_translation_requests
 from ..operators.scoring import flagged_report
 from ..operators.segmentation import explode_rows
-from ..session import cut_lineage
+from ..session import saved
+from ..sources.references import read_references
 from .translate import Options
 
 
@@ -30,13 +32,18 @@ class Evaluation:
 
 
 def evaluate(
-    pairs: DataFrame, keys: list[str], by: list[str], mode: str = "reference", k: int = 5
+    pairs: DataFrame,
+    keys: list[str],
+    by: list[str],
+    mode: str = "reference",
+    k: int = 5,
+    folder: str | None = None,
 ) -> Evaluation:
     """Score ``(*keys, hyp, ref)``.  ``keys`` must contain ``by`` and end with the position.
 
-    Segment scores feed three tables, so they are checkpointed once.
+    Segment scores feed three tables; with a ``folder`` they are written once.
     """
-    scored = cut_lineage(segment_scores(pairs, keys))
+    scored = saved(segment_scores(pairs, keys), folder, "segments")
     ties = [c for c in keys if c not in by]
     return Evaluation(
         segments=scored,
@@ -82,3 +89,39 @@ def choose_pairs(
         hyps = translations.select("doc_id", "index", F.col("text").alias("hyp"))
         return hyps.join(references.select("doc_id", "index", "ref"), ["doc_id", "index"]), "reference"
     return proxy_pairs(translations, back_translator, options), "back_translation"
+
+
+@dataclass(frozen=True)
+class FilePairs:
+    """Pairs to score, how they were made, and how lengths differ (None without references)."""
+
+    pairs: DataFrame
+    mode: str
+    lengths: DataFrame | None
+
+
+def file_pairs(
+    translations: DataFrame, path: str, back_translator, options: Options = Options()
+) -> FilePairs:
+    """Pairs ``(doc_id, pos, hyp, ref)`` from reference files, or proxy pairs if there are none.
+
+    The file named by a document's id holds its references, a line for each paragraph.
+    """
+    spark = translations.sparkSession
+    try:
+        files = read_references(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        pairs = proxy_pairs(translations, back_translator, options)
+        return FilePairs(pairs.withColumnRenamed("index", "pos"), "back_translation", None)
+    name = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
+    refs = files.select(name.cast(translations.schema["doc_id"].dataType).alias("doc_id"), "pos", "ref")
+    hyps = translations.select("doc_id", "pos", F.col("text").alias("hyp"))
+    sides = [
+        side.groupBy("doc_id").agg(F.count("*").alias(n)) for side, n in ((hyps, "n_hyp"), (refs, "n_ref"))
+    ]
+    counts = sides[0].join(sides[1], "doc_id", "full").fillna(0, ["n_hyp", "n_ref"])
+    return FilePairs(
+        zip_segments(hyps, refs, ["doc_id", "pos"]), "reference", length_severity(counts, ["doc_id"])
+    )

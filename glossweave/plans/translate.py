@@ -7,10 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import is_blank, strip
 from ..operators.alignment import align_responses, merge_by_index, with_brief
 from ..operators.batching import batch_documents, unbatch
 from ..operators.requests import brief_requests, review_requests, translation_requests
 from ..operators.segmentation import all_paragraphs, paragraph_array
+from ..session import saved
 from ..sinks.documents import reassemble
 
 
@@ -26,16 +28,6 @@ class Options:
     eval_back_translate_sample: int = 20
 
 
-def saved(frame: DataFrame, folder: str | None, name: str) -> DataFrame:
-    """Write a stage's output and read it back, so that a retry or a second use of the
-    stage never calls the model again.  Without a folder the frame stays lazy."""
-    if folder is None:
-        return frame
-    path = f"{folder}/{name}"
-    frame.write.mode("overwrite").parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
-
-
 def make_briefs(documents: DataFrame, analyst, options: Options, folder: str | None = None) -> DataFrame:
     """``(doc_id, brief)``; a failed call gives a null brief and the run goes on."""
     requests = brief_requests(
@@ -89,6 +81,17 @@ def translated_paragraphs(documents: DataFrame, translations: DataFrame) -> Data
     )
 
 
+def translated_documents(documents: DataFrame, translations: DataFrame) -> DataFrame:
+    """Documents from the translations of all their kept paragraphs, in one shuffle.
+
+    Blank paragraphs were never sent; they are the only rows taken from the originals again.
+    """
+    new = F.when(strip("text") != "", strip("text")).otherwise(F.col("source_text"))
+    done = translations.select("doc_id", "index", new.alias("text"))
+    gaps = all_paragraphs(documents.select("doc_id", "text")).filter(F.col("text").isNull() | is_blank("text"))
+    return reassemble(done.unionByName(gaps), ["doc_id"])
+
+
 def translate_corpus(
     documents: DataFrame,
     translator,
@@ -97,11 +100,11 @@ def translate_corpus(
     analyst=None,
     folder: str | None = None,
 ) -> DataFrame:
-    """Whole translated documents ``(doc_id, part_no, text)``."""
+    """Whole translated documents ``(doc_id, text)``."""
     briefs = None if analyst is None else make_briefs(documents, analyst, options, folder)
     translations = saved(
         translate_paragraphs(documents, translator, options, reviewer, briefs, folder),
         folder,
         "translations",
     )
-    return reassemble(translated_paragraphs(documents, translations), ["doc_id"])
+    return translated_documents(documents, translations)

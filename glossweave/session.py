@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
-
 
 def build_session(app: str = "glossweave", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the plans rely on; ``conf`` overrides them."""
@@ -25,17 +21,11 @@ def build_session(app: str = "glossweave", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
-def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder that the session names.
-
-    Only a local session without that setting gets a folder of its own.
-    """
-    spark = frame.sparkSession
-    folder = spark.conf.get(CHECKPOINT_KEY, None)
+def saved(frame: DataFrame, folder: str | None, name: str) -> DataFrame:
+    """Write a stage's output and read it back, so that a retry or a second use does not
+    repeat the stage.  Without a folder the frame stays lazy."""
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that every executor can reach")
-        folder = tempfile.mkdtemp(prefix="glossweave-")
-        spark.conf.set(CHECKPOINT_KEY, folder)
-    spark.sparkContext.setCheckpointDir(folder)
-    return frame.checkpoint()
+        return frame
+    path = f"{folder}/{name}"
+    frame.write.mode("overwrite").parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

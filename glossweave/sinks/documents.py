@@ -8,25 +8,24 @@ from pyspark.sql import functions as F
 from ..operators.positions import BLOCK, block_of
 
 
-def reassemble(paragraphs: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
-    """Document texts from ordered paragraphs, as ``(*keys, part_no, text)``.
+def reassemble(paragraphs: DataFrame, keys: list[str]) -> DataFrame:
+    """Document texts from ordered paragraphs, one row ``(*keys, text)`` per document.
 
-    A part covers ``block`` consecutive indexes, so no group exceeds that many rows; a
-    document with fewer paragraphs is one part.  Parts in order, joined by newline, are
-    the document.
+    A group is one document, whose text was one value on the way in.
     """
     ordered = F.array_sort(F.collect_list(F.struct("index", F.coalesce("text", F.lit("")).alias("text"))))
     return (
-        paragraphs.groupBy(*keys, block_of("index", block).alias("part_no"))
+        paragraphs.groupBy(*keys)
         .agg(ordered.alias("_rows"))
-        .select(
-            *keys, "part_no", F.array_join(F.transform("_rows", lambda r: r["text"]), "\n").alias("text")
-        )
+        .select(*keys, F.array_join(F.transform("_rows", lambda r: r["text"]), "\n").alias("text"))
     )
 
 
 def rebuild_tables(cells: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
-    """Cells to nested rows ``(*keys, part_no, rows array<array<string>>)``."""
+    """Cells to nested rows ``(*keys, part_no, rows array<struct<row_idx, row>>)``.
+
+    Each row carries its number in the table, whatever part it is in.
+    """
     cell_row = (
         cells.groupBy(*keys, "row_idx")
         .agg(F.array_sort(F.collect_list(F.struct("col_idx", "text"))).alias("_cells"))
@@ -34,8 +33,7 @@ def rebuild_tables(cells: DataFrame, keys: list[str], block: int = BLOCK) -> Dat
     )
     return (
         cell_row.groupBy(*keys, block_of("row_idx", block).alias("part_no"))
-        .agg(F.array_sort(F.collect_list(F.struct("row_idx", "row"))).alias("_rows"))
-        .select(*keys, "part_no", F.transform("_rows", lambda r: r["row"]).alias("rows"))
+        .agg(F.array_sort(F.collect_list(F.struct("row_idx", "row"))).alias("rows"))
     )
 
 

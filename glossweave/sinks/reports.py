@@ -20,12 +20,31 @@ def _guide(name: str, bands: tuple) -> list[str]:
 
 
 def evaluation_report(corpus: DataFrame, spread: DataFrame, flagged: DataFrame) -> str:
-    """Text of one system's evaluation: one corpus row, one spread row, at most k flagged rows."""
-    row, bounds = corpus.first(), spread.first()
+    """Text of an evaluation: a corpus row, a spread row and at most k flagged rows per group.
+
+    Groups are the columns that corpus and spread share; there are as many as systems.
+    """
+    by = [c for c in spread.columns if c in corpus.columns]
+    group = lambda row: tuple(row[c] for c in by)
+    bounds = {group(r): r for r in spread.collect()}
+    worst: dict[tuple, list] = {}
+    for row in flagged.orderBy("rank").collect():
+        worst.setdefault(group(row), []).append(row)
+    names = [c for c in flagged.columns if c not in (*by, "rank", "number", "chrf", "preview")]
+    parts = [
+        _evaluation(row, by, bounds.get(group(row)), worst.get(group(row), []), names[:-1])
+        for row in (corpus.orderBy(*by) if by else corpus).collect()
+    ]
+    return "\n".join(parts)
+
+
+def _evaluation(row, by: list[str], bounds, worst: list, names: list[str]) -> str:
+    """``names`` are the keys of a segment besides its position, which is its number."""
     proxy = row["mode"] == _PROXY
     show = lambda x: "N/A" if x is None else f"{x:.2f}"
     out = [
         "TRANSLATION EVALUATION REPORT",
+        *[f"  {c} : {row[c]}" for c in by],
         f"  Mode       : {row['mode']}",
         f"  Paragraphs : {row['n_evaluated']}",
         f"  BLEU{' (proxy)' if proxy else ''} : {show(row['bleu'])}  {row['bleu_label'] or ''}",
@@ -42,35 +61,45 @@ def evaluation_report(corpus: DataFrame, spread: DataFrame, flagged: DataFrame)
             f"  Max  : {show(bounds['chrf_max'])}",
             "Segments to review (lowest chrF)",
         ]
-        out += [
-            f"  [{r['number']}] chrF {show(r['chrf'])}  {r['preview']}"
-            for r in flagged.orderBy("rank").collect()
-        ]
+        for r in worst:
+            keys = "".join(f"{c} {r[c]}, " for c in names)
+            out.append(f"  [{keys}{r['number']}] chrF {show(r['chrf'])}  {r['preview']}")
         out.append(f"  Detail : {row['detail']}")
     if proxy:
         out.append("Scores are back-translation proxies; give references for true scores.")
     return "\n".join(out) + "\n"
 
 
-def benchmark_report(comparison: DataFrame, detail: DataFrame, title: str) -> str:
-    """Text of a benchmark: a row per system, then the sentences of the (small) benchmark set."""
+def benchmark_report(comparison: DataFrame, title: str) -> str:
+    """Head of a benchmark report: a row per system."""
     out = ["BENCHMARK REPORT", f"  Corpus : {title}"]
     for row in comparison.orderBy("system").collect():
         out.append(f"{row['system']}: BLEU {row['bleu']} {row['bleu_label']}; chrF {row['chrf']} {row['chrf_label']}")
         seconds = row.asDict().get("seconds")
         if seconds is not None:
             out.append(f"  Inference time : {seconds}s")
-    number = 0
-    for row in detail.orderBy("seg_id").toLocalIterator():
-        number += 1
-        out.append(f"[{number:02d}] Source    : {row['source']}")
-        out.append(f"     Ours      : {row['ours']}")
-        if row["other"] is not None:
-            out.append(f"     Other     : {row['other']}")
-        out.append(f"     Reference : {row['reference']}")
     return "\n".join(out) + "\n"
 
 
+def write_sentences(detail: DataFrame, folder: str) -> None:
+    """The sentences of a benchmark in order, as text files written by Spark."""
+    line = lambda label, c: F.concat(F.lit(f"     {label:<10}: "), F.col(c))
+    entry = F.concat_ws(
+        "\n",
+        F.concat(F.format_string("[%02d] Source    : ", F.col("seg_id") + 1), F.col("source")),
+        line("Ours", "ours"),
+        line("Other", "other"),
+        line("Reference", "reference"),
+    )
+    (
+        detail.repartitionByRange("seg_id")
+        .sortWithinPartitions("seg_id")
+        .select(entry.alias("value"))
+        .write.mode("overwrite")
+        .text(folder)
+    )
+
+
 def save_text(spark, text: str, folder: str) -> None:
     """Write a rendered report through Spark, so that any supported file system works."""
     lines = spark.createDataFrame([(i, t) for i, t in enumerate(text.split("\n"))], "n int, value string")

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from glossweave.session import CHECKPOINT_KEY, build_session  # noqa: E402
+from glossweave.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -15,7 +15,7 @@ def spark(tmp_path_factory):
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "4g",
-        CHECKPOINT_KEY: str(tmp_path_factory.mktemp("checkpoint")),
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoint")),
     }
     session = build_session("tests", "local[*]", **conf)
     session.sparkContext.setLogLevel("ERROR")

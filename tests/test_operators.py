@@ -14,6 +14,7 @@ from glossweave.operators.translators import (
     build_memory,
     glossary_column,
 )
+from glossweave.plans import benchmark as bench_plan
 from glossweave.plans import evaluate as ev
 from glossweave.plans import translate as plan
 from glossweave.sinks import documents as sink
@@ -195,8 +196,8 @@ def test_memory_and_glossary(spark):
     by_table = rows(plan.translate_paragraphs(documents(spark), GlossaryTranslator(table)), "doc_id", "pos")
     by_dict = rows(plan.translate_paragraphs(documents(spark), GlossaryTranslator(pairs)), "doc_id", "pos")
     assert by_table == by_dict and by_dict[1][4] == "der Hund"
-    with pytest.raises(ValueError):
-        glossary_column(F.lit("x"), {str(i): "" for i in range(201)})
+    many = {f"w{i}": f"t{i}" for i in range(300)}
+    assert spark.range(1).select(glossary_column(F.lit("w7 w299 x"), many)).first()[0] == "t7 t299 x"
 
 
 def test_round_trip_keeps_every_paragraph(spark, tmp_path):
@@ -207,11 +208,11 @@ def test_round_trip_keeps_every_paragraph(spark, tmp_path):
     echo = ModelTranslator(echo_of)
     analyst = ModelTranslator(lambda ps: ["be brief"] * len(ps))
     out = rows(plan.translate_corpus(documents(spark), echo, analyst=analyst, folder=str(tmp_path)), "doc_id")
-    assert out == [(d, 0, t) for d, t in rows(documents(spark), "doc_id")]
+    assert out == rows(documents(spark), "doc_id")
     sent = spark.read.parquet(f"{tmp_path}/drafts")
     assert sent.filter(~F.contains("prompt", F.lit("be brief"))).count() == 0
-    parts = sink.reassemble(segmentation.all_paragraphs(documents(spark)), ["doc_id"], block=2)
-    assert [r[2] for r in rows(parts.filter("doc_id = 1"), "part_no")] == ["the cat\n", "the dog\nsat", "there"]
+    whole = sink.reassemble(segmentation.all_paragraphs(documents(spark)), ["doc_id"])
+    assert rows(whole, "doc_id") == rows(documents(spark), "doc_id")
 
 
 def test_tables(spark):
@@ -225,7 +226,7 @@ def test_tables(spark):
     assert [r[4] for r in rows(done, *tables.CELL)] == ["der", "", "Hund", "b", "extra", "der"]
     assert "extra" not in [r.text for r in tables.cells_inside_grid(done).collect()]
     rebuilt = rows(sink.rebuild_tables(done, tables.TABLE), "table_index")
-    assert rebuilt[0][3] == [["der", ""], ["Hund", "b", "extra"]]
+    assert [tuple(r) for r in rebuilt[0][3]] == [(0, ["der", ""]), (1, ["Hund", "b", "extra"])]
 
 
 def test_proxy_and_reports(spark):
@@ -234,7 +235,7 @@ def test_proxy_and_reports(spark):
     back, mode = ev.choose_pairs(done, None, GlossaryTranslator({"der": "the"}))
     result = ev.evaluate(back, ["doc_id", "index"], [], mode)
     text = reports.evaluation_report(result.corpus, result.spread, result.flagged)
-    assert "back_translation" in text and "[0003]" in text
+    assert "back_translation" in text and "0003]" in text
     assert result.corpus.first().n_evaluated == 5
     refs = done.select("doc_id", "index", F.col("text").alias("ref"))
     same, mode = ev.choose_pairs(done, refs, None)
@@ -273,10 +274,82 @@ def test_plans(spark, sf):
     assert "Exchange" not in rows_plan and "ReadSchema: struct<doc_id:bigint,text:string>" in rows_plan
     # Ranks are limited inside each task before the shuffle.
     scored = spark.range(100).selectExpr("string(id div 30) system", "id seg_id", "rand() chrf")
-    assert plan_of(scoring.worst_segments(scored, ["system"], ["seg_id"])).count("WindowGroupLimit") == 2
+    assert plan_of(scoring.worst_segments(scored, ["system"], ["seg_id"])).count("WindowGroupLimit") >= 2
     assert "TakeOrderedAndProject" in plan_of(scoring.worst_segments(scored, [], ["seg_id"]))
-    assert plan_of(ev.translation_sample(q.translations(spark, sf), 20)).count("WindowGroupLimit") == 2
+    assert plan_of(ev.translation_sample(q.translations(spark, sf), 20)).count("WindowGroupLimit") >= 2
     # No join is a nested loop.
     for name in ("j7_length_report", "a9_run_summary", "k2_written_runs", "k4_flagged_report"):
         text = plan_of(q.QUERIES[name](spark, sf))
         assert "NestedLoop" not in text and "Cartesian" not in text
+
+
+def test_rebuilt_rows_do_not_depend_on_the_block(spark):
+    cells = spark.range(225).select(F.lit(1).alias("doc_id"), F.lit(0).alias("table_index"), (F.col("id") * 2).alias("row_idx"),
+                                    F.lit(0).alias("col_idx"), F.col("id").cast("string").alias("text"))
+    flat = lambda df: sorted((x.row_idx, x.row) for r in df.collect() for x in r.rows)
+    assert flat(sink.rebuild_tables(cells, tables.TABLE, block=50)) == flat(sink.rebuild_tables(cells, tables.TABLE))
+
+
+def test_batches_without_text_come_back(spark, shout):
+    """Paragraphs kept for their pictures only are counted and returned unchanged."""
+    kept = [(i, t) for i, t in enumerate(["a", "b", " ", ""])]
+    docs = spark.createDataFrame([(1, kept)], "doc_id long, text array<struct<index: int, text: string>>")
+    for translator in (ModelTranslator(shout), GlossaryTranslator({"a": "x"}), MemoryTranslator(spark.createDataFrame([("a", "x")], "key string, target string"))):
+        done = plan.translate_paragraphs(docs, translator, plan.Options(batch_size=2), kept=F.col("text"))
+        assert [r.text for r in done.orderBy("pos").collect()][2:] == [" ", ""]
+    summary = scoring.run_summary(docs, spark.createDataFrame([(1, 4, 0, 0)], "doc_id long, n_paragraphs long, n_tables long, n_images long"), done, "Hindi")
+    assert summary.first().paragraphs_translated == 4
+
+
+def test_large_k_is_ranked_in_parts(spark):
+    scored = spark.range(20_000).select(F.lit("a").alias("system"), F.col("id").alias("seg_id"), (F.col("id") * 7 % 1000 / 10).alias("chrf"))
+    worst = scoring.worst_segments(scored, ["system"], ["seg_id"], 5000)
+    want = sorted((i * 7 % 1000 / 10, i) for i in range(20_000))[:5000]
+    assert [(r.chrf, r.seg_id) for r in worst.orderBy("rank").collect()] == want
+    assert "_salt" in worst._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbers_are_never_cut(spark):
+    scored = spark.createDataFrame([("a", 12_344, 1.0), ("b", 4, 2.0)], "system string, seg_id long, chrf double")
+    texts = spark.createDataFrame([("a", 12_344, "x"), ("b", 4, "y")], "system string, seg_id long, hyp string")
+    got = {r.number for r in scoring.flagged_report(scored, texts, ["system"], ["seg_id"]).collect()}
+    assert got == {"12345", "0005"}
+
+
+def test_evaluation_of_files_and_systems(spark, tmp_path):
+    docs = documents(spark)
+    done = plan.translate_paragraphs(docs, GlossaryTranslator({"the": "der"}))
+    texts = {}
+    for r in done.orderBy("doc_id", "pos").collect():
+        texts.setdefault(r.doc_id, []).append(r.text.replace("\n", " "))
+    (tmp_path / "refs").mkdir()
+    for doc, own in texts.items():
+        (tmp_path / "refs" / f"{doc}.txt").write_text("\n".join(own[:-1] if doc == 1 else own), encoding="utf-8")
+    found = ev.file_pairs(done, str(tmp_path / "refs"), None)
+    assert found.mode == "reference" and found.pairs.count() == done.count() - 1
+    assert {r.doc_id: r.n_dropped for r in found.lengths.collect()}[1] == 1
+    missing = ev.file_pairs(done, str(tmp_path / "none"), GlossaryTranslator({"der": "the"}))
+    assert missing.mode == "back_translation" and missing.lengths is None and missing.pairs.count() > 0
+    refs = spark.createDataFrame([(0, "s", "one two three four"), (1, "s", "five six seven eight")], "seg_id long, source string, reference string")
+    make = lambda f: lambda: refs.select("seg_id", f("reference").alias("hyp"))
+    hyps, seconds = bench_plan.timed_hypotheses(spark, {"same": make(F.col), "upper": make(F.upper)}, str(tmp_path / "hyps"))
+    scored = bench_plan.score_systems(hyps, refs)
+    table = scoring.compare_systems(scored, seconds)
+    assert {r.system: r.bleu for r in table.collect()} == {"same": 100.0, "upper": 0.0}
+    assert reports.benchmark_report(table, "t").count("Inference time") == 2
+    pairs = hyps.join(refs.select("seg_id", F.col("reference").alias("ref")), "seg_id")
+    result = ev.evaluate(pairs, ["system", "seg_id"], ["system"], folder=str(tmp_path / "eval"))
+    text = reports.evaluation_report(result.corpus, result.spread, result.flagged)
+    assert text.count("TRANSLATION EVALUATION REPORT") == 2 and "system : upper" in text
+    detail = alignment.sentence_detail(refs, hyps.filter("system = 'same'"))
+    reports.write_sentences(detail, str(tmp_path / "sentences"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "sentences")).collect()]
+    assert lines[0] == "[01] Source    : s" and sum("Ours" in x for x in lines) == 2
+
+
+def test_plain_rebuild_takes_all_runs(spark):
+    rows_ = spark.createDataFrame([(1, 0, "a"), (1, 2, "c"), (1, 1, None), (2, 5, "z")], "p long, run_no int, text string")
+    text = runs.paragraph_texts(rows_, ["p"])
+    assert {r.p: r.text for r in text.collect()} == {1: "ac", 2: "z"}
+    flags = text.withColumns({"is_bold": F.lit(True), "is_italic": F.lit(None).cast("boolean"), "has_image": F.lit(False), "alignment": F.lit("center")})
+    assert {r.alignment for r in runs.plain_rebuild(flags, ["p"]).collect()} == {"center"}
