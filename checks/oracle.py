@@ -488,3 +488,35 @@ SELECT detail.*, bleu, chrf FROM detail JOIN scored USING (seg_id) WHERE system
 }
 
 ORACLE["a12_mode_fallback"] = ORACLE["a11_proxy_evaluation"]
+
+WORDS_OF = """list_transform(regexp_extract_all(text, '\\p{L}+(?:[-''’]\\p{L}+)*'), lambda x: lower(x))"""
+ORACLE["m9_key_terms"] = f"""WITH {PARAS},
+tf AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({WORDS_OF}) AS term FROM paras)
+       WHERE length(term) >= 3 GROUP BY ALL),
+df AS (SELECT term, count(*) AS n_docs FROM tf GROUP BY ALL),
+scored AS (
+  SELECT *, round(n * ln((SELECT count(DISTINCT doc_id) FROM paras)::DOUBLE / n_docs), 6) AS score FROM tf JOIN df USING (term))
+SELECT doc_id, rank::INTEGER AS rank, term, n, n_docs, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rank FROM scored) WHERE rank <= 10"""
+ORACLE["m9_names"] = f"""WITH {PARAS},
+tokens AS (SELECT doc_id, regexp_split_to_array({strip('text')}, '[\\t-\\r ]+') AS t FROM paras),
+inside AS (
+  SELECT doc_id, regexp_extract(t[i], '^\\p{{P}}*(\\p{{Lu}}\\p{{Ll}}+)\\p{{P}}*$', 1) AS name
+  FROM (SELECT doc_id, t, unnest(range(2, len(t) + 1)) AS i FROM tokens)
+  WHERE NOT regexp_matches(t[i - 1], '[.!?:]$'))
+SELECT doc_id, name, count(*) AS n FROM inside WHERE name <> '' GROUP BY ALL HAVING count(*) >= 2"""
+ORACLE["m9_phrases"] = f"""WITH {PARAS},
+w AS (SELECT doc_id, {WORDS_OF} AS w FROM paras),
+grams AS (
+  SELECT doc_id, array_to_string(w[i:i + s - 1], ' ') AS phrase
+  FROM (SELECT doc_id, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM w, (VALUES (2), (3), (4)) v(s)))
+SELECT doc_id, phrase, count(*) AS n FROM grams GROUP BY ALL HAVING count(*) >= 2"""
+ORACLE["m10_review_counts"] = f"""WITH {TRANSLATED}
+SELECT doc_id, count(*) AS n_items, count(*) FILTER ({strip('text')} <> '') AS n_answered,
+  count(*) FILTER ({strip('text')} = {strip('source_text')} AND {strip('text')} <> '') AS n_unchanged,
+  sum(length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')))::BIGINT AS n_letters,
+  sum(length(regexp_replace(text, '[^\\p{{Latin}}]', '', 'g')))::BIGINT AS n_in_script
+FROM translated GROUP BY doc_id"""
+ORACLE["m10_inconsistent_sources"] = f"""WITH {HYPS},
+pairs AS (SELECT {strip('lower(text)')} AS source, {strip('hyp')} AS target FROM benchmark JOIN hyps ON seg_id = item_id)
+SELECT source, count(*) AS n, count(DISTINCT target) AS n_targets FROM pairs GROUP BY source HAVING count(DISTINCT target) > 1"""

@@ -9,7 +9,7 @@ from glossweave.functions import replies
 from glossweave.functions.labels import bleu_label, chrf_label, quality_note
 from glossweave.functions.text import is_blank, percent, preview, round2
 from glossweave.operators import alignment, batching, metrics, positions, requests, runs, scoring
-from glossweave.operators import segmentation, tables
+from glossweave.operators import segmentation, statistics, tables
 from glossweave.operators.translators import (
     GlossaryTranslator,
     MemoryTranslator,
@@ -404,6 +404,27 @@ def m8_table_translation(spark, sf):
     return tables.translate_cells(cells(spark, sf), GlossaryTranslator(PART_WORDS), "German")
 
 
+def m9_key_terms(spark, sf):
+    return statistics.key_terms(paragraphs(spark, sf))
+
+
+def m9_names(spark, sf):
+    return statistics.name_candidates(paragraphs(spark, sf))
+
+
+def m9_phrases(spark, sf):
+    return statistics.recurring_phrases(paragraphs(spark, sf))
+
+
+def m10_review_counts(spark, sf):
+    return statistics.review_counts(translations(spark, sf), "Latin")
+
+
+def m10_inconsistent_sources(spark, sf):
+    both = bitext(spark, sf).join(hypotheses(spark, sf), "seg_id")
+    return statistics.inconsistent_sources(both.select(F.col("source").alias("source_text"), F.col("hyp").alias("text")))
+
+
 # --- metrics ------------------------------------------------------------------------------
 
 SEGMENT = ["doc_id", "lang", "index"]
