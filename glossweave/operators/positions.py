@@ -1,9 +1,10 @@
 """Dense positions and ordered heads of long-form rows, without one task per group.
 
 ``row_number`` over a whole document would put the largest document into one task.  Here
-rows are numbered inside fixed blocks of the order column, and block offsets come from a
-running sum over one row per block.  A block holds at most ``BLOCK`` distinct order values;
-the order columns are 32-bit, so a group has at most 2**31 / BLOCK = 32,768 blocks.
+rows are numbered inside fixed blocks of the order column, and block offsets come from
+running sums over one row per block, taken inside blocks of blocks.  A block holds at most
+``BLOCK`` order values or blocks; with 64-bit order columns, however sparse, a group has at most
+2**48 blocks, so ``LEVELS`` levels of blocks keep every running sum to ``BLOCK`` rows.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 65536
+LEVELS = 2
 SALTS = 64
 
 
@@ -30,20 +32,30 @@ def dense_position(
 ) -> DataFrame:
     """Add the 0-based position of each row in its group, ordered by ``order, *ties``."""
     tagged = rows.withColumn("_block", block_of(order, block))
-    offsets = _block_offsets(tagged.groupBy(*keys, "_block").agg(F.count("*").alias("_n")), keys)
     inside = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(order, *ties))
+    numbered = tagged.withColumn("_inside", inside)
+    # Counts come from the numbered rows, so that both sides share one shuffle.
+    counts = numbered.groupBy(*keys, "_block").agg(F.max("_inside").cast("bigint").alias("_n"))
     return (
-        tagged.withColumn("_inside", inside)
-        .join(offsets, [*keys, "_block"])
+        numbered.join(_block_offsets(counts, keys), [*keys, "_block"])
         .withColumn(name, (F.col("_offset") + F.col("_inside") - 1).cast("bigint"))
         .drop("_block", "_inside", "_offset")
     )
 
 
-def _block_offsets(counts: DataFrame, keys: list[str]) -> DataFrame:
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(
-        *keys, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+def _block_offsets(counts: DataFrame, keys: list[str], levels: int = LEVELS) -> DataFrame:
+    """Rows of a group before each block; windows hold the blocks of one block of blocks."""
+    outer = [*keys, "_outer"] if levels else keys
+    before = Window.partitionBy(*outer).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = (counts.withColumn("_outer", block_of("_block")) if levels else counts).withColumn(
+        "_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))
+    )
+    if not levels:
+        return placed.select(*keys, "_block", "_offset")
+    sums = placed.groupBy(*outer).agg(F.sum("_n").alias("_n")).withColumnRenamed("_outer", "_block")
+    above = _block_offsets(sums, keys, levels - 1).withColumnsRenamed({"_block": "_outer", "_offset": "_above"})
+    return placed.join(above, outer).select(
+        *keys, "_block", (F.col("_offset") + F.col("_above")).alias("_offset")
     )
 
 

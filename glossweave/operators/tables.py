@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .alignment import align_responses, lookup_cells, non_blank
+from ..functions.text import is_blank
+from .alignment import align_responses, non_blank
 from .batching import batch_rows
 from .positions import dense_position, spread_join
 from .requests import translation_requests
@@ -40,7 +41,9 @@ def translate_cells(
         F.get("items", F.col("_n"))["col_idx"].alias("col_idx"),
         F.col("a.text").alias("text"),
     )
-    return lookup_cells(cells, moved, CELL)
+    # Every other cell is in some batch, with its own text if the call failed.
+    blank = cells.filter(F.col("text").isNull() | is_blank("text"))
+    return moved.unionByName(blank.select(*CELL, "text"))
 
 
 def cells_inside_grid(cells: DataFrame) -> DataFrame:

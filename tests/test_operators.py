@@ -353,3 +353,14 @@ def test_plain_rebuild_takes_all_runs(spark):
     assert {r.p: r.text for r in text.collect()} == {1: "ac", 2: "z"}
     flags = text.withColumns({"is_bold": F.lit(True), "is_italic": F.lit(None).cast("boolean"), "has_image": F.lit(False), "alignment": F.lit("center")})
     assert {r.alignment for r in runs.plain_rebuild(flags, ["p"]).collect()} == {"center"}
+
+
+def test_positions_of_sparse_ids_and_ties(spark):
+    """Hash-like 64-bit ids: no window holds more than its block, whatever the ids."""
+    rows_ = spark.range(3000).select(F.lit(0).alias("k"), F.xxhash64("id").alias("order"), F.explode(F.array(F.lit(2), F.lit(1))).alias("tie"))
+    placed = positions.dense_position(rows_, ["k"], "order", ties=("tie",))
+    got = [(r.order, r.tie) for r in placed.orderBy("pos").collect()]
+    assert got == sorted((r.order, r.tie) for r in rows_.collect())
+    assert [r.pos for r in placed.orderBy("pos").collect()] == list(range(6000))
+    windows = [x for x in placed._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window" in x]
+    assert sum("_outer" in x for x in windows) == positions.LEVELS
