@@ -208,7 +208,7 @@ class ChainCrf:
         return labels[::-1]
 
     @classmethod
-    def fit(cls, pages: list[list[list[str]]], labels: list[list[int]], rounds: int = 300, ridge: float = 2e-5) -> ChainCrf:
+    def fit(cls, pages: list[list[list[str]]], labels: list[list[int]], rounds: int = 300, ridge: float = 1e-5) -> ChainCrf:
         """Maximum likelihood by Adam; forward and backward passes over all pages at once."""
         names = {f: k for k, f in enumerate(sorted({f for p in pages for own in p for f in own}))}
         n, longest = len(pages), max(map(len, pages))

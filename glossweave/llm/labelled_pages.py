@@ -59,13 +59,20 @@ class _Writer:
             self.put(f"</{tag}>", main)
 
     def menu(self) -> None:
-        if self.r.random() < 0.7:
+        style = self.r.random()
+        if style < 0.15:  # no links: scripts make the menu
+            tag = self.r.choice(("li", "p", "div", "span"))
+            items = (self.words(1, 3) if self.r.random() < 0.6 else self.sentences(1, 2) for _ in range(self.r.randint(1, 6)))
+            self.put("".join(f"<{tag}>{x}</{tag}>" for x in items))
+        elif style < 0.75:
             self.put("<ul>" + "".join(f"<li>{self.link()}</li>" for _ in range(self.r.randint(2, 9))) + "</ul>")
         else:
             self.put(self.r.choice((" | ", " ", " &gt; ", " &middot; ")).join(self.link() for _ in range(self.r.randint(2, 8))))
 
     def header(self) -> None:
         self.put(f"<{(t := self.r.choice(('div', 'p', 'h2', 'span', 'h1')))}>{self.words(1, 6)}</{t}>")
+        if self.r.random() < 0.4:
+            self.put(f"<p>{self.sentences(1, 3)}</p>")
         if self.r.random() < 0.4:
             self.menu()
 

@@ -139,9 +139,11 @@ def _phone(p: Permutation, text: str) -> str | None:
         return None
     width = len(own)
     if code == "1":
-        if width != 10 or own[0] in "01":
+        if width != 10:
             return None
-        plan = lambda x: f"{x:010d}"[0] not in "01"
+        # Areas that the plan uses stay such; numbers with others are personal all the same.
+        used = own[0] not in "01"
+        plan = lambda x: (f"{x:010d}"[0] not in "01") == used
     else:
         plan = lambda x: f"{x:0{width}d}"[0] == "0" if own[0] == "0" else f"{x:0{width}d}"[0] != "0"
     value = f"{p.apply(int(own), 10**width, 'phone' + code, plan):0{width}d}"

@@ -57,7 +57,8 @@ def benchmark_hits(docs, items, size=10):
     return out
 
 
-def line_dedup(docs, min_chars=20, min_docs=3):
+def kept_lines(docs, min_chars=20, min_docs=3):
+    """Texts after line dedup."""
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(UPPER)
     holders = {}
     for doc, text in docs:
@@ -69,10 +70,24 @@ def line_dedup(docs, min_chars=20, min_docs=3):
         lines = (text or "").split("\n")
         lost = lambda x: len(holders.get(key(x), ())) >= min_docs and doc != max(holders[key(x)])
         kept = lines if doc is None else [x for x in lines if not lost(x)]
-        out.append((doc, len(lines), len(lines) - len(kept), sha("\n".join(kept))))
+        out.append("\n".join(kept))
     return out
 
 
+def line_dedup(docs):
+    sizes = lambda t: (t or "").count("\n") + 1
+    return [
+        (doc, sizes(text), lost_lines(text, new), sha(new)) for (doc, text), new in zip(docs, kept_lines(docs))
+    ]
+
+
+def lost_lines(old, new):
+    """Lines fewer; a text whose lines all went has none left, not one empty line."""
+    if not new and white_words(old):
+        return (old or "").count("\n") + 1 - sum(not white_words(x) for x in (old or "").split("\n"))
+    return (old or "").count("\n") - new.count("\n")
+
+
 def fingerprint(text, size=4):
     words = white_words((text or "").translate(UPPER))
     if not words:
