@@ -31,9 +31,15 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+def _texts(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The columns of documents; texts are long, so fewer of them make a batch for Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS_PER_BATCH)
+    return docs.select(*COLUMNS)
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every near-duplicate group."""
-    docs = docs.select(*COLUMNS)
+    docs = _texts(spark, docs)
     groups = simhash.near_duplicates(docs)
     first = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
     # Rows without an id are in no group of their own and stay.
@@ -42,13 +48,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark window."""
-    found = decontaminate.find_benchmark(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_benchmark(_texts(spark, docs), table(spark, sf_dir, "benchmark"))
     return found.filter("found.hits = 0").select(*COLUMNS)
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as piece ids, checked by decoding."""
-    coded = sentencepiece_fst.decode(sentencepiece_fst.encode(docs.select(*COLUMNS)))
+    coded = sentencepiece_fst.decode(sentencepiece_fst.encode(_texts(spark, docs)))
     plain = F.translate(F.coalesce("text", F.lit("")), sentencepiece_fst.SPACE, " ")
     return coded.select(
         "doc_id",
@@ -71,7 +77,6 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are written and read again."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS_PER_BATCH)
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
