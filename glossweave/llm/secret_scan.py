@@ -150,17 +150,21 @@ def find_secrets(
         ).alias("verdict"),
     )
     sets = held.select("_values").distinct()
-    verdicts = (
+    # Written, so that the skew join can split values that very many rows hold.
+    verdicts = saved(
         sets.select("_values", F.explode("_values").alias("hash"))
         .join(judged, "hash")
         .groupBy("_values")
-        .agg(F.sort_array(F.collect_list("verdict")).alias("verdicts"))
+        .agg(F.sort_array(F.collect_list("verdict")).alias("verdicts")),
+        "verdicts",
     )
     none = F.array().cast("array<struct<hash:bigint,owners:bigint,repositories:bigint,live:boolean>>")
     live = lambda s: F.exists("verdicts", lambda v: (v["hash"] == hashed(s)) & v["live"])
+    # Most rows have no values; they would all meet at one join key, so they stay out of it.
+    rows = held.join(verdicts, "_values").unionByName(
+        keyed.filter(F.size("_values") == 0).withColumn("verdicts", none)
+    )
     return (
-        keyed.join(verdicts, "_values", "left")
-        .withColumn("verdicts", F.coalesce("verdicts", none))
-        .withColumn("spans", F.array_sort(F.concat("base", F.filter("wide", live))))
+        rows.withColumn("spans", F.array_sort(F.concat("base", F.filter("wide", live))))
         .select(F.col("_id").alias(id_column), "base", "spans", "verdicts")
     )
