@@ -29,8 +29,8 @@ from .pretokens import LONGEST_CACHED, default_model, pre_tokens
 
 SPACE = "▁"
 #: Entries of one generation of a worker's path cache, and of its acceptor before it starts anew.
-PATHS = 350_000
-ARCS = 400_000
+PATHS = 250_000
+ARCS = 250_000
 NO_ARCS: dict[int, bool] = {}
 #: Stands for the last piece at the start and after bytes.
 BYTES = -1
