@@ -47,7 +47,12 @@ def paragraphs(spark, sf) -> DataFrame:
 
 
 def document_pairs(spark, sf) -> DataFrame:
-    return paragraphs(spark, sf).select(
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    cores = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:
+        # One small file is one task; the gram work on it deserves all cores.
+        docs = docs.repartition(cores)
+    return segmentation.segment_documents(docs).select(
         "doc_id", "lang", "index",
         glossary_column(F.col("text"), WORDS).alias("hyp"), F.col("text").alias("ref"),
     )
