@@ -6,9 +6,9 @@ pieces and of the matches, summed in turn, give every start and end in code poin
 
 Beyond the base, a wider pattern yields candidates (long mixed tokens that no base span
 covers).  Every candidate and base value is hashed, and the hashes are counted over the
-corpus: how many distinct repositories and owners hold them.  A value that many owners hold is
-an example that was copied; one that few hold and that looks random is live-looking.  Candidates
-that are live-looking are added to the spans as kind ``token``; base spans always stay.
+corpus: how many distinct repositories and owners hold them.  A value that many owners or many
+repositories hold is an example that was copied; one that few of both hold and that looks random
+is live-looking.  Candidates that are live-looking are added to the spans as kind ``token``; base spans always stay.
 
 Main path: DataFrame functions only.  The hash is the only thing that is shuffled; counts
 are combined before the shuffle, so a value in a third of all rows is one row per task.
@@ -37,6 +37,8 @@ KINDS = ("assign", "access", "hex", "token")
 LEAST_VALUE = 8
 #: A value of more owners than this is a copied example.
 MOST_OWNERS = 2
+#: So is a value of more repositories than this, whoever owns them.
+MOST_REPOSITORIES = 10
 #: Characters of a live-looking value that differ, at least.
 LEAST_VARIETY = 8
 
@@ -95,6 +97,7 @@ def find_secrets(
     owner: str = "source",
     repository: str | None = None,
     most_owners: int = MOST_OWNERS,
+    most_repositories: int = MOST_REPOSITORIES,
 ) -> DataFrame:
     """One row per row of ``docs``: its id, ``base`` spans, all ``spans`` and the verdicts.
 
@@ -146,7 +149,11 @@ def find_secrets(
             "hash",
             "owners",
             "repositories",
-            (F.col("random") & (F.col("owners") <= most_owners)).alias("live"),
+            (
+                F.col("random")
+                & (F.col("owners") <= most_owners)
+                & (F.col("repositories") <= most_repositories)
+            ).alias("live"),
         ).alias("verdict"),
     )
     sets = held.select("_values").distinct()

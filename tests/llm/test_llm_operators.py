@@ -211,6 +211,25 @@ def test_secrets(spark, docs, rows, none):
     assert secret_scan.find_secrets(none).count() == 0
 
 
+def test_secrets_in_many_repositories_of_one_owner(spark):
+    """An example is told by its repositories too: one owner holds every copy."""
+    example, own, edge = "AbCd1234EfGh5678IjKl9012", "Zx8qLm2PvR7tYw4KsN6bHd3F", "Qw3eRt5yUi7oPa9sDf1gHj2k"
+    n = secret_scan.MOST_REPOSITORIES
+    rows = [(k, f"sample {example} here", "hot", f"r{k}") for k in range(n + 1)]
+    rows += [(100 + k, f"token {edge} here", "hot", f"r{k}") for k in range(n)]
+    # Many documents of one repository; repeated rows are one document.
+    rows += [(200 + k, f"key {own} here", "hot", "r0") for k in range(3 * n)] + [(200, f"key {own} here", "hot", "r0")] * 20
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string").repartition(3)
+    found = secret_scan.find_secrets(frame, repository="repo").collect()
+    assert len(found) == len(rows)
+    for x in found:
+        (verdict,) = x.verdicts
+        assert verdict.live == (x.doc_id >= 100) == (len(x.spans) == 1), x
+    # Without a repository column every document is one.
+    live = {x.doc_id: x.verdicts[0].live for x in secret_scan.find_secrets(frame).collect()}
+    assert live == {k: 100 <= k < 200 for k, *_ in rows}
+
+
 def test_chat_round_trip(spark):
     r = random.Random(5)
     bits = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[REPLY]", "[ROLE:", "[/ROLE]", "\\", "]", "<", "[", "/", "x", "\n", "é"]
