@@ -8,7 +8,8 @@ neighbours.
 
 Null, empty and text-free pages have the empty text.  Malformed mark-up is read leniently:
 open paragraphs end at the next block, unknown end tags are passed over, an unfinished tag at
-the end is dropped.  Rows are kept as they are; the whole page is read.
+the end is dropped.  Drawings and formulas end at their end tag, and before it, as in HTML, at
+a closing slash or at a tag that cannot stand in them; an open one takes no text of the page.  Rows are kept as they are; the whole page is read.
 """
 
 from __future__ import annotations
@@ -39,8 +40,21 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _WORD = re.compile("[a-z]+")
-RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "template", "noframes", "svg", "math"}
+RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "template", "noframes"}
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE) for t in RAW}
+#: Drawings and formulas end at ``end`` or before ``out``: tags that cannot stand in them, but in a ``label``.
+_FOREIGN = {
+    t: re.compile(
+        r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(?P<raw>script|style)(?=[\s/>])[^>]*(?<!/)>.*?</(?P=raw)(?=[\s/>])[^>]*>"
+        rf"|(?P<end></{t}(?=[\s/>])[^>]*(?:>|\Z))"
+        r"|<(?P<close>/?)(?P<label>foreignobject|desc|title|annotation-xml|mtext|mi|mo|mn|ms)(?=[\s/>])[^>]*?(?P<slash>/?)>"
+        r"|(?P<out><(?:b|big|blockquote|body|br|center|code|dd|div|dl|dt|em|embed|h[1-6]|head|hr|i|img|li|listing|menu|meta"
+        r"|nobr|ol|p|pre|ruby|s|small|span|strong|strike|sub|sup|table|tt|u|ul|var|article|aside|footer|header|main|nav"
+        r"|section)(?=[\s/>])|</(?:article|aside|body|br|div|footer|header|html|main|nav|p|section)(?=[\s/>]))",
+        re.IGNORECASE | re.DOTALL,
+    )
+    for t in ("svg", "math")
+}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Tags that do not end a block.
 INLINE = set(
@@ -59,6 +73,19 @@ CLOSES = {
 }
 
 
+def _foreign_end(html: str, tag: str, at: int) -> int | None:
+    """Where a drawing or formula that is open at ``at`` ends; None if nothing ends it."""
+    inside = 0
+    for m in _FOREIGN[tag].finditer(html, at):
+        if m["end"]:
+            return m.end()
+        if m["label"]:
+            inside = max(0, inside - 1 if m["close"] else inside + (not m["slash"]))
+        elif m["out"] and not inside:
+            return m.start()
+    return None
+
+
 def leaf_blocks(html: str | None) -> list[tuple[str, str, frozenset[str], int]]:
     """``(text, block tag, ancestor features, characters in links)`` of every block with text."""
     blocks: list[tuple[str, str, frozenset[str], int]] = []
@@ -84,6 +111,7 @@ def leaf_blocks(html: str | None) -> list[tuple[str, str, frozenset[str], int]]:
         del stack[k:]
 
     at, html = 0, html or ""
+    endless: set[str] = set()
     while m := _TOKEN.match(html, at):
         at = m.end()
         tag = m["tag"] or m["tag2"]
@@ -103,6 +131,14 @@ def leaf_blocks(html: str | None) -> list[tuple[str, str, frozenset[str], int]]:
             if k:
                 pop_to(k)
             continue
+        if tag in _FOREIGN:
+            if not attributes.endswith("/") and tag not in endless:
+                end = _foreign_end(html, tag, at)
+                if end is None:
+                    endless.add(tag)  # no later one ends either
+                else:
+                    at = end
+            continue
         if tag in RAW:
             end = _RAW_END[tag].search(html, at)
             at = end.end() if end else len(html)

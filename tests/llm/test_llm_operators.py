@@ -304,3 +304,23 @@ def test_html_pages(spark, tagger):
     assert got.count((1, want)) == 2 and dict(got)[2] == "" and dict(got)[3] == ""
     assert dict(got)[None].count("\n\n") == 5000
     assert html_crf.extract(spark.createDataFrame([], "page_id long, html string"), tagger).count() == 0
+
+
+@pytest.mark.parametrize("after", ["", "<svg class='x'><path d='M0 0'/></svg><math><mi>y</mi></math>"])
+@pytest.mark.parametrize("icon", ["<svg/>", '<svg class="icon"/>', '<svg class="icon" />', "<math/>", "<SVG CLASS='icon'/>",
+                                  "<svg class='icon'>", "<math>", "<svg><title>Label</title><g>"])
+def test_icons_take_no_text_of_the_page(tagger, icon, after):
+    """A complete or open icon before the article, with and without a later end tag."""
+    text = "Some long paragraph of the article, with words."
+    page = f"<body><div>{icon}</div><article><h1>Title</h1><p>{text}</p>{icon}<p>{text}</p></article><footer>{after}</footer></body>"
+    assert html_crf.main_text(page, tagger) == f"Title\n\n{text}\n\n{text}"
+
+
+def test_drawings_are_no_text(tagger):
+    text = "Some long paragraph of the article, with words."
+    for drawing in ("<svg><text>in it</text></svg>", "<svg><!-- <p> --><style>a</style><text>in it</text></svg>", "<math><mi>x</mi></math>",
+                    "<svg><foreignObject><div><p>in it</p></div></foreignObject><text>too</text></svg>"):
+        page = f"<article><h1>Title</h1><p>{text} {drawing}</p><p>{text}</p></article>"
+        assert html_crf.main_text(page, tagger) == f"Title\n\n{text}\n\n{text}"
+    blocks = html_crf.leaf_blocks("plain <svg>" * 20_000 + "end")
+    assert [len(b[0].split()) for b in blocks] == [20_001]
