@@ -9,6 +9,8 @@ the order of rows.  Small groups use the merged sketch of their language, or of
 
 A cutoff is a quartile plus a multiple of the distance between the quartiles, and at
 least a margin away from the quartile, so that a rule on which all texts agree rejects none.
+A quartile that itself lies beyond the fence of the median and the other quartile is that of junk:
+the median stands in for it, so a source stays fenced while less than half of it is junk.
 The cutoffs are joined back and documents outside any of them are rejected.
 
 Main path: DataFrame functions only.  A null text has no words and fails the base rules.
@@ -165,17 +167,21 @@ def cutoffs(sketch: DataFrame, min_group: int = MIN_GROUP, fence: int = FENCE) -
     rows = merged.withColumns(
         {"below": F.sum("n").over(whole.orderBy("bucket")), "total": F.sum("n").over(whole)}
     )
+    margin = F.create_map(*[F.lit(x) for r, (m, _) in RULES.items() for x in (r, m)])[F.col("rule")]
+    gap = lambda low, high: F.greatest((F.col(high) - F.col(low)) * fence, margin)
+    # With a quarter of junk a quartile is the junk's own value; the median is not.
+    high = F.when(F.col("q3") > F.col("q2") + gap("q1", "q2"), F.col("q2")).otherwise(F.col("q3"))
+    low = F.when(F.col("q1") < F.col("q2") - gap("q2", "q3"), F.col("q2")).otherwise(F.col("q1"))
     quartiles = rows.groupBy("level", "lang", "source", "rule").agg(
         F.min(F.when(F.col("below") * 4 >= F.col("total"), F.col("bucket"))).alias("q1"),
+        F.min(F.when(F.col("below") * 2 >= F.col("total"), F.col("bucket"))).alias("q2"),
         F.min(F.when(F.col("below") * 4 >= F.col("total") * 3, F.col("bucket"))).alias("q3"),
         F.max("total").alias("total"),
-    )
-    margin = F.create_map(*[F.lit(x) for r, (m, _) in RULES.items() for x in (r, m)])
-    gap = F.greatest((F.col("q3") - F.col("q1")) * fence, margin[F.col("rule")])
+    ).withColumns({"_low": low, "_high": high})
     bounds = [
         F.max(F.when(F.col("rule") == r, value)).alias(f"{side}_{r}")
         for r in RULES
-        for side, value in (("low", F.col("q1") - gap), ("high", F.col("q3") + gap))
+        for side, value in (("low", F.col("_low") - gap("_low", "_high")), ("high", F.col("_high") + gap("_low", "_high")))
     ]
     table = quartiles.groupBy("level", "lang", "source").agg(F.max("total").alias("total"), *bounds)
     groups = table.filter("level = 0").select("lang", "source", "total")

@@ -93,6 +93,24 @@ def test_quality_cutoffs_follow_their_group(spark):
     assert sum(kept.values()) == 602
 
 
+@pytest.mark.parametrize("share", [0.1, 0.25, 0.4])
+def test_quality_cutoffs_hold_in_a_source_of_much_junk(spark, share):
+    """Junk on either side, in a source that is nearly the whole corpus and in one too small for its own sketch."""
+    r = random.Random(2)
+
+    def text(kind):
+        word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=1 if kind == "short" else 6))
+        return " ".join(word() + ("%%%" if kind == "symbols" else "") for _ in range(120))
+
+    rows = []
+    for lang, source, n, kind in (("en", "hot", 400, "symbols"), ("de", "hot", 400, "short"), ("en", "tiny", 50, "symbols")):
+        rows += [(text(kind if k < n * share else ""), lang, source, k < n * share) for k in range(n)]
+    frame = spark.createDataFrame([(k, *x) for k, x in enumerate(rows)], "doc_id long, text string, lang string, source string, junk boolean")
+    got = quality_rules.quality(frame, ["doc_id", "lang", "source", "junk"]).collect()
+    assert len(got) == len(rows) and not any(x.base_failed for x in got)
+    assert [x for x in got if x.kept == x.junk] == []
+
+
 def test_sketches_merge(spark):
     """Sketches of parts, added up, are the sketch of the whole; buckets are within 1/32."""
     values = [(v,) for v in [0, 1, 5, 63, 64, 65, 1000, 12345, 10**9, 10**15]]
