@@ -38,7 +38,11 @@ def _texts(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every near-duplicate group."""
+    """The rows with the smallest id of every near-duplicate group, one row where ids are unique.
+
+    Kept by id, not by row: repeated rows of the smallest id all stay, so do rows whose id is
+    smallest in another group, and all rows without an id.
+    """
     docs = _texts(spark, docs)
     groups = simhash.near_duplicates(docs)
     first = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
