@@ -7,6 +7,12 @@ that is valid again (Black and Rogaway 2002).  Equal values get equal pseudonyms
 document and no two values the same one, so links survive; without the key they do not lead
 back.  A check digit is computed anew, so a valid card stays valid.
 
+Forms: mail addresses; IBANs, plain or spaced; cards of 13 to 19 digits, plain or in groups of 4-4-4-1
+to 4-4-4-7 or 4-6-5; phones with + and country code, (555) 123-4567, 555-123-4567 and 555.123.4567; 123-45-6789;
+IPv4; 2024-12-31, 31.12.2024, 12/31/2024 and 31/12/2024.  Others stay in clear, such as 2024/12/31, 31-12-2024,
+names of months, two-digit years, 555 123 4567, ten bare digits, IPv6 and cards of 4-4-4-4-3.
+A slashed date with the day first is permuted apart, so it is not linked to its other forms.
+
 What is not valid is no personal datum here and stays.  Null texts stay null.  Rows are kept
 as they are (repeated rows, null ids, extra columns); nothing is shuffled.
 """
