@@ -7,7 +7,8 @@ of windows, and found words are mapped back to offsets of the original text.
 
 The automaton is broadcast, so its size is bounded: windows are dealt into blocks of at most
 ``BLOCK`` windows by a hash, and each block is a pass of its own over the texts.  Which words are
-hit and which items occur come back per row and pass, and are joined in the next pass.
+hit and which items occur come back per row and pass, and are joined in the next pass.  The item
+ids of a window are not bounded: they are broadcast with it, however many items share it.
 
 Null texts and texts without words have no words and no hits.  Items without words have no
 windows, items without an id no part.  Rows are kept as they are (repeated rows, null ids, extra
