@@ -12,6 +12,7 @@ from . import (
     decontaminate,
     html_crf,
     line_dedup,
+    packing,
     pii,
     quality_rules,
     secret_scan,
@@ -155,6 +156,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return white.withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in full sequences."""
+    return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_quality_rules": op2_quality_rules,
@@ -167,6 +173,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_chat_format": op10_chat_format,
     "op11_whitening": op11_whitening,
+    "op12_packing": op12_packing,
 }
 ORACLE: dict[str, str] = {
     "op2_quality_rules": r"""
