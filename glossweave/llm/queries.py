@@ -18,6 +18,7 @@ from . import (
     secret_scan,
     sentencepiece_fst,
     simhash,
+    token_alignment,
     token_counts,
     whitening,
 )
@@ -161,6 +162,11 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of two tokenizers' tokens in every document, and how usual their links are."""
+    return token_alignment.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_quality_rules": op2_quality_rules,
@@ -174,6 +180,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": op10_chat_format,
     "op11_whitening": op11_whitening,
     "op12_packing": op12_packing,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLE: dict[str, str] = {
     "op2_quality_rules": r"""
