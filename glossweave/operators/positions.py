@@ -4,7 +4,8 @@
 rows are numbered inside fixed blocks of the order column, and block offsets come from
 running sums over one row per block, taken inside blocks of blocks.  A block holds at most
 ``BLOCK`` order values or blocks; with 64-bit order columns, however sparse, a group has at most
-2**48 blocks, so ``LEVELS`` levels of blocks keep every running sum to ``BLOCK`` rows.
+2**48 blocks, so ``LEVELS`` levels of blocks keep every running sum to ``BLOCK`` rows.  The counts
+of blocks are a written table, so the levels do not read the rows again.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 BLOCK = 65536
 LEVELS = 2
 SALTS = 64
@@ -30,20 +33,37 @@ def dense_position(
     ties: tuple[str, ...] = (),
     block: int = BLOCK,
 ) -> DataFrame:
-    """Add the 0-based position of each row in its group, ordered by ``order, *ties``."""
+    """Add the 0-based position of each row in its group, ordered by ``order, *ties``.
+
+    Two passes: the first reads keys and order only and writes the offsets of the blocks, of which
+    only those of groups with several blocks are kept; the second numbers the rows in their blocks.
+    Rows are shuffled once.  Nulls in keys are a group like others.
+    """
     tagged = rows.withColumn("_block", block_of(order, block))
-    inside = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(order, *ties))
-    numbered = tagged.withColumn("_inside", inside)
-    # Counts come from the numbered rows, so that both sides share one shuffle.
-    counts = numbered.groupBy(*keys, "_block").agg(F.max("_inside").cast("bigint").alias("_n"))
+    offsets = block_offsets(tagged, keys, _levels(rows, order))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(order, *ties)) - 1
+    numbered = tagged.withColumn(name, inside.cast("bigint"))
+    if offsets.isEmpty():
+        return numbered.drop("_block")
     return (
-        numbered.join(_block_offsets(counts, keys), [*keys, "_block"])
-        .withColumn(name, (F.col("_offset") + F.col("_inside") - 1).cast("bigint"))
-        .drop("_block", "_inside", "_offset")
+        join_null_safe(numbered, offsets, [*keys, "_block"], "left")
+        .withColumn(name, F.coalesce("_offset", F.lit(0)) + F.col(name))
+        .drop("_block", "_offset")
     )
 
 
-def _block_offsets(counts: DataFrame, keys: list[str], levels: int = LEVELS) -> DataFrame:
+def _levels(rows: DataFrame, order: str) -> int:
+    """32-bit orders have so few blocks that one running sum over them will do."""
+    return 0 if rows.schema[order].dataType.typeName() in ("integer", "short", "byte") else LEVELS
+
+
+def block_offsets(tagged: DataFrame, keys: list[str], levels: int = LEVELS) -> DataFrame:
+    """``(*keys, _block, _offset)``: rows of a group before each block, where there are any.  Written."""
+    counts = written(tagged.groupBy(*keys, "_block").agg(F.count("*").alias("_n")), "blocks")
+    return written(_offsets(counts, keys, levels).filter("_offset > 0"), "offsets")
+
+
+def _offsets(counts: DataFrame, keys: list[str], levels: int) -> DataFrame:
     """Rows of a group before each block; windows hold the blocks of one block of blocks."""
     outer = [*keys, "_outer"] if levels else keys
     before = Window.partitionBy(*outer).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -53,12 +73,19 @@ def _block_offsets(counts: DataFrame, keys: list[str], levels: int = LEVELS) ->
     if not levels:
         return placed.select(*keys, "_block", "_offset")
     sums = placed.groupBy(*outer).agg(F.sum("_n").alias("_n")).withColumnRenamed("_outer", "_block")
-    above = _block_offsets(sums, keys, levels - 1).withColumnsRenamed({"_block": "_outer", "_offset": "_above"})
-    return placed.join(above, outer).select(
+    above = _offsets(sums, keys, levels - 1).withColumnsRenamed({"_block": "_outer", "_offset": "_above"})
+    return join_null_safe(placed, above, outer, "inner").select(
         *keys, "_block", (F.col("_offset") + F.col("_above")).alias("_offset")
     )
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """A join in which null meets null; the columns of ``on`` are those of ``left``."""
+    other = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    same = [left[c].eqNullSafe(other[f"_r_{c}"]) for c in on]
+    return left.join(other, same, how).drop(*[f"_r_{c}" for c in on])
+
+
 def head(
     rows: DataFrame, keys: list[str], order: str | list[str], n: int, rank: str | None = None
 ) -> DataFrame:

@@ -362,5 +362,22 @@ def test_positions_of_sparse_ids_and_ties(spark):
     got = [(r.order, r.tie) for r in placed.orderBy("pos").collect()]
     assert got == sorted((r.order, r.tie) for r in rows_.collect())
     assert [r.pos for r in placed.orderBy("pos").collect()] == list(range(6000))
-    windows = [x for x in placed._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window" in x]
+    tagged = rows_.withColumn("_block", positions.block_of("order"))
+    levels = positions._offsets(tagged.groupBy("k", "_block").agg(F.count("*").alias("_n")), ["k"], positions.LEVELS)
+    windows = [x for x in levels._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window" in x]
     assert sum("_outer" in x for x in windows) == positions.LEVELS
+
+
+def test_positions_read_rows_once_and_shuffle_them_once(spark, sf):
+    """The plan of the numbered rows; offsets come from a written table of few rows."""
+    text = lambda df: df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows_ = segmentation.all_paragraphs(docs)
+    for block in (2, positions.BLOCK):
+        placed = positions.dense_position(rows_, ["doc_id"], "index", block=block)
+        plan_ = text(placed)
+        assert plan_.count("documents.parquet") == 1
+        assert plan_.count("Exchange") <= 2
+    ties = spark.range(100_000).select(F.lit(None).cast("string").alias("k"), (F.col("id") % 2).alias("o"), F.col("id").alias("t"))
+    got = positions.dense_position(ties, ["k"], "o", ties=("t",), block=1)
+    assert got.filter("pos <> t div 2 + o * 50000").count() == 0 and got.count() == 100_000
