@@ -411,6 +411,9 @@ FROM words LEFT JOIN glossary ON s = word GROUP BY ALL""",
     "m7_parse_items": f"WITH {ITEMS} SELECT doc_id, item_no, text FROM items",
     "m8_table_translation": f"""WITH {CELLS}
 SELECT doc_id, table_index, row_idx, col_idx, {swap('text', PART_WORDS)} AS text FROM cells""",
+    "m8_distinct_translation": f"""WITH {EVERY}
+SELECT doc_id, "index", CASE WHEN {strip('text')} <> '' THEN {strip(swap('text', WORDS))} ELSE text END AS text FROM every""",
+    "m8_wide_table": "SELECT p_partkey, " + ", ".join(f"{swap(c, PART_WORDS)} AS {c}" for c in ("p_name", "p_brand", "p_type")) + " FROM part",
     "a1_bleu_stats": f"{DOC_BLEU} SELECT * FROM bleu_stats",
     "a2_segment_bleu": f'{DOC_BLEU} SELECT doc_id, "index", round({BLEU}, 2) AS bleu FROM bleu_stats',
     "a3_corpus_bleu": f"""{DOC_BLEU},

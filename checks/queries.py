@@ -9,7 +9,7 @@ from glossweave.functions import replies
 from glossweave.functions.labels import bleu_label, chrf_label, quality_note
 from glossweave.functions.text import is_blank, percent, preview, round2
 from glossweave.operators import alignment, batching, metrics, positions, requests, runs, scoring
-from glossweave.operators import segmentation, statistics, tables
+from glossweave.operators import distinct, segmentation, statistics, tables
 from glossweave.operators.translators import (
     GlossaryTranslator,
     MemoryTranslator,
@@ -409,6 +409,18 @@ def m8_table_translation(spark, sf):
     return tables.translate_cells(cells(spark, sf), GlossaryTranslator(PART_WORDS), "German")
 
 
+def m8_distinct_translation(spark, sf):
+    """Every line of the documents, each distinct one sent once."""
+    return distinct.translate_distinct(
+        segmentation.all_paragraphs(documents(spark, sf)), GlossaryTranslator(WORDS), "French"
+    )
+
+
+def m8_wide_table(spark, sf):
+    part = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    return tables.translate_wide(part, "p_partkey", ["p_name", "p_brand", "p_type"], GlossaryTranslator(PART_WORDS), "German")
+
+
 def m9_key_terms(spark, sf):
     return statistics.key_terms(paragraphs(spark, sf))
 

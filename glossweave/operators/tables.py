@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.text import is_blank
 from .alignment import align_responses, non_blank
 from .batching import batch_rows
+from .distinct import translate_distinct
 from .positions import dense_position, spread_join
 from .requests import translation_requests
-from .segmentation import explode_rows, table_shapes
+from .segmentation import explode_rows, flatten_columns, table_shapes
 
 TABLE = ["doc_id", "table_index"]
 CELL = [*TABLE, "row_idx", "col_idx"]
@@ -54,3 +55,34 @@ def cells_inside_grid(cells: DataFrame) -> DataFrame:
         .filter((F.col("row_idx") < F.col("n_rows")) & (F.col("col_idx") < F.col("n_cols")))
         .drop("_last")
     )
+
+
+def widen(cells: DataFrame, ids: list[str], names: list[str], text: str = "text") -> DataFrame:
+    """Cells back to a wide frame ``(*ids, row_idx, *names)``: the inverse of ``flatten_columns``.
+
+    Cell ``i`` of a grid row becomes column ``names[i]``, null if the row lacks it; cells beyond the
+    last name are left out.  A group is one grid row.
+    """
+    own = F.array_sort(F.collect_list(F.struct("col_idx", F.struct(F.col(text).alias("text")).alias("cell"))))
+    rows = cells.filter(F.col("col_idx") < len(names)).groupBy(*ids, "row_idx").agg(own.alias("_cells"))
+    value = lambda i: F.get(F.filter("_cells", lambda c: c["col_idx"] == i), F.lit(0))["cell"]["text"]
+    return rows.select(*ids, "row_idx", *[value(i).alias(n) for i, n in enumerate(names)])
+
+
+def translate_wide(
+    wide: DataFrame,
+    key: str,
+    names: list[str],
+    translator,
+    target: str,
+    batch_size: int = 3,
+    quality: str = "high",
+    folder: str | None = None,
+) -> DataFrame:
+    """``(key, *names)`` with the text columns ``names`` translated, each distinct text once.
+
+    ``key`` is a unique number of the row, such as its number in the table.
+    """
+    cells = flatten_columns(wide, [], names, F.col(key))
+    done = translate_distinct(cells, translator, target, batch_size, quality, folder=folder)
+    return widen(done, [], names).withColumnRenamed("row_idx", key)

@@ -5,7 +5,7 @@ from glossweave.functions import replies
 from glossweave.functions.labels import bleu_label, chrf_label, quality_note
 from glossweave.functions.text import is_blank, preview, strip
 from glossweave.operators import alignment, batching, positions, requests, runs, scoring
-from glossweave.operators import segmentation, tables
+from glossweave.operators import distinct, segmentation, tables
 from glossweave.operators.translators import (
     GlossaryTranslator,
     MemoryTranslator,
@@ -381,3 +381,58 @@ def test_positions_read_rows_once_and_shuffle_them_once(spark, sf):
     ties = spark.range(100_000).select(F.lit(None).cast("string").alias("k"), (F.col("id") % 2).alias("o"), F.col("id").alias("t"))
     got = positions.dense_position(ties, ["k"], "o", ties=("t",), block=1)
     assert got.filter("pos <> t div 2 + o * 50000").count() == 0 and got.count() == 100_000
+
+
+def plan_after(df):
+    """The adaptive plan once it has run."""
+    df.write.format("noop").mode("overwrite").save()
+    frame = df.select("*")
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_each_distinct_text_is_sent_once(spark, tmp_path):
+    """Repeated, blank, null and failing texts; requests are read back from the written table."""
+    texts = ["N/A"] * 3000 + [f"text {i}" for i in range(40)] * 3 + [" ", "", None, "bad one", "bad one"]
+    cells = spark.createDataFrame([(0, 0, i, 0, t) for i, t in enumerate(texts)], "doc_id long, table_index int, row_idx int, col_idx int, text string")
+
+    def model(prompts):
+        if any("bad" in p for p in prompts):
+            raise RuntimeError
+        return [p.split("\n\nRules:")[0].split("\n\n", 1)[1].upper() for p in prompts]
+
+    done = distinct.translate_distinct(cells.repartition(5), ModelTranslator(model), "German", 1, folder=str(tmp_path))
+    assert done.columns == cells.columns
+    got = [r.text for r in done.orderBy("row_idx").collect()]
+    assert got == [t if not t or not t.strip() or t == "bad one" else t.upper() for t in texts]
+    sent = [i.text for r in spark.read.parquet(f"{tmp_path}/distinct").collect() for i in r["items"]]
+    assert sorted(sent) == sorted({t for t in texts if t and t.strip()})
+    plain = tables.translate_cells(cells, ModelTranslator(model), "German", 1)
+    assert rows(done, "row_idx") == rows(plain, "row_idx")
+    assert distinct.translate_distinct(cells.limit(0), ModelTranslator(model), "German").count() == 0
+
+
+def test_a_hot_text_is_split_in_the_join_back(spark):
+    """A third of all rows hold one text: its partition is dealt to several tasks."""
+    rows_ = spark.range(60_000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 999)).alias("text"))
+    small = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        done = distinct.translate_distinct(rows_.repartition(6), GlossaryTranslator({"hot": "cold"}), "German", buckets=4)
+        assert "skew=true" in plan_after(done)
+        assert done.filter("text = 'cold'").count() == 20_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_wide_tables_come_back(spark):
+    wide = spark.createDataFrame([(7, "the dog", None, " "), (9, "the dog", "dog", "x")], "k long, a string, b string, c string")
+    done = tables.translate_wide(wide, "k", ["a", "b", "c"], GlossaryTranslator({"the": "der", "dog": "Hund"}), "German")
+    assert done.columns == wide.columns
+    assert rows(done, "k") == [(7, "der Hund", None, " "), (9, "der Hund", "Hund", "x")]
+    ragged = spark.createDataFrame([(1, 0, 1, "b"), (1, 0, 3, "d"), (2, 5, 0, "a")], "t int, row_idx int, col_idx int, text string")
+    assert rows(tables.widen(ragged, ["t"], ["x", "y", "z"]), "t") == [(1, 0, None, "b", None), (2, 5, "a", None, None)]
