@@ -296,6 +296,8 @@ images AS (
   FROM parts WHERE contains(content_type, 'image'))
 SELECT *, 'image_' || image_no || '.' || split_part(content_type, '/', 2) AS filename FROM images""",
     "s5_references": f"WITH {REF_LINES} SELECT * FROM refs",
+    "s5_reference_files": f"""WITH {PARAS}
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id, "index") - 1 AS pos, {strip('text')} AS ref FROM paras""",
     "s6_document_counts": f"WITH {COUNTS} SELECT * FROM counts",
     "p1_non_blank": f"""WITH {PARAS}
 SELECT doc_id, count(*) AS n, sum("index")::BIGINT AS index_sum FROM paras GROUP BY ALL""",

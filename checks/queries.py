@@ -22,7 +22,8 @@ from glossweave.plans import benchmark as bench_plan
 from glossweave.plans import evaluate as eval_plan
 from glossweave.plans import translate as plan
 from glossweave.sinks import documents as sink
-from glossweave.sources.references import corpus_references
+from glossweave.session import new_folder
+from glossweave.sources.references import corpus_references, read_references
 
 WORDS = {
     "the": "le", "and": "et", "of": "de", "in": "dans", "le": "der", "la": "die", "les": "den",
@@ -188,6 +189,15 @@ def s5_references(spark, sf):
     return corpus_references(table(spark, sf, "benchmark"), "item_id")
 
 
+def s5_reference_files(spark, sf):
+    """Text files, a folder for each language; lines are numbered over all files of a folder."""
+    folder = new_folder(spark, "references")
+    lines = paragraphs(spark, sf).repartitionByRange("lang", "doc_id", "index")
+    ordered = lines.sortWithinPartitions("lang", "doc_id", "index")
+    ordered.select("lang", F.concat(F.lit(" "), "text").alias("value")).write.partitionBy("lang").text(folder)
+    return read_references(spark, folder, F.regexp_extract("path", "lang=([^/]+)/", 1), "lang")
+
+
 def s6_document_counts(spark, sf):
     labels = table(spark, sf, "labels")
     return segmentation.document_counts(

@@ -93,11 +93,15 @@ def choose_pairs(
 
 @dataclass(frozen=True)
 class FilePairs:
-    """Pairs to score, how they were made, and how lengths differ (None without references)."""
+    """Pairs to score, how they were made, how lengths differ, and the files whose names are no document's.
+
+    Without references the last two are None.
+    """
 
     pairs: DataFrame
     mode: str
     lengths: DataFrame | None
+    ignored: DataFrame | None = None
 
 
 def file_pairs(
@@ -105,23 +109,34 @@ def file_pairs(
 ) -> FilePairs:
     """Pairs ``(doc_id, pos, hyp, ref)`` from reference files, or proxy pairs if there are none.
 
-    The file named by a document's id holds its references, a line for each paragraph.
+    The file named by a document's id holds its references, a line for each paragraph; several
+    files of one name (``7.txt``, ``7.md``) follow one another.  Files with other names are left out
+    and listed in ``ignored``, as ``(path, n_lines)``.
     """
     spark = translations.sparkSession
+    stem = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
+    key = stem.try_cast(translations.schema["doc_id"].dataType)
     try:
-        files = read_references(spark, path)
+        # Files that belong to no document are numbered each on its own.
+        named = F.struct(key.alias("doc_id"), F.when(key.isNull(), F.col("path")).alias("path"))
+        files = read_references(spark, path, named, "file")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         pairs = proxy_pairs(translations, back_translator, options)
         return FilePairs(pairs.withColumnRenamed("index", "pos"), "back_translation", None)
-    name = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
-    refs = files.select(name.cast(translations.schema["doc_id"].dataType).alias("doc_id"), "pos", "ref")
+    known = translations.select("doc_id").distinct()
+    refs = files.filter("file.doc_id is not null").select("file.doc_id", "pos", "ref")
     hyps = translations.select("doc_id", "pos", F.col("text").alias("hyp"))
     sides = [
         side.groupBy("doc_id").agg(F.count("*").alias(n)) for side, n in ((hyps, "n_hyp"), (refs, "n_ref"))
     ]
-    counts = sides[0].join(sides[1], "doc_id", "full").fillna(0, ["n_hyp", "n_ref"])
+    counts = sides[0].join(sides[1].join(known, "doc_id"), "doc_id", "full").fillna(0, ["n_hyp", "n_ref"])
+    foreign = files.filter("file.path is not null").groupBy("file.path").agg(F.count("*").alias("n_lines"))
+    strange = sides[1].join(known, "doc_id", "left_anti").select(F.col("doc_id").cast("string").alias("path"), F.col("n_ref").alias("n_lines"))
     return FilePairs(
-        zip_segments(hyps, refs, ["doc_id", "pos"]), "reference", length_severity(counts, ["doc_id"])
+        zip_segments(hyps, refs, ["doc_id", "pos"]),
+        "reference",
+        length_severity(counts, ["doc_id"]),
+        foreign.unionByName(strange),
     )

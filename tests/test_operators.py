@@ -436,3 +436,37 @@ def test_wide_tables_come_back(spark):
     assert rows(done, "k") == [(7, "der Hund", None, " "), (9, "der Hund", "Hund", "x")]
     ragged = spark.createDataFrame([(1, 0, 1, "b"), (1, 0, 3, "d"), (2, 5, 0, "a")], "t int, row_idx int, col_idx int, text string")
     assert rows(tables.widen(ragged, ["t"], ["x", "y", "z"]), "t") == [(1, 0, None, "b", None), (2, 5, "a", None, None)]
+
+
+def test_one_reference_file_over_several_splits(spark, tmp_path):
+    """Every split length gives the same numbers, in a folder with other files too."""
+    marks = ["\n", "\r\n", "\r", "\u2028", "\x0b", "\x85", "\n \t\n"]
+    lines = [f"line {i} é{'x' * (i % 37)}" for i in range(400)]
+    whole = "".join(f" {t}{marks[i % len(marks)]}" for i, t in enumerate(lines))
+    (tmp_path / "7.txt").write_bytes(whole.encode())
+    (tmp_path / "8.txt").write_bytes(b"one\ntwo")
+    (tmp_path / "8.zz").write_bytes(b"three\n")
+    (tmp_path / "readme.txt").write_bytes(b"not\nreferences\n\n")
+    (tmp_path / "9.txt").write_bytes(b"\n \n")
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    done = spark.createDataFrame(
+        [(7, i, i, t, t.upper(), False) for i, t in enumerate(lines)] + [(8, i, i, t, t, False) for i, t in enumerate(["one", "two"])],
+        "doc_id long, pos int, index int, source_text string, text string, is_fallback boolean")
+    try:
+        for size in ("64", "700", "128m"):
+            spark.conf.set(name, size)
+            got = {}
+            for r in read_references(spark, str(tmp_path)).orderBy("path", "pos").collect():
+                got.setdefault(r.path.rsplit("/", 1)[-1], []).append((r.pos, r.ref))
+            assert got == {"7.txt": list(enumerate(lines)), "8.txt": [(0, "one"), (1, "two")], "8.zz": [(0, "three")],
+                           "readme.txt": [(0, "not"), (1, "references")]}
+            found = ev.file_pairs(done, str(tmp_path), None)
+            assert found.mode == "reference" and found.pairs.count() == 402
+            assert found.pairs.filter("lower(hyp) <> ref").count() == 0
+            assert [r.n_lines for r in found.ignored.collect() if r.path.endswith("readme.txt")] == [2]
+            assert {r.doc_id: (r.n_hyp, r.n_ref) for r in found.lengths.collect()} == {7: (400, 400), 8: (2, 3)}
+        spark.conf.set(name, "64")
+        assert spark.read.text(str(tmp_path / "7.txt")).rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.set(name, before)
