@@ -394,6 +394,8 @@ SELECT doc_id, 'Translate this Hindi text into English.' || {GAP} || {listing(20
 FROM translated WHERE pos < 20 GROUP BY ALL""",
     "m5_model_run": MODEL,
     "m6_parallel_run": MODEL,
+    "m6_calls_in_flight": MODEL,
+    "m5_resumed_run": MODEL,
     "m5_memory_run": f"""WITH {PARAS},
 sources AS (
   SELECT unnest(string_split(text, {NL})) AS s FROM conversations

@@ -14,6 +14,7 @@ from glossweave.operators.translators import (
     GlossaryTranslator,
     MemoryTranslator,
     ModelTranslator,
+    ResumingTranslator,
     build_glossary,
     build_memory,
     glossary_column,
@@ -392,6 +393,33 @@ def m6_parallel_run(spark, sf):
     return done.select("doc_id", "index", "text", "is_fallback")
 
 
+def m6_calls_in_flight(spark, sf):
+    done = plan.translate_paragraphs(documents(spark, sf), ModelTranslator(echo_model(), calls_per_batch=8, in_flight=8))
+    return done.select("doc_id", "index", "text", "is_fallback")
+
+
+def failing_model(word: str):
+    """A model that is down for every prompt with ``word``."""
+    reply = echo_model()
+
+    def fail(prompts: list[str]) -> list[str]:
+        if any(word in p for p in prompts):
+            raise RuntimeError("down")
+        return reply(prompts)
+
+    return fail
+
+
+def m5_resumed_run(spark, sf):
+    """A run with a failing model, then one that asks again what failed."""
+    folder = new_folder(spark, "resumed")
+    first = ResumingTranslator(ModelTranslator(failing_model(" la ")), folder)
+    plan.translate_paragraphs(documents(spark, sf), first).write.format("noop").mode("overwrite").save()
+    again = ResumingTranslator(ModelTranslator(echo_model()), folder, rounds=2)
+    done = plan.translate_paragraphs(documents(spark, sf), again)
+    return done.select("doc_id", "index", "text", "is_fallback")
+
+
 def m5_memory_run(spark, sf):
     known = table(spark, sf, "conversations").select(F.explode(F.split("text", "\n")).alias("source"))
     texts = paragraphs(spark, sf).filter(F.col("lang") != "en").select(F.col("text").alias("source"))

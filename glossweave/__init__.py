@@ -4,13 +4,16 @@ from .operators.translators import (
     GlossaryTranslator,
     MemoryTranslator,
     ModelTranslator,
+    ResumingTranslator,
     build_glossary,
     build_memory,
 )
-from .plans.benchmark import run_benchmark, timed_hypotheses
+from .operators.distinct import translate_distinct
+from .operators.tables import translate_cells, translate_wide
+from .plans.benchmark import run_benchmark, system_hypotheses, timed_hypotheses
 from .plans.evaluate import Evaluation, choose_pairs, evaluate, file_pairs, proxy_pairs
 from .plans.translate import Options, make_briefs, translate_corpus, translate_paragraphs
-from .session import build_session
+from .session import build_session, drop_intermediates
 
 __all__ = [
     "Evaluation",
@@ -18,16 +21,22 @@ __all__ = [
     "MemoryTranslator",
     "ModelTranslator",
     "Options",
+    "ResumingTranslator",
     "build_glossary",
     "build_memory",
     "build_session",
     "choose_pairs",
+    "drop_intermediates",
     "evaluate",
     "file_pairs",
     "make_briefs",
     "proxy_pairs",
     "run_benchmark",
+    "system_hypotheses",
     "timed_hypotheses",
+    "translate_cells",
     "translate_corpus",
+    "translate_distinct",
     "translate_paragraphs",
+    "translate_wide",
 ]

@@ -86,6 +86,12 @@ def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -
     return left.join(other, same, how).drop(*[f"_r_{c}" for c in on])
 
 
+def anti_join_null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of ``left`` whose values of ``on`` are not in ``right``; null meets null."""
+    other = right.select(*[F.col(c).alias(f"_r_{c}") for c in on])
+    return left.join(other, [left[c].eqNullSafe(other[f"_r_{c}"]) for c in on], "left_anti")
+
+
 def head(
     rows: DataFrame, keys: list[str], order: str | list[str], n: int, rank: str | None = None
 ) -> DataFrame:

@@ -88,7 +88,7 @@ def translation_requests(
 def review_requests(responses: DataFrame, target: str) -> DataFrame:
     """Review prompts over the draft replies of the translation step.
 
-    The draft moves to ``draft`` and ``draft_error``; a failed draft gets no prompt.
+    The draft moves to ``draft``, ``draft_error`` and ``draft_seconds``; a failed draft gets no prompt.
     """
     prompt = _sections(
         f"Review this {target} translation.",
@@ -101,7 +101,8 @@ def review_requests(responses: DataFrame, target: str) -> DataFrame:
         "- Return an accurate and fluent translation unchanged.\n"
         f"- Write the final {target} text only.",
     )
-    return responses.withColumnsRenamed({"raw": "draft", "error": "draft_error"}).withColumns(
+    earlier = {"raw": "draft", "error": "draft_error", "seconds": "draft_seconds"}
+    return responses.withColumnsRenamed(earlier).withColumns(
         {"step": F.lit("review"), "prompt": F.when(F.col("draft_error").isNull(), prompt)}
     )
 

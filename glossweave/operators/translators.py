@@ -4,6 +4,7 @@ A translator turns rows of requests (``items``, ``prompt``) into responses by ad
 ``raw`` (reply text, numbered like the request) and ``error`` (null when the call worked).
 
 ``ModelTranslator``   any Python function from prompts to replies, run in Arrow batches
+``ResumingTranslator``  keeps the answers of another translator and never asks them again
 ``MemoryTranslator``  exact lookup of whole texts in a translation memory table
 ``GlossaryTranslator``  word-by-word lookup in a glossary table
 """
@@ -11,64 +12,149 @@ A translator turns rows of requests (``items``, ``prompt``) into responses by ad
 from __future__ import annotations
 
 import time
+import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, strip
 from ..session import saved
+from .positions import anti_join_null_safe, join_null_safe
 
 
 @dataclass(frozen=True)
 class ModelTranslator:
     """Run ``fn(list of prompts) -> list of replies`` over the requests.
 
-    ``workers`` spreads the requests over that many tasks; the result does not depend on
-    it.  A call that raises is repeated in halves, so that one bad request costs only few
-    others a second call.  Requests without a prompt are not sent.  ``pause`` seconds are kept
-    between calls of one task.
+    ``workers`` spreads the requests over that many tasks, ``in_flight`` is how many calls of a task
+    run side by side; the result depends on neither.  A call that raises is repeated in halves, so
+    that one bad request costs only few others a second call.  Requests without a prompt are not
+    sent.  ``pause`` seconds are kept before each further call of a task.
+
+    Besides ``raw`` and ``error`` a response has ``seconds``: the time of its calls, failed ones
+    included, shared evenly by the prompts of a call.  Scans and writes are no part of it.
     """
 
     fn: Callable[[list[str]], list[str]]
     workers: int | None = None
     pause: float = 0.0
     calls_per_batch: int = 32
+    in_flight: int = 1
 
     def respond(self, requests: DataFrame, keys: list[str]) -> DataFrame:
         if self.workers:
             requests = requests.repartition(self.workers, *keys)
-        fn, pause, step = self.fn, self.pause, self.calls_per_batch
+        fn, pause, step, width = self.fn, self.pause, self.calls_per_batch, max(1, self.in_flight)
 
-        def ask(prompts: list[str]) -> list[tuple[str | None, str | None]]:
+        def ask(prompts: list[str], spent: float = 0.0) -> list[tuple]:
+            start = time.perf_counter()
             try:
-                replies = list(fn(prompts))
+                replies, why = list(fn(prompts)), None
                 if len(replies) != len(prompts):
                     raise ValueError(f"{len(replies)} replies to {len(prompts)} prompts")
-                return [(None if r is None else str(r), None) for r in replies]
             except Exception as e:  # noqa: BLE001 - a failing model must not end the job
-                half = len(prompts) // 2
-                if half:
-                    return ask(prompts[:half]) + ask(prompts[half:])
-                return [(None, f"{type(e).__name__}: {e}")]
-
-        @F.pandas_udf("raw string, error string")
+                why = f"{type(e).__name__}: {e}"
+            spent += (time.perf_counter() - start) / len(prompts)
+            if why is None:
+                return [(None if r is None else str(r), None, spent) for r in replies]
+            half = len(prompts) // 2
+            if half:
+                return ask(prompts[:half], spent) + ask(prompts[half:], spent)
+            return [(None, why, spent)]
+
+        @F.pandas_udf("raw string, error string, seconds double")
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                answers = pd.Series([(None, "no prompt")] * len(batch), index=batch.index, dtype=object)
-                prompts = batch.dropna()
-                for start in range(0, len(prompts), step):
-                    part = prompts.iloc[start : start + step]
-                    answers[part.index] = ask(part.tolist())
-                    if pause:
-                        time.sleep(pause)
-                yield pd.DataFrame(answers.tolist(), columns=["raw", "error"], index=batch.index)
+            # Calls run side by side, are settled in the order of their prompts, and so are batches:
+            # what is held is the batches of at most ``width`` calls.
+            calls, held = deque(), deque()
+
+            def settle() -> None:
+                call, owner, index = calls.popleft()
+                owner["answers"][index] = call.result()
+                owner["open"] -= 1
+
+            def done(owner: dict) -> pd.DataFrame:
+                return pd.DataFrame(owner["answers"].tolist(), columns=["raw", "error", "seconds"], index=owner["answers"].index)
+
+            with ThreadPoolExecutor(width) as pool:
+                first = True
+                for batch in batches:
+                    none = [(None, "no prompt", None)] * len(batch)
+                    owner = {"answers": pd.Series(none, index=batch.index, dtype=object), "open": 0}
+                    held.append(owner)
+                    prompts = batch.dropna()
+                    for start in range(0, len(prompts), step):
+                        if len(calls) >= width:
+                            settle()
+                        if pause and not first:
+                            time.sleep(pause)
+                        first = False
+                        part = prompts.iloc[start : start + step]
+                        calls.append((pool.submit(ask, part.tolist()), owner, part.index))
+                        owner["open"] += 1
+                    while held and not held[0]["open"]:
+                        yield done(held.popleft())
+                while held:
+                    while held[0]["open"]:
+                        settle()
+                    yield done(held.popleft())
 
         # Only the prompt travels; a model is asked once, so the call must not be repeated.
         replied = requests.withColumn("_reply", run.asNondeterministic()("prompt"))
-        return replied.withColumns({"raw": F.col("_reply.raw"), "error": F.col("_reply.error")}).drop("_reply")
+        return replied.withColumns({c: F.col("_reply")[c] for c in ("raw", "error", "seconds")}).drop("_reply")
+
+
+@dataclass(frozen=True)
+class ResumingTranslator:
+    """Asks ``translator`` only what an earlier run with the same ``folder`` left without an answer.
+
+    Answers are appended to the table ``folder/answers``, keyed by the keys of the request, its step
+    and a digest of its prompt; failures are kept there too, but are asked again.  A request whose
+    prompt has changed is a new one.  Requests are asked in ``rounds`` parts of their own write each, so
+    a job that dies loses at most the answers of one part.
+    """
+
+    translator: object
+    folder: str
+    rounds: int = 1
+
+    def respond(self, requests: DataFrame, keys: list[str]) -> DataFrame:
+        path, run = f"{self.folder}/answers", uuid.uuid4().hex
+        by = [*keys, "step", "digest"]
+        asked = requests.withColumn("digest", F.sha2("prompt", 256))
+        open_ = asked.filter(F.col("prompt").isNotNull())
+        known = self._answers(open_, keys, path)
+        if known is not None:
+            open_ = anti_join_null_safe(open_, known.filter("error is null"), by)
+        for part in range(self.rounds):
+            mine = open_.filter(F.pmod(F.xxhash64("digest", *keys), F.lit(self.rounds)) == part)
+            replied = self.translator.respond(mine, keys)
+            spent = F.col("seconds") if "seconds" in replied.columns else F.lit(None).cast("double")
+            new = replied.select(*by, "raw", "error", spent.alias("seconds"), F.lit(run).alias("run"))
+            new.write.mode("append").parquet(path)
+        # An answer of any run, else the failure of this one; of repeated answers always the same.
+        found = self._answers(open_, keys, path).filter((F.col("run") == run) | F.col("error").isNull())
+        best = F.min(F.struct(F.col("error").isNotNull().alias("failed"), "raw", "error", "seconds"))
+        answers = found.groupBy(*by).agg(best.alias("_a"))
+        error = F.when(F.col("prompt").isNull(), F.lit("no prompt")).otherwise(F.col("_a.error"))
+        joined = join_null_safe(asked, answers, by, "left")
+        return joined.withColumns({"raw": F.col("_a.raw"), "error": error, "seconds": F.col("_a.seconds")}).drop("_a", "digest")
+
+    def _answers(self, requests: DataFrame, keys: list[str], path: str) -> DataFrame | None:
+        own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.select(*keys).schema)
+        schema = f"{own}, step string, digest string, raw string, error string, seconds double, run string"
+        try:
+            return requests.sparkSession.read.schema(schema).parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
 
 
 def _numbered_reply(items: Column, text: Callable[[Column], Column]) -> Column:
@@ -168,11 +254,22 @@ class GlossaryTranslator:
     def respond(self, requests: DataFrame, keys: list[str]) -> DataFrame:
         if isinstance(self.glossary, dict):
             return reply_with(requests, lambda t: glossary_column(t, self.glossary))
-        return _respond_by_item(
-            requests,
-            keys,
-            lambda rows: translate_by_glossary(rows, self.glossary, [*keys, "pos"]),
-        )
+        return _respond_by_words(requests, keys, self.glossary)
+
+
+def _respond_by_words(requests: DataFrame, keys: list[str], glossary: DataFrame) -> DataFrame:
+    """Word by word: the distinct words of a request are looked up, and their answers come back to it
+    as one map.  Only words travel to the glossary; a request is shuffled once, to meet its map.
+    """
+    entries = glossary.select(F.col("source").alias("_word"), F.col("target").alias("_to"))
+    every = F.array_distinct(F.flatten(F.transform("items", lambda item: F.split(item["text"], " "))))
+    words = requests.select(*keys, F.explode_outer(every).alias("_word"))
+    found = F.map_from_entries(F.collect_set(F.struct("_word", "_to")))
+    hits = words.join(entries, "_word").groupBy(*keys).agg(found.alias("_hits"))
+    swapped = lambda t: F.array_join(
+        F.transform(F.split(t, " "), lambda w: F.coalesce(F.try_element_at(F.col("_hits"), w), w)), " "
+    )
+    return reply_with(join_null_safe(requests, hits, keys, "left"), swapped).drop("_hits")
 
 
 def _respond_by_item(

@@ -12,6 +12,7 @@ from ..operators.alignment import align_responses, merge_by_index, with_brief
 from ..operators.batching import batch_documents, unbatch
 from ..operators.requests import brief_requests, review_requests, translation_requests
 from ..operators.segmentation import all_paragraphs, paragraph_array
+from ..operators.translators import ResumingTranslator
 from ..session import saved
 from ..sinks.documents import reassemble
 
@@ -99,8 +100,19 @@ def translate_corpus(
     reviewer=None,
     analyst=None,
     folder: str | None = None,
+    resume: bool = False,
+    rounds: int = 1,
 ) -> DataFrame:
-    """Whole translated documents ``(doc_id, text)``."""
+    """Whole translated documents ``(doc_id, text)``.
+
+    With ``resume`` every answer of a model is kept in ``folder`` when its round is written, and a run that is
+    started again with the same ``folder`` asks only what has no answer yet.
+    """
+    if resume:
+        if folder is None:
+            raise ValueError("a run can only be resumed in a folder")
+        keep = lambda t: None if t is None else ResumingTranslator(t, folder, rounds)
+        translator, reviewer, analyst = keep(translator), keep(reviewer), keep(analyst)
     briefs = None if analyst is None else make_briefs(documents, analyst, options, folder)
     translations = saved(
         translate_paragraphs(documents, translator, options, reviewer, briefs, folder),

@@ -10,6 +10,7 @@ from glossweave.operators.translators import (
     GlossaryTranslator,
     MemoryTranslator,
     ModelTranslator,
+    ResumingTranslator,
     build_glossary,
     build_memory,
     glossary_column,
@@ -331,8 +332,11 @@ def test_evaluation_of_files_and_systems(spark, tmp_path):
     missing = ev.file_pairs(done, str(tmp_path / "none"), GlossaryTranslator({"der": "the"}))
     assert missing.mode == "back_translation" and missing.lengths is None and missing.pairs.count() > 0
     refs = spark.createDataFrame([(0, "s", "one two three four"), (1, "s", "five six seven eight")], "seg_id long, source string, reference string")
-    make = lambda f: lambda: refs.select("seg_id", f("reference").alias("hyp"))
-    hyps, seconds = bench_plan.timed_hypotheses(spark, {"same": make(F.col), "upper": make(F.upper)}, str(tmp_path / "hyps"))
+    cut = lambda p: p.split("\n\nRules:")[0].split("\n\n", 1)[1]
+    models = {"same": lambda ps: [cut(p) for p in ps], "upper": lambda ps: [cut(p).upper() for p in ps]}
+    same_source = refs.withColumn("source", F.col("reference"))
+    make = lambda f: lambda: bench_plan.system_hypotheses(same_source, ModelTranslator(f))
+    hyps, seconds = bench_plan.timed_hypotheses(spark, {n: make(f) for n, f in models.items()}, str(tmp_path / "hyps"))
     scored = bench_plan.score_systems(hyps, refs)
     table = scoring.compare_systems(scored, seconds)
     assert {r.system: r.bleu for r in table.collect()} == {"same": 100.0, "upper": 0.0}
@@ -470,3 +474,99 @@ def test_one_reference_file_over_several_splits(spark, tmp_path):
         assert spark.read.text(str(tmp_path / "7.txt")).rdd.getNumPartitions() > 1
     finally:
         spark.conf.set(name, before)
+
+
+def test_calls_of_a_task_run_side_by_side(spark):
+    """Answers carry how many calls were running; order and one failure do not depend on it."""
+
+    def model(sleep=0.05):
+        state = {}
+
+        def call(prompts):
+            import threading
+            import time
+
+            lock = state.setdefault("lock", threading.Lock())
+            with lock:
+                state["now"] = state.get("now", 0) + 1
+                state["peak"] = max(state.get("peak", 0), state["now"])
+            time.sleep(sleep)
+            with lock:
+                state["now"] -= 1
+            if any(p == "p13" for p in prompts):
+                raise RuntimeError("down")
+            return [f"{p} {state['peak']}" for p in prompts]
+
+        return call
+
+    asked = spark.range(60).coalesce(1).select("id", F.when(F.col("id") % 10 != 7, F.concat(F.lit("p"), "id")).alias("prompt"))
+    conf, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("10000", "7"):
+            spark.conf.set(conf, size)
+            got = {}
+            for width in (1, 4):
+                answers = ModelTranslator(model(), calls_per_batch=2, in_flight=width).respond(asked, ["id"]).collect()
+                assert [r.id for r in answers] == list(range(60))
+                got[width] = [(r.raw and r.raw.split()[0], r.error) for r in answers]
+                assert max(int(r.raw.split()[1]) for r in answers if r.raw) == width
+                assert all(0.02 < r.seconds < 0.5 for r in answers if r.raw) and all((r.seconds is None) == (r.prompt is None) for r in answers)
+            assert got[1] == got[4]
+            assert got[4] == [(None, "no prompt") if i % 10 == 7 else (None, "RuntimeError: down") if i == 13 else (f"p{i}", None) for i in range(60)]
+    finally:
+        spark.conf.set(conf, before)
+
+
+def test_a_second_run_asks_only_what_failed(spark, shout, tmp_path):
+    """Prompts that reach the model are written by it."""
+    log = tmp_path / "asked"
+    log.mkdir()
+
+    def model(down):
+        def call(prompts):
+            import uuid
+
+            (log / f"{down or 'up'}-{uuid.uuid4().hex}").write_text("\0".join(prompts))
+            if down and any(down in p for p in prompts):
+                raise RuntimeError("down")
+            return shout(prompts)
+
+        return call
+
+    def asked(name):
+        return sorted({p.split("\n\n")[1] for f in log.glob(f"{name}-*") for p in f.read_text().split("\0")})
+
+    options = plan.Options(batch_size=1)
+    docs = documents(spark).unionByName(spark.createDataFrame([(None, "no id\nthe dog")], "doc_id long, text string"))
+    run = lambda down, d=docs, **k: plan.translate_paragraphs(
+        d, ResumingTranslator(ModelTranslator(model(down)), str(tmp_path / "run"), **k), options)
+    first = rows(run("dog"), "doc_id", "pos")
+    assert [(r[4], r[5]) for r in first] == [("NO ID", False), ("the dog", True), ("THE CAT", False), ("the dog", True), ("SAT", False), ("THERE", False), ("ONE", False)]
+    second = rows(run("", rounds=3), "doc_id", "pos")
+    assert asked("up") == ["1. the dog"]
+    assert [r[4] for r in second] == ["NO ID", "THE DOG", "THE CAT", "THE DOG", "SAT", "THERE", "ONE"] and not any(r[5] for r in second)
+    third = rows(run("none", spark.createDataFrame([(1, "the cat\nnew")], "doc_id long, text string")), "doc_id", "pos")
+    assert asked("none") == ["1. new"] and [r[4] for r in third] == ["THE CAT", "NEW"]
+    # A whole run with all three models, twice: nothing is asked again.
+    whole = lambda name: rows(plan.translate_corpus(
+        documents(spark), ModelTranslator(model(name)), reviewer=ModelTranslator(lambda ps: [p.split("\n\n")[1] for p in ps]),
+        analyst=ModelTranslator(lambda ps: ["brief"] * len(ps)), folder=str(tmp_path / "whole"), resume=True, rounds=2), "doc_id")
+    assert whole("zz1") == whole("zz2") and asked("zz1") and not asked("zz2")
+
+
+def test_time_of_calls_is_independent_of_scan_and_write(spark, tmp_path):
+    import time
+
+    def slow(prompts):
+        time.sleep(0.2 * len(prompts))
+        return ["1. a\n2. b\n3. c"] * len(prompts)
+
+    bitext = spark.range(30).select(F.col("id").alias("seg_id"), F.concat(F.lit("s"), "id").alias("source"))
+    hyps, seconds = bench_plan.timed_hypotheses(
+        spark,
+        {"slow": lambda: bench_plan.system_hypotheses(bitext, ModelTranslator(slow, in_flight=2)),
+         "free": lambda: bitext.select("seg_id", F.col("source").alias("hyp"))},
+        str(tmp_path))
+    took = {r.system: r.seconds for r in seconds.collect()}
+    assert took["free"] is None and 2.0 <= took["slow"] <= 2.6
+    assert hyps.filter("system = 'slow'").count() == 30 and [r.hyp for r in hyps.filter("system = 'slow'").orderBy("seg_id").limit(4).collect()] == ["a", "b", "c", "a"]
