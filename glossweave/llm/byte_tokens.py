@@ -9,7 +9,7 @@ would find a special token is left to ``tokenizers`` itself.
 from __future__ import annotations
 
 import json
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -38,11 +38,10 @@ class ByteTokenizer:
     def __init__(self, path: str):
         import tiktoken
         from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
 
+        self.path = path
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        self.library = Tokenizer.from_file(path)
         self.special = [t["content"] for t in file["added_tokens"]]
         letters = byte_letters()
         added = set(self.special)
@@ -55,6 +54,13 @@ class ByteTokenizer:
         for t in file["added_tokens"]:
             self.token_bytes[t["id"]] = t["content"].encode()
 
+    @cached_property
+    def library(self):
+        """Loaded only by workers that meet a special token."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, texts: list[str], plain: bool) -> list[np.ndarray]:
         """Ids of each text.  ``plain``: strings of special tokens are ordinary text."""
         out = []

@@ -92,8 +92,17 @@ def curve_keys(ids: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
     return hilbert_key(grid, AXIS_BITS)
 
 
+def id_kind(path: str) -> str:
+    """Little-endian unsigned integers that hold every id of the vocabulary."""
+    return "<u2" if len(tokenizer(path).token_bytes) <= 1 << 16 else "<u4"
+
+
 def place(docs: DataFrame, keep: list[str], text: str, path: str) -> DataFrame:
-    """``keep``, ``_row``, ``_key`` and ``_ids`` (with the end id) of every document, written once."""
+    """``keep``, ``_row``, ``_key``, ``_n`` and ``_ids`` (with the end id) of every document, written once.
+
+    Ids are bytes of ``id_kind``: half the size where the vocabulary allows it.
+    """
+    kind = id_kind(path)
     ready = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     own = [f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema if f.name != "_text"]
 
@@ -104,14 +113,14 @@ def place(docs: DataFrame, keep: list[str], text: str, path: str) -> DataFrame:
                 batch = whole.slice(at, SLICE)
                 encoded = [np.append(x, np.int32(END_ID)) for x in words.encode(batch.column(len(own)).to_pylist(), plain=False)]
                 lengths = np.array([len(x) for x in encoded])
-                flat = np.concatenate(encoded)
-                keys = curve_keys(flat.astype(np.int64), lengths, len(words.token_bytes))
-                ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), flat)
+                keys = curve_keys(np.concatenate(encoded).astype(np.int64), lengths, len(words.token_bytes))
+                ids = pa.array([x.astype(kind).tobytes() for x in encoded], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[: len(own)], pa.array(keys), ids], names=[*batch.schema.names[: len(own)], "_key", "_ids"]
+                    [*batch.columns[: len(own)], pa.array(keys), pa.array(lengths), ids],
+                    names=[*batch.schema.names[: len(own)], "_key", "_n", "_ids"],
                 )
 
-    return saved(ready.mapInArrow(apply, ", ".join([*own, "_key long", "_ids array<int>"])), "placed")
+    return saved(ready.mapInArrow(apply, ", ".join([*own, "_key long", "_n long", "_ids binary"])), "placed")
 
 
 def order(placed: DataFrame, parts: int) -> tuple[DataFrame, np.ndarray]:
@@ -125,7 +134,7 @@ def order(placed: DataFrame, parts: int) -> tuple[DataFrame, np.ndarray]:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends - n)], names=["_row", "_part", "_n", "_before"])
             before = int(ends[-1]) if len(ends) else before
 
-    light = placed.select("_row", "_key", F.size("_ids").cast("long").alias("_n"))
+    light = placed.select("_row", "_key", "_n")
     ranges = light.repartitionByRange(parts, "_key", "_row").sortWithinPartitions("_key", "_row")
     rows = ranges.select("_row", F.spark_partition_id().alias("_part"), "_n").mapInArrow(
         run, "_row long, _part int, _n long, _before long"
@@ -158,9 +167,11 @@ def pack(
     spark = docs.sparkSession
     names = [c for c in keep if c not in RESULTS]
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = place(docs, names, text, path or default_tokenizer())
+    path = path or default_tokenizer()
+    kind = id_kind(path)
+    placed = place(docs, names, text, path)
     starts, first = order(placed, parts)
-    ready = placed.join(starts, "_row").select(*names, "_ids", "_part", "_before")
+    ready = placed.join(starts, "_row").select(*names, "_ids", "_n", "_part", "_before")
     own = [f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema if f.name in names]
     schema = ", ".join([*own, "start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long"])
 
@@ -168,9 +179,9 @@ def pack(
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
-                ids, part, before = batch.columns[len(names) :]
-                n = ids.value_lengths().to_numpy().astype(np.int64)
-                flat = ids.flatten().to_numpy().astype("<u4")
+                ids, n, part, before = batch.columns[len(names) :]
+                n = n.to_numpy()
+                flat = np.frombuffer(b"".join(ids.to_pylist()), kind).astype("<u4")
                 place = first[part.to_numpy()] + before.to_numpy()
                 # Sequences that a document touches; the first piece may start inside one.
                 pieces = (place + n - 1) // length - place // length + 1
