@@ -518,6 +518,59 @@ grams AS (
   SELECT doc_id, array_to_string(w[i:i + s - 1], ' ') AS phrase
   FROM (SELECT doc_id, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM w, (VALUES (2), (3), (4)) v(s)))
 SELECT doc_id, phrase, count(*) AS n FROM grams GROUP BY ALL HAVING count(*) >= 2"""
+CASE_TOKENS = rf"""{PARAS},
+toks AS (
+  SELECT doc_id, lang, "index", i, regexp_extract(t[i], '^\p{{P}}*(\p{{L}}+)\p{{P}}*$', 1) AS word,
+         regexp_extract(t[i - 1], '^\p{{P}}*(\p{{L}}+)\p{{P}}*$', 1) AS before, regexp_matches(t[i - 1], '[.!?:]\p{{P}}*$') AS stop
+  FROM (SELECT doc_id, lang, "index", t, unnest(range(2, len(t) + 1)) AS i
+        FROM (SELECT doc_id, lang, "index", regexp_split_to_array({strip('text')}, '\s+') AS t FROM paras))),
+cases AS (
+  SELECT doc_id, lang, "index", i, word, before, regexp_matches(word, '^\p{{Lu}}\p{{Ll}}+$') AS up,
+         regexp_matches(before, '^\p{{Lu}}\p{{Ll}}+$') AS up_before
+  FROM toks WHERE word <> '' AND NOT stop)"""
+NAMES = f"""{CASE_TOKENS},
+uses AS (
+  SELECT lang, lower(before) AS before, lower(word) AS word, count(*) AS n_uses, count(*) FILTER (up) AS n FROM cases GROUP BY ALL),
+rates AS (SELECT lang, sum(n) / sum(n_uses) AS r FROM uses GROUP BY lang),
+befores AS (
+  SELECT lang, before, sum(n) AS b, sum(n_uses) AS b_uses FROM uses GROUP BY lang, before),
+words AS (
+  SELECT lang, word, sum(n)::BIGINT AS n, sum(n_uses)::BIGINT AS n_uses, sum(n_uses * ((b - n + 20 * r) / (b_uses - n_uses + 20))) AS e
+  FROM uses JOIN befores USING (lang, before) JOIN rates USING (lang) GROUP BY lang, word),
+names AS (
+  SELECT lang, upper(word[1]) || word[2:] AS name, n, n_uses, round(2 * (n * ln(n / e) - (n - e)), 4) AS score
+  FROM words WHERE n >= 2 AND n > e AND n >= 0.5 * n_uses AND round(2 * (n * ln(n / e) - (n - e)), 4) >= 10.83)"""
+ORACLE["m9_corpus_names"] = f"WITH {NAMES} SELECT * FROM names"
+
+
+def cell(o: str, row: str, column: str) -> str:
+    return f"CASE WHEN {o} > 0 THEN ({o}) * ln(({o}) * a::DOUBLE / (({row}) * ({column})::DOUBLE)) ELSE 0 END"
+
+
+RATIO = " + ".join([
+    cell("n", "f", "s"), cell("f - n", "f", "a - s"), cell("s - n", "a - f", "s"), cell("a - f - s + n", "a - f", "a - s")])
+NAME_PAIRS = f"""
+both_words AS (
+  SELECT lang, CASE WHEN up_before THEN before END AS first, CASE WHEN up THEN word END AS second, count(*) AS n FROM cases GROUP BY ALL),
+tables AS (
+  SELECT *, sum(n) OVER (PARTITION BY lang, first) AS f, sum(n) OVER (PARTITION BY lang, second) AS s, sum(n) OVER (PARTITION BY lang) AS a
+  FROM both_words),
+linked AS (
+  SELECT lang, first, second, n, round(2 * ({RATIO}), 4) AS score FROM tables
+  WHERE n >= 2 AND first IS NOT NULL AND second IS NOT NULL AND n * a > f * s AND round(2 * ({RATIO}), 4) >= 10.83)"""
+ORACLE["m9_name_pairs"] = f"WITH {CASE_TOKENS},{NAME_PAIRS} SELECT * FROM linked"
+ORACLE["m9_document_names"] = f"""WITH {NAMES},{NAME_PAIRS},
+marked AS (
+  SELECT c.doc_id, c."index", c.i, c.word, c.before, l.first IS NOT NULL AS linked, x.name IS NOT NULL AS single,
+         l.first IS NOT NULL AND lag(c.i) OVER (PARTITION BY c.doc_id, c."index" ORDER BY c.i) IS NOT DISTINCT FROM c.i - 1 AS goes_on
+  FROM cases c LEFT JOIN linked l ON l.lang = c.lang AND l.first = c.before AND l.second = c.word
+  LEFT JOIN names x ON x.lang = c.lang AND x.name = c.word WHERE c.up),
+parts AS (
+  SELECT *, sum((NOT goes_on)::INT) OVER (PARTITION BY doc_id, "index" ORDER BY i) AS run FROM marked),
+found AS (
+  SELECT doc_id, CASE WHEN arg_min(linked, i) THEN arg_min(before, i) || ' ' ELSE '' END || string_agg(word, ' ' ORDER BY i) AS name
+  FROM parts GROUP BY doc_id, "index", run HAVING count(*) > 1 OR arg_min(linked, i) OR arg_min(single, i))
+SELECT doc_id, name, count(*) AS n FROM found GROUP BY ALL"""
 ORACLE["m10_review_counts"] = f"""WITH {TRANSLATED}
 SELECT doc_id, count(*) AS n_items, count(*) FILTER ({strip('text')} <> '') AS n_answered,
   count(*) FILTER ({strip('text')} = {strip('source_text')} AND {strip('text')} <> '') AS n_unchanged,
@@ -527,3 +580,16 @@ FROM translated GROUP BY doc_id"""
 ORACLE["m10_inconsistent_sources"] = f"""WITH {HYPS},
 pairs AS (SELECT {strip('lower(text)')} AS source, {strip('hyp')} AS target FROM benchmark JOIN hyps ON seg_id = item_id)
 SELECT source, count(*) AS n, count(DISTINCT target) AS n_targets FROM pairs GROUP BY source HAVING count(DISTINCT target) > 1"""
+
+RENDERINGS = f"""{PARAS},
+votes AS (
+  SELECT doc_id, "index", {strip('lower(text)')} AS source,
+         {strip(f"CASE WHEN doc_id % 3 = 0 THEN lower(text) ELSE {swap('text', WORDS)} END")} AS target FROM paras),
+ranked AS (
+  SELECT source, target, count(*) AS n, sum(count(*)) OVER (PARTITION BY source)::BIGINT AS n_all,
+         row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, target) AS k, count(*) OVER (PARTITION BY source) AS n_targets
+  FROM votes WHERE target <> '' GROUP BY source, target)"""
+ORACLE["m10_majority_renderings"] = f"WITH {RENDERINGS} SELECT source, target, n, n_all FROM ranked WHERE k = 1"
+ORACLE["m10_deviating_segments"] = f"""WITH {RENDERINGS}
+SELECT doc_id, "index", source, v.target AS target, r.target AS majority, round(n / n_all, 4) AS share
+FROM votes v JOIN ranked r USING (source) WHERE k = 1 AND n_targets > 1 AND v.target <> r.target AND v.target <> ''"""

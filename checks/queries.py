@@ -352,6 +352,11 @@ def m1_brief_request(spark, sf):
     ).select("doc_id", "prompt")
 
 
+def m1_counted_brief(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    return plan.counted_briefs(docs, plan.Options(), plan.CountedAnalyst(("lang",)))
+
+
 def m2_translation_request(spark, sf):
     docs = alignment.with_brief(documents(spark, sf), briefs(spark, sf))
     asked = requests.translation_requests(batching.batch_documents(docs, 3), "Hindi", "medium", "brief")
@@ -471,6 +476,22 @@ def m9_phrases(spark, sf):
     return statistics.recurring_phrases(paragraphs(spark, sf))
 
 
+def m9_maximal_phrases(spark, sf):
+    return statistics.maximal_phrases(documents(spark, sf))
+
+
+def m9_corpus_names(spark, sf):
+    return statistics.corpus_names(paragraphs(spark, sf), ["lang"])
+
+
+def m9_name_pairs(spark, sf):
+    return statistics.name_pairs(paragraphs(spark, sf), ["lang"])
+
+
+def m9_document_names(spark, sf):
+    return statistics.document_names(paragraphs(spark, sf), ["lang"])
+
+
 def m10_review_counts(spark, sf):
     return statistics.review_counts(translations(spark, sf), "Latin")
 
@@ -480,6 +501,20 @@ def m10_inconsistent_sources(spark, sf):
     return statistics.inconsistent_sources(both.select(F.col("source").alias("source_text"), F.col("hyp").alias("text")))
 
 
+def renderings(spark, sf):
+    """Every paragraph of the documents, by two systems; the languages stand for translators."""
+    text = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.lower("text")).otherwise(glossary_column(F.col("text"), WORDS))
+    return paragraphs(spark, sf).select("doc_id", "index", F.lower("text").alias("source_text"), text.alias("text"))
+
+
+def m10_majority_renderings(spark, sf):
+    return statistics.majority_renderings(renderings(spark, sf)).select("source", "target", "n", "n_all")
+
+
+def m10_deviating_segments(spark, sf):
+    return statistics.deviating_segments(renderings(spark, sf), ["doc_id", "index"])
+
+
 # --- metrics ------------------------------------------------------------------------------
 
 SEGMENT = ["doc_id", "lang", "index"]

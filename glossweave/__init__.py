@@ -12,10 +12,11 @@ from .operators.distinct import translate_distinct
 from .operators.tables import translate_cells, translate_wide
 from .plans.benchmark import run_benchmark, system_hypotheses, timed_hypotheses
 from .plans.evaluate import Evaluation, choose_pairs, evaluate, file_pairs, proxy_pairs
-from .plans.translate import Options, make_briefs, translate_corpus, translate_paragraphs
+from .plans.translate import CountedAnalyst, Options, counted_briefs, make_briefs, translate_corpus, translate_paragraphs
 from .session import build_session, drop_intermediates
 
 __all__ = [
+    "CountedAnalyst",
     "Evaluation",
     "GlossaryTranslator",
     "MemoryTranslator",
@@ -26,6 +27,7 @@ __all__ = [
     "build_memory",
     "build_session",
     "choose_pairs",
+    "counted_briefs",
     "drop_intermediates",
     "evaluate",
     "file_pairs",

@@ -5,15 +5,26 @@ All counts are partial aggregates, so a frequent word or source text is no hot s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, strip
+from ..session import written
 from .positions import head
 
 #: A word: letters, with hyphens or apostrophes inside.
 WORD = r"\p{L}+(?:[-'’]\p{L}+)*"
 PHRASE_SIZES = (2, 3, 4)
+#: A capitalised word, a token's word between punctuation, and a token that ends a sentence.
+CAPITALISED, BARE, SENTENCE_END = r"^\p{Lu}\p{Ll}+$", r"^\p{P}*(\p{L}+)\p{P}*$", r"[.!?:]\p{P}*$"
+#: A name: capitalised in at least this share of its uses, and a log-likelihood ratio of 1 in 1000.
+NAME_SHARE, NAME_SCORE = 0.5, 10.83
+#: The language's rate of capitals counts as so many uses of every word before.
+SHRINK = 20
 
 
 def _words(text: Column) -> Column:
@@ -21,10 +32,15 @@ def _words(text: Column) -> Column:
 
 
 def key_terms(paragraphs: DataFrame, k: int = 10, least_length: int = 3) -> DataFrame:
-    """The ``k`` words of each document with the highest TF-IDF; ties in word order."""
+    """The ``k`` words of each document with the highest TF-IDF; ties in word order.
+
+    Both tables are written: the counts are made once, and a word that every document holds is a
+    skewed key of a join between tables, which Spark splits.
+    """
     words = paragraphs.select("doc_id", F.explode(F.transform(_words(F.col("text")), F.lower)).alias("term"))
     tf = words.filter(F.length("term") >= least_length).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
-    df = tf.groupBy("term").agg(F.count("*").alias("n_docs"))
+    tf = written(tf, "term-counts")
+    df = written(tf.groupBy("term").agg(F.count("*").alias("n_docs")), "document-counts")
     total = paragraphs.agg(F.count_distinct("doc_id")).scalar()
     score = F.round(F.col("n") * F.log(total / F.col("n_docs")), 6)
     scored = tf.join(df, "term").withColumn("score", score).withColumn("_low", -F.col("score"))
@@ -60,6 +76,186 @@ def recurring_phrases(paragraphs: DataFrame, sizes: tuple[int, ...] = PHRASE_SIZ
     return phrases.groupBy("doc_id", "phrase").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
+def maximal_phrases(documents: DataFrame, least: int = 2) -> DataFrame:
+    """``(doc_id, phrase, n)``: word sequences of any length that a document has ``least`` times or more.
+
+    A phrase that a longer one covers, by containing it and being as frequent, is left out.  Phrases
+    lie inside one paragraph.  A document is one row and stays so: its phrases come from its sorted
+    suffixes, in time near its length however long its repeats are.  A text that is one word over and
+    over has that word at every length as a phrase, so what it gives is quadratic in it.
+    """
+    words = lambda p: F.transform(_words(p), F.lower)
+    paragraphs = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), words)
+    found = _repeats(least)(paragraphs)
+    rows = documents.select("doc_id", F.explode_outer(found).alias("p")).filter("p is not null")
+    return rows.select("doc_id", "p.phrase", "p.n")
+
+
+def _repeats(least: int):
+    """A function of ``array<array<string>>``: closed repeats with their counts."""
+
+    def of(paragraphs) -> list[tuple[str, int]]:
+        # Words as numbers; every paragraph ends with a number of its own, so no repeat crosses it.
+        names: dict[str, int] = {}
+        words = [w for p in paragraphs for w in (*p, None)]
+        s = np.array([-1 - i if w is None else names.setdefault(w, len(names)) for i, w in enumerate(words)], np.int64)
+        n, step = len(s), 1
+        rank = np.unique(s, return_inverse=True)[1]
+        while True:
+            after = np.zeros(n, np.int64)
+            after[: max(n - step, 0)] = rank[step:] + 1
+            order = np.lexsort((after, rank))
+            changed = (rank[order][1:] != rank[order][:-1]) | (after[order][1:] != after[order][:-1])
+            rank = np.empty(n, np.int64)
+            rank[order] = np.append(0, np.cumsum(changed))
+            if rank[order[-1]] == n - 1:
+                break
+            step *= 2
+        # Words that each suffix shares with the one sorted before it.
+        shared, h, at, by_rank, seq = [0] * (n + 1), 0, rank.tolist(), order.tolist(), s.tolist()
+        for i in range(n):
+            if at[i]:
+                j = by_rank[at[i] - 1]
+                while i + h < n and j + h < n and seq[i + h] == seq[j + h]:
+                    h += 1
+                shared[at[i]], h = h, max(h - 1, 0)
+            else:
+                h = 0
+        # Neighbours that differ in the word before; without it a longer phrase covers them all.
+        before = np.append(-n - 2, s[:-1])[order]
+        differs = np.append(0, np.cumsum((before[1:] != before[:-1]) | (before[1:] < 0))).tolist()
+        out, stack = [], []
+        for hi in range(1, n + 1):
+            lo = hi - 1
+            while stack and stack[-1][0] > shared[hi]:
+                length, lo = stack.pop()
+                if length > 1 and hi - lo >= least and differs[hi - 1] > differs[lo]:
+                    start = by_rank[lo]
+                    out.append((" ".join(words[start : start + length]), hi - lo))
+            if shared[hi] and (not stack or stack[-1][0] < shared[hi]):
+                stack.append((shared[hi], lo))
+        return out
+
+    @F.pandas_udf("array<struct<phrase string, n bigint>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([of(p) for p in batch], dtype=object)
+
+    return run
+
+
+def _case_tokens(paragraphs: DataFrame, by: list[str]) -> DataFrame:
+    """Words inside sentences with the word before them: ``(*by, doc_id, index, at, word, before)``."""
+    cut = paragraphs.select(*by, "doc_id", "index", F.split(strip("text"), r"\s+").alias("_t")).select(
+        *by,
+        "doc_id",
+        "index",
+        F.transform(
+            "_t", lambda t: F.struct(F.regexp_extract(t, BARE, 1).alias("word"), F.rlike(t, F.lit(SENTENCE_END)).alias("stop"))
+        ).alias("_p"),
+    )
+    beside = F.transform(
+        "_p",
+        lambda x, i: F.struct(
+            i.alias("at"), x["word"].alias("word"), F.get("_p", i - 1)["word"].alias("before"), F.get("_p", i - 1)["stop"].alias("stop")
+        ),
+    )
+    return (
+        cut.select(*by, "doc_id", "index", F.explode(beside).alias("x"))
+        .filter("x.word <> '' and not x.stop")
+        .select(*by, "doc_id", "index", "x.at", "x.word", "x.before")
+    )
+
+
+def _is_capital(word: str) -> Column:
+    return F.rlike(word, F.lit(CAPITALISED))
+
+
+def corpus_names(paragraphs: DataFrame, by: list[str], least: int = 2) -> DataFrame:
+    """``(*by, name, n, n_uses, score)``: words that the case statistics of the corpus make names.
+
+    What counts is being capitalised more often than the words before make likely: where nouns are
+    capitalised, an article is mostly followed by a capital, so a noun after articles is no
+    surprise, a name after a verb is.  ``score`` is the log-likelihood ratio of the capitalised uses
+    ``n`` against those expected from what other words do after the same words, whose rates lean to that
+    of the group.
+    """
+    cases = _case_tokens(paragraphs, by).select(*by, F.lower("before").alias("before"), F.lower("word").alias("word"), _is_capital("word").alias("up"))
+    uses = cases.groupBy(*by, "before", "word").agg(F.count("*").alias("n_uses"), F.count_if("up").alias("n"))
+    total = lambda *keys: uses.groupBy(*keys).agg(F.sum("n").alias("_n"), F.sum("n_uses").alias("_uses"))
+    rate = total(*by).select(*by, (F.col("_n") / F.col("_uses")).alias("_rate"))
+    before = total(*by, "before").join(rate, by) if by else total("before").withColumn("_rate", total().select(F.col("_n") / F.col("_uses")).scalar())
+    # Without the word's own uses.
+    likely = (F.col("_n") - F.col("n") + SHRINK * F.col("_rate")) / (F.col("_uses") - F.col("n_uses") + SHRINK)
+    words = (
+        uses.join(before, [*by, "before"])
+        .withColumn("_p", likely)
+        .groupBy(*by, "word")
+        .agg(F.sum("n").alias("n"), F.sum("n_uses").alias("n_uses"), F.sum(F.col("n_uses") * F.col("_p")).alias("_e"))
+    )
+    n, e = F.col("n"), F.col("_e")
+    score = F.round(2 * (n * F.log(n / e) - (n - e)), 4)
+    return (
+        words.filter((n >= least) & (n > e) & (n >= NAME_SHARE * F.col("n_uses")))
+        .withColumn("score", score)
+        .filter(F.col("score") >= NAME_SCORE)
+        .select(*by, F.initcap("word").alias("name"), "n", "n_uses", "score")
+    )
+
+
+def name_pairs(paragraphs: DataFrame, by: list[str], least: int = 2) -> DataFrame:
+    """``(*by, first, second, n, score)``: capitalised words that follow each other more than by chance.
+
+    ``score`` is the log-likelihood ratio of the table of both words over all words inside sentences.
+    """
+    cases = _case_tokens(paragraphs, by).select(
+        *by,
+        F.when(_is_capital("before"), F.col("before")).alias("first"),
+        F.when(_is_capital("word"), F.col("word")).alias("second"),
+    )
+    pairs = cases.groupBy(*by, "first", "second").agg(F.count("*").alias("n"))
+    side = lambda c, name: pairs.filter(F.col(c).isNotNull()).groupBy(*by, c).agg(F.sum("n").alias(name))
+    total = pairs.groupBy(*by).agg(F.sum("n").alias("_all"))
+    both = pairs.filter((F.col("n") >= least) & F.col("first").isNotNull() & F.col("second").isNotNull())
+    joined = both.join(side("first", "_f"), [*by, "first"]).join(side("second", "_s"), [*by, "second"])
+    joined = joined.join(total, by) if by else joined.withColumn("_all", total.scalar())
+    n, f, s, every = (F.col(c) for c in ("n", "_f", "_s", "_all"))
+    cell = lambda o, row, column: F.when(o > 0, o * F.log(o * every / (row * column))).otherwise(0.0)
+    ratio = 2 * (
+        cell(n, f, s) + cell(f - n, f, every - s) + cell(s - n, every - f, s) + cell(every - f - s + n, every - f, every - s)
+    )
+    return (
+        joined.filter(n * every > f * s)
+        .withColumn("score", F.round(ratio, 4))
+        .filter(F.col("score") >= NAME_SCORE)
+        .select(*by, "first", "second", "n", "score")
+    )
+
+
+def document_names(paragraphs: DataFrame, by: list[str], least: int = 2) -> DataFrame:
+    """``(doc_id, name, n)``: names of one word or several, as a document has them.
+
+    Words whose pairs are names are joined to one name as far as the pairs go on; a single word counts
+    if it is a name of the corpus and not part of a longer one there.
+    """
+    tokens = _case_tokens(paragraphs, by).filter(_is_capital("word"))
+    pairs = name_pairs(paragraphs, by, least).select(*by, F.col("first").alias("before"), F.col("second").alias("word"), F.lit(True).alias("_linked"))
+    singles = corpus_names(paragraphs, by, least).select(*by, F.col("name").alias("word"), F.lit(True).alias("_single"))
+    marked = tokens.join(pairs, [*by, "before", "word"], "left").join(singles, [*by, "word"], "left")
+    # A linked token follows its first word, which may start the sentence; then it is no token itself.
+    place = Window.partitionBy("doc_id", "index").orderBy("at")
+    new = ~(F.coalesce("_linked", F.lit(False)) & (F.lag("at").over(place) == F.col("at") - 1))
+    runs = marked.withColumn("_new", F.coalesce(new, F.lit(True))).withColumn("_run", F.sum(F.col("_new").cast("int")).over(place))
+    parts = F.array_sort(F.collect_list(F.struct("at", "word", "before", "_linked", "_single")))
+    names = runs.groupBy("doc_id", "index", "_run").agg(parts.alias("_w")).select(
+        "doc_id",
+        F.when(F.col("_w")[0]["_linked"], F.concat(F.col("_w")[0]["before"], F.lit(" "))).otherwise("").alias("_head"),
+        F.array_join(F.transform("_w", lambda x: x["word"]), " ").alias("_tail"),
+        ((F.size("_w") > 1) | F.coalesce(F.col("_w")[0]["_linked"], F.col("_w")[0]["_single"], F.lit(False))).alias("_ok"),
+    )
+    return names.filter("_ok").groupBy("doc_id", F.concat("_head", "_tail").alias("name")).agg(F.count("*").alias("n"))
+
+
 def review_counts(translations: DataFrame, script: str) -> DataFrame:
     """Per document: items in and out, items equal to their source, and letters of ``script``.
 
@@ -85,3 +281,37 @@ def inconsistent_sources(translations: DataFrame) -> DataFrame:
         .agg(F.sum("n").alias("n"), F.count("*").alias("n_targets"))
         .filter(F.col("n_targets") > 1)
     )
+
+
+def majority_renderings(translations: DataFrame) -> DataFrame:
+    """``(source, target, n, n_all, n_targets)``: the most frequent rendering of each source text.
+
+    Of equally frequent ones the first in text order.  Two partial aggregates; blank texts do not vote.
+    """
+    votes = (
+        translations.select(strip("source_text").alias("source"), strip("text").alias("target"))
+        .filter(~is_blank("source") & ~is_blank("target"))
+        .groupBy("source", "target")
+        .agg(F.count("*").alias("n"))
+    )
+    first = F.min(F.struct((-F.col("n")).alias("_less"), "target"))
+    return votes.groupBy("source").agg(first.alias("_best"), F.sum("n").alias("n_all"), F.count("*").alias("n_targets")).select(
+        "source", F.col("_best.target").alias("target"), (-F.col("_best._less")).alias("n"), "n_all", "n_targets"
+    )
+
+
+def deviating_segments(translations: DataFrame, keys: list[str]) -> DataFrame:
+    """``(*keys, source, target, majority, share)``: segments rendered otherwise than most of their source.
+
+    ``share`` is the part of the source's renderings that agree with the majority.  Contested sources are
+    a written table, so one with very many segments is split by Spark's skew join.
+    """
+    contested = written(majority_renderings(translations).filter("n_targets > 1"), "majorities")
+    best = contested.select("source", F.col("target").alias("majority"), F.round(F.col("n") / F.col("n_all"), 4).alias("share"))
+    own = translations.select(*keys, strip("source_text").alias("source"), strip("text").alias("target"))
+    return (
+        own.filter(~is_blank("source") & ~is_blank("target"))
+        .join(best, "source")
+        .filter("target <> majority")
+        .select(*keys, "source", "target", "majority", "share")
+    )

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.text import is_blank, strip
 from ..operators.alignment import align_responses, merge_by_index, with_brief
 from ..operators.batching import batch_documents, unbatch
-from ..operators.requests import brief_requests, review_requests, translation_requests
-from ..operators.segmentation import all_paragraphs, paragraph_array
+from ..operators import statistics
+from ..operators.positions import head
+from ..operators.requests import BRIEF_SECTIONS, brief_requests, review_requests, translation_requests
+from ..operators.segmentation import all_paragraphs, paragraph_array, segment_documents
 from ..operators.translators import ResumingTranslator
 from ..session import saved
 from ..sinks.documents import reassemble
@@ -29,8 +31,64 @@ class Options:
     eval_back_translate_sample: int = 20
 
 
+@dataclass(frozen=True)
+class CountedAnalyst:
+    """Stands in for a model that writes briefs: fills the sections that can be counted.
+
+    ``by`` are columns of the documents (their language) inside which case statistics are taken;
+    ``limit`` is the number of entries of a section.
+    """
+
+    by: tuple[str, ...] = ()
+    limit: int = 10
+
+
+#: Sections of a brief, by number, that statistics fill: key terms, names and phrases.
+COUNTED_SECTIONS = (3, 4, 5)
+
+
+def brief_entries(documents: DataFrame, analyst: CountedAnalyst = CountedAnalyst()) -> DataFrame:
+    """``(doc_id, section, rank, entry)``: key terms by TF-IDF, names and closed phrases by frequency."""
+    paragraphs = segment_documents(documents.select("doc_id", *analyst.by, "text"))
+    terms = statistics.key_terms(paragraphs, analyst.limit).select("doc_id", "rank", F.col("term").alias("text"), "n")
+
+    def most(counted: DataFrame, text: str) -> DataFrame:
+        order = counted.select("doc_id", F.col(text).alias("text"), "n").withColumns({"_few": -F.col("n"), "_short": -F.length("text")})
+        return head(order, ["doc_id"], ["_few", "_short", "text"], analyst.limit, rank="rank").drop("_few", "_short")
+
+    tables = {
+        3: terms,
+        4: most(statistics.document_names(paragraphs, list(analyst.by)), "name"),
+        5: most(statistics.maximal_phrases(documents), "phrase"),
+    }
+    entry = F.format_string("%s (%d)", F.col("text"), F.col("n"))
+    rows = [t.select("doc_id", F.lit(k).alias("section"), F.col("rank").cast("int").alias("rank"), entry.alias("entry")) for k, t in tables.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def counted_briefs(
+    documents: DataFrame, options: Options = Options(), analyst: CountedAnalyst = CountedAnalyst()
+) -> DataFrame:
+    """``(doc_id, brief)`` without a model; documents with nothing to count have no brief.
+
+    A group holds at most ``limit`` entries of each section.
+    """
+    line = F.struct("section", "rank", "entry")
+    gathered = brief_entries(documents, analyst).groupBy("doc_id").agg(F.array_sort(F.collect_list(line)).alias("_e"))
+
+    def section(k: int) -> Column:
+        own = F.transform(F.filter("_e", lambda x: x["section"] == k), lambda x: x["entry"])
+        title = f"{BRIEF_SECTIONS[k - 1].format(target=options.target_language)}:\n"
+        return F.when(F.size(own) > 0, F.concat(F.lit(title), F.array_join(own, ", ")))
+
+    parts = [section(k) for k in COUNTED_SECTIONS]
+    return gathered.select("doc_id", F.concat_ws("\n\n", *parts).alias("brief"))
+
+
 def make_briefs(documents: DataFrame, analyst, options: Options, folder: str | None = None) -> DataFrame:
     """``(doc_id, brief)``; a failed call gives a null brief and the run goes on."""
+    if isinstance(analyst, CountedAnalyst):
+        return saved(counted_briefs(documents, options, analyst), folder, "briefs")
     requests = brief_requests(
         documents,
         paragraph_array("text"),
@@ -111,7 +169,7 @@ def translate_corpus(
     if resume:
         if folder is None:
             raise ValueError("a run can only be resumed in a folder")
-        keep = lambda t: None if t is None else ResumingTranslator(t, folder, rounds)
+        keep = lambda t: t if t is None or isinstance(t, CountedAnalyst) else ResumingTranslator(t, folder, rounds)
         translator, reviewer, analyst = keep(translator), keep(reviewer), keep(analyst)
     briefs = None if analyst is None else make_briefs(documents, analyst, options, folder)
     translations = saved(
