@@ -5,12 +5,16 @@ quantile sketch per language and source: a histogram with exact buckets up to 2*
 then 2**(SUB_BITS-1) buckets per power of two (a relative error of at most 2**-(SUB_BITS-1); the
 family of Masson et al. 2019).  Adding sketches is adding counts, so Spark combines them before
 its shuffle, a hot source costs no more than its buckets, and the result does not depend on
-the order of rows.  Small groups use the merged sketch of their language, or of the corpus.
+the order of rows.  The sketches of a language and of the corpus are sums of those of its groups.
 
-A cutoff is a quartile plus a multiple of the distance between the quartiles, and at
-least a margin away from the quartile, so that a rule on which all texts agree rejects none.
-A quartile that itself lies beyond the fence of the median and the other quartile is that of junk:
-the median stands in for it, so a source stays fenced while less than half of it is junk.
+A cutoff is the median plus ``fence`` times the distance from the quartile on the other side of it,
+counted with one bucket more, so that a rule on which all texts agree still has a width.  Nothing
+above the median takes part in the upper cutoff, so it holds while less than half of a source is junk.
+Rules that are zero for most texts take the quantiles of the texts where they are not.
+
+A group's cutoff is the mean of its own, weighted by the square of its texts, and its language's, weighted by
+the square of ``PRIOR``; the language's leans to the corpus's in the same way.  So small groups follow their
+language, large ones themselves, and no size changes a verdict by a step.
 The cutoffs are joined back and documents outside any of them are rejected.
 
 Main path: DataFrame functions only.  A null text has no words and fails the base rules.
@@ -31,18 +35,18 @@ BLANK = r"[\x20\x09-\x0D]+"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SUB_BITS = 6
-#: Documents a group needs for cutoffs of its own.
-MIN_GROUP = 200
-#: A cutoff lies this many quartile distances beyond the quartile.
-FENCE = 4
-#: Rule: its margin, and which values are rejected: high (1) or both high and low (0).
+#: A group of so many texts follows itself and its language by halves.
+PRIOR = 50
+#: Weights are squares of at most so many texts, by which nothing of the other cutoff is left.
+MOST = 10**6
+#: Rule: its fence, whether low values are rejected too, and whether zeros stay out of its quantiles.
 RULES = {
-    "symbols": (50, 1),  # symbols per 1,000 characters of words
-    "marks": (60, 1),  # characters of words that are punctuation or symbols, per 1,000
-    "capitals": (150, 1),  # A-Z per 1,000 characters of words
-    "dup_lines": (400, 1),  # repeated lines per 1,000 lines with a word
-    "repeats": (350, 1),  # repeated words per 1,000 words
-    "word_length": (200, 0),  # hundredths of characters per word
+    "symbols": (16, False, True),  # symbols per 1,000 characters of words
+    "marks": (8, False, False),  # characters of words that are punctuation or symbols, per 1,000
+    "capitals": (8, False, False),  # A-Z per 1,000 characters of words
+    "dup_lines": (16, False, True),  # repeated lines per 1,000 lines with a word
+    "repeats": (16, False, True),  # repeated words per 1,000 words
+    "word_length": (8, True, False),  # hundredths of characters per word
 }
 MARKS = "!\"'()+,-./:;=?@[\\]^_`{}~" + SYMBOLS
 
@@ -152,8 +156,9 @@ def sketches(measured: DataFrame, lang: str = "lang", source: str = "source") ->
     )
 
 
-def cutoffs(sketch: DataFrame, min_group: int = MIN_GROUP, fence: int = FENCE) -> DataFrame:
-    """One row per language and source: ``low_<rule>`` and ``high_<rule>`` (inclusive)."""
+def cutoffs(sketch: DataFrame, prior: int = PRIOR, rules: dict | None = None) -> DataFrame:
+    """One row per language and source: ``low_<rule>`` and ``high_<rule>`` (inclusive), null for no cutoff."""
+    rules = rules or RULES
     # Level 0: the group, 1: its language, 2: the corpus.
     level = lambda k, lang, source: (
         sketch.groupBy(F.lit(k).alias("level"), lang.alias("lang"), source.alias("source"), "rule", "bucket")
@@ -162,57 +167,58 @@ def cutoffs(sketch: DataFrame, min_group: int = MIN_GROUP, fence: int = FENCE) -
     none = F.lit(None).cast("string")
     own, lang, corpus = level(0, F.col("lang"), F.col("source")), level(1, F.col("lang"), none), level(2, none, none)
     merged = saved(own.unionAll(lang).unionAll(corpus), "sketch-levels")
+    sparse = [r for r, (_, _, positive) in rules.items() if positive]
+    counted = merged.filter((F.col("bucket") > 0) | ~F.col("rule").isin(sparse))
     # A window holds the buckets of one sketch, whose number is bounded.
     whole = Window.partitionBy("level", "lang", "source", "rule")
-    rows = merged.withColumns(
+    rows = counted.withColumns(
         {"below": F.sum("n").over(whole.orderBy("bucket")), "total": F.sum("n").over(whole)}
     )
-    margin = F.create_map(*[F.lit(x) for r, (m, _) in RULES.items() for x in (r, m)])[F.col("rule")]
-    gap = lambda low, high: F.greatest((F.col(high) - F.col(low)) * fence, margin)
-    # With a quarter of junk a quartile is the junk's own value; the median is not.
-    high = F.when(F.col("q3") > F.col("q2") + gap("q1", "q2"), F.col("q2")).otherwise(F.col("q3"))
-    low = F.when(F.col("q1") < F.col("q2") - gap("q2", "q3"), F.col("q2")).otherwise(F.col("q1"))
+    quantile = lambda k: F.min(F.when(F.col("below") * 4 >= F.col("total") * k, F.col("bucket")))
     quartiles = rows.groupBy("level", "lang", "source", "rule").agg(
-        F.min(F.when(F.col("below") * 4 >= F.col("total"), F.col("bucket"))).alias("q1"),
-        F.min(F.when(F.col("below") * 2 >= F.col("total"), F.col("bucket"))).alias("q2"),
-        F.min(F.when(F.col("below") * 4 >= F.col("total") * 3, F.col("bucket"))).alias("q3"),
-        F.max("total").alias("total"),
-    ).withColumns({"_low": low, "_high": high})
-    bounds = [
-        F.max(F.when(F.col("rule") == r, value)).alias(f"{side}_{r}")
-        for r in RULES
-        for side, value in (("low", F.col("_low") - gap("_low", "_high")), ("high", F.col("_high") + gap("_low", "_high")))
-    ]
-    table = quartiles.groupBy("level", "lang", "source").agg(F.max("total").alias("total"), *bounds)
-    groups = table.filter("level = 0").select("lang", "source", "total")
-    langs = table.filter("level = 1").select(F.col("lang").alias("_lang"), F.col("total").alias("_total"))
-    use = (
-        F.when(F.col("total") >= min_group, 0).when(F.col("_total") >= min_group, 1).otherwise(2).alias("_use")
+        quantile(1).alias("q1"), quantile(2).alias("q2"), quantile(3).alias("q3"), F.max("total").alias("total")
+    )
+    width = F.expr(f"shiftleft(1L, greatest(length(bin(q2)) - {SUB_BITS}, 0))")
+    fence = F.create_map(*[F.lit(x) for r, (f, _, _) in rules.items() for x in (r, f)])[F.col("rule")]
+    high = F.col("q2") + fence * (F.col("q2") - F.col("q1") + width)
+    low = F.greatest(F.lit(0), F.col("q2") - fence * (F.col("q3") - F.col("q2") + width))
+    both = quartiles.withColumns({"_high": high, "_low": low})
+    of = lambda r, c, name: F.max(F.when(F.col("rule") == r, F.col(c))).alias(f"{name}_{r}")
+    parts = (("total", "n"), ("_high", "high"), ("_low", "low"))
+    # Groups in which no value of a sparse rule is positive come from the sketch itself.
+    table = both.groupBy("level", "lang", "source").agg(*[of(r, c, name) for r in rules for c, name in parts])
+    top = table.filter("level = 2").first()
+
+    def blend(r: str, side: str, outer: Column) -> Column:
+        """Own cutoff by the square of the texts it comes from, the outer one by that of ``prior``."""
+        n, mine = F.least(F.coalesce(f"n_{r}", F.lit(0)), F.lit(MOST)), F.coalesce(f"{side}_{r}", F.lit(0))
+        sum_ = n * n * mine + prior * prior * F.coalesce(outer, F.lit(0))
+        mixed = F.call_function("div", sum_, n * n + prior * prior)
+        return F.when(outer.isNotNull(), mixed)
+
+    names = [(side, r) for r in rules for side in ("low", "high")]
+    corpus = {x: F.lit(top[f"{x[0]}_{x[1]}"] if top else None).cast("long") for x in names}
+    langs = table.filter("level = 1").select(
+        F.col("lang").alias("_lang"), *[blend(r, side, corpus[side, r]).alias(f"_{side}_{r}") for side, r in names]
     )
-    picked = groups.join(langs, F.col("lang").eqNullSafe(F.col("_lang")), "left").select("lang", "source", use)
-    values = table.select(
-        "level",
-        F.col("lang").alias("_lang"),
-        F.col("source").alias("_source"),
-        *[f"{side}_{r}" for r in RULES for side in ("low", "high")],
+    groups = merged.filter("level = 0").select("lang", "source").distinct()
+    mine = table.filter("level = 0").drop("level").withColumnsRenamed({"lang": "_l", "source": "_s"})
+    return (
+        groups.join(mine, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
+        .join(langs, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+        .select("lang", "source", *[blend(r, side, F.coalesce(f"_{side}_{r}", corpus[side, r])).alias(f"{side}_{r}") for side, r in names])
     )
-    return picked.join(
-        values,
-        (F.col("_use") == F.col("level"))
-        & F.when(F.col("_use") < 2, F.col("lang")).eqNullSafe(F.col("_lang"))
-        & F.when(F.col("_use") < 1, F.col("source")).eqNullSafe(F.col("_source")),
-    ).drop("_use", "level", "_lang", "_source")
 
 
 def judge(measured: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """``measured`` with ``kept``: the base rules hold and no value is beyond its cutoff."""
     limits = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     inside = F.lit(True)
-    for rule, (_, side) in RULES.items():
+    for rule, (_, two_sided, _) in RULES.items():
         value = F.col("_rules")[rule]
-        inside = inside & (value <= F.col(f"high_{rule}"))
-        if side == 0:
-            inside = inside & (value >= F.col(f"low_{rule}"))
+        inside = inside & F.coalesce(value <= F.col(f"high_{rule}"), F.lit(True))
+        if two_sided:
+            inside = inside & F.coalesce(value >= F.col(f"low_{rule}"), F.lit(True))
     return (
         measured.join(
             limits,

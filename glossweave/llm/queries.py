@@ -214,22 +214,36 @@ rules AS (
 vals AS (SELECT r, lang, source, x.rule AS rule, x.v::BIGINT AS v FROM (SELECT r, lang, source, unnest(rs) AS x FROM rules)),
 buckets AS (
   SELECT *, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS b FROM vals),
-sized AS (
-  SELECT *, count(*) OVER (PARTITION BY lang, source, rule) AS own, count(*) OVER (PARTITION BY lang, rule) AS of_lang FROM buckets),
-used AS (
-  SELECT DISTINCT lang, source, rule, CASE WHEN own >= 200 THEN 0 WHEN of_lang >= 200 THEN 1 ELSE 2 END AS level FROM sized),
-pooled AS (
-  SELECT u.lang, u.source, u.rule, b.b FROM used u JOIN buckets b
-  ON u.rule = b.rule AND (u.level > 1 OR u.lang IS NOT DISTINCT FROM b.lang) AND (u.level > 0 OR u.source IS NOT DISTINCT FROM b.source)),
+spread AS (
+  SELECT *, CASE WHEN rule IN ('symbols', 'dup_lines', 'repeats') THEN 16 ELSE 8 END AS fence FROM buckets
+  WHERE b > 0 OR rule NOT IN ('symbols', 'dup_lines', 'repeats')),
 quartiles AS (
-  SELECT lang, source, rule, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM pooled GROUP BY ALL),
-fences AS (
-  SELECT *, greatest((q3 - q1) * 4, CASE rule WHEN 'symbols' THEN 50 WHEN 'marks' THEN 60 WHEN 'capitals' THEN 150
-                                    WHEN 'dup_lines' THEN 400 WHEN 'repeats' THEN 350 ELSE 200 END) AS gap FROM quartiles),
+  SELECT 0 AS level, lang, source, rule, count(*) AS n, any_value(fence) AS fence,
+         quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.5) AS q2, quantile_disc(b, 0.75) AS q3 FROM spread GROUP BY lang, source, rule
+  UNION ALL
+  SELECT 1, lang, NULL, rule, count(*), any_value(fence),
+         quantile_disc(b, 0.25), quantile_disc(b, 0.5), quantile_disc(b, 0.75) FROM spread GROUP BY lang, rule
+  UNION ALL
+  SELECT 2, NULL, NULL, rule, count(*), any_value(fence),
+         quantile_disc(b, 0.25), quantile_disc(b, 0.5), quantile_disc(b, 0.75) FROM spread GROUP BY rule),
+cuts AS (
+  SELECT *, q2 + fence * (q2 - q1 + w) AS high, greatest(0, q2 - fence * (q3 - q2 + w)) AS low
+  FROM (SELECT *, 1 << greatest(length(bin(q2)) - 6, 0) AS w FROM quartiles)),
+groups AS (SELECT DISTINCT lang, source, rule FROM vals),
+blended AS (
+  SELECT g.lang, g.source, g.rule, c.high AS h2, c.low AS l2, least(coalesce(l.n, 0), 1000000)::BIGINT AS n1, coalesce(l.high, 0) AS h1, coalesce(l.low, 0) AS l1,
+         least(coalesce(o.n, 0), 1000000)::BIGINT AS n0, coalesce(o.high, 0) AS h0, coalesce(o.low, 0) AS l0
+  FROM groups g
+  LEFT JOIN cuts c ON c.level = 2 AND c.rule = g.rule
+  LEFT JOIN cuts l ON l.level = 1 AND l.rule = g.rule AND l.lang IS NOT DISTINCT FROM g.lang
+  LEFT JOIN cuts o ON o.level = 0 AND o.rule = g.rule AND o.lang IS NOT DISTINCT FROM g.lang AND o.source IS NOT DISTINCT FROM g.source),
+limits AS (
+  SELECT lang, source, rule, (n0 * n0 * h0 + 2500 * ((n1 * n1 * h1 + 2500 * h2) // (n1 * n1 + 2500))) // (n0 * n0 + 2500) AS high,
+         (n0 * n0 * l0 + 2500 * ((n1 * n1 * l1 + 2500 * l2) // (n1 * n1 + 2500))) // (n0 * n0 + 2500) AS low FROM blended),
 outside AS (
-  SELECT DISTINCT v.r FROM vals v JOIN fences f ON v.rule = f.rule AND v.lang IS NOT DISTINCT FROM f.lang
+  SELECT DISTINCT v.r FROM vals v JOIN limits f ON v.rule = f.rule AND v.lang IS NOT DISTINCT FROM f.lang
   AND v.source IS NOT DISTINCT FROM f.source
-  WHERE v.v > f.q3 + f.gap OR (v.rule = 'word_length' AND v.v < f.q1 - f.gap))
+  WHERE v.v > f.high OR (v.rule = 'word_length' AND v.v < f.low))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND r NOT IN (SELECT r FROM outside) AS kept
 FROM rules

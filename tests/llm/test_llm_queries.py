@@ -98,19 +98,38 @@ def kept_by_rules(docs):
     for k, (_, _, lang, source) in enumerate(docs):
         for key in ((lang, source), (lang,), ()):
             pools[key].append(k)
+
+    def cut(key, rule):
+        """(texts, high, low) of one sketch; no texts, no cutoffs."""
+        fence, _, positive = quality_rules.RULES[rule]
+        values = sorted(b for j in pools[key] if (b := bucket(rules[j][1][rule])) or not positive)
+        if not values:
+            return 0, 0, 0
+        q1, q2, q3 = (values[-(-k * len(values) // 4) - 1] for k in (1, 2, 3))
+        width = 1 << max(q2.bit_length() - quality_rules.SUB_BITS, 0)
+        return len(values), q2 + fence * (q2 - q1 + width), max(0, q2 - fence * (q3 - q2 + width))
+
     out = []
     for k, (_, _, lang, source) in enumerate(docs):
-        pool = next((pools[key] for key in ((lang, source), (lang,)) if len(pools[key]) >= quality_rules.MIN_GROUP), pools[()])
         failed, own = rules[k]
-        for rule, (margin, side) in quality_rules.RULES.items():
-            values = sorted(bucket(rules[j][1][rule]) for j in pool)
-            q1, q3 = values[-(-len(values) // 4) - 1], values[-(-3 * len(values) // 4) - 1]
-            gap = max((q3 - q1) * quality_rules.FENCE, margin)
-            failed = failed or own[rule] > q3 + gap or (side == 0 and own[rule] < q1 - gap)
+        for rule, (_, two_sided, _) in quality_rules.RULES.items():
+            n, high, low = cut((), rule)
+            if not n:
+                continue
+            for key in ((lang,), (lang, source)):
+                n, own_high, own_low = cut(key, rule)
+                prior = quality_rules.PRIOR**2
+                high, low = ((n * n * a + prior * b) // (n * n + prior) for a, b in ((own_high, high), (own_low, low)))
+            failed = failed or own[rule] > high or (two_sided and own[rule] < low)
         out.append(not failed)
     return out
 
 
+def test_quality_verdicts_equal_brute_force(spark, sf, docs):
+    got = {r.doc_id: r.kept for r in QUERIES["op2_quality_rules"](spark, sf).collect()}
+    assert got == {d: kept for (d, _, _, _), kept in zip(docs, kept_by_rules(docs))}
+
+
 def test_pipeline_equals_brute_force(spark, sf, docs, library):
     rows = [d for d, kept in zip(docs, kept_by_rules(docs)) if kept]
     lines = plain.kept_lines([(d, t) for d, t, _, _ in rows])
