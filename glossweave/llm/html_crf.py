@@ -8,13 +8,19 @@ neighbours.
 
 Null, empty and text-free pages have the empty text.  Malformed mark-up is read leniently:
 open paragraphs end at the next block, unknown end tags are passed over, an unfinished tag at
-the end is dropped.  Drawings and formulas end at their end tag, and before it, as in HTML, at
-a closing slash or at a tag that cannot stand in them; an open one takes no text of the page.  Rows are kept as they are; the whole page is read.
+the end is dropped.  Comments and attribute values end where they do in HTML; an attribute whose quote
+is never closed ends with its tag.  Drawings and formulas end at their end tag, and before it, as in HTML, at
+a closing slash or at a tag that cannot stand in them.  Templates may hold templates.  An open drawing, formula,
+template or ``noscript`` takes no text of the page; any other open raw element (a script, say) takes the
+rest, as in HTML.  Rows are kept as they are, and a column with the name of the result is replaced;
+the whole page is read, in time near its length however deep it nests.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -29,23 +35,34 @@ from .labelled_pages import labelled_pages
 #: Labelled pages of the fit; bounds the work on the driver.
 TRAINING_PAGES = 800
 
+#: An empty comment may end early; others end at the first of two ends, or with the page.
+_COMMENT = r"<!--(?:-?>|.*?(?:--!?>|\Z))"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    _COMMENT + r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<attr>(?:[\s/]++"
+    # A name, and a value: in quotes, or up to the next white space.
+    r"|(?:=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|(?=>)))?+)*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[A-Za-z][^\s/>]*)(?P<attr2>[^>]*)>"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|<[A-Za-z][^>]*\Z"
     r"|[^<]+|<",
     re.DOTALL,
 )
+#: An attribute list whose last slash belongs to a value.
+_VALUE_SLASH = re.compile(r"=\s*[^\s\"'>]+/\Z")
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _WORD = re.compile("[a-z]+")
-RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "template", "noframes"}
+RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noframes"}
+#: Of those, the ones that count as not there if nothing ends them.
+_OPTIONAL = {"noscript"}
+_TEMPLATE = re.compile(
+    _COMMENT + r"|<(?P<raw>script|style|textarea|title)(?=[\s/>])[^>]*>.*?</(?P=raw)(?=[\s/>])[^>]*>|<(?P<end>/?)template(?=[\s/>])[^>]*>",
+    re.IGNORECASE | re.DOTALL,
+)
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE) for t in RAW}
 #: Drawings and formulas end at ``end`` or before ``out``: tags that cannot stand in them, but in a ``label``.
 _FOREIGN = {
     t: re.compile(
-        r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(?P<raw>script|style)(?=[\s/>])[^>]*(?<!/)>.*?</(?P=raw)(?=[\s/>])[^>]*>"
+        _COMMENT + r"|<!\[CDATA\[.*?\]\]>|<(?P<raw>script|style)(?=[\s/>])[^>]*(?<!/)>.*?</(?P=raw)(?=[\s/>])[^>]*>"
         rf"|(?P<end></{t}(?=[\s/>])[^>]*(?:>|\Z))"
         r"|<(?P<close>/?)(?P<label>foreignobject|desc|title|annotation-xml|mtext|mi|mo|mn|ms)(?=[\s/>])[^>]*?(?P<slash>/?)>"
         r"|(?P<out><(?:b|big|blockquote|body|br|center|code|dd|div|dl|dt|em|embed|h[1-6]|head|hr|i|img|li|listing|menu|meta"
@@ -86,29 +103,78 @@ def _foreign_end(html: str, tag: str, at: int) -> int | None:
     return None
 
 
+def _template_end(html: str, at: int) -> int | None:
+    """Where a template that is open at ``at`` ends; None if nothing ends it."""
+    depth = 1
+    for m in _TEMPLATE.finditer(html, at):
+        if m["end"] is not None:
+            depth += -1 if m["end"] else 1
+            if not depth:
+                return m.end()
+    return None
+
+
+class _Stack:
+    """Open elements: tags, which are blocks, and the features of all of them."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = ["html"]
+        self.names: list[set[str]] = [set()]
+        self.blocks: list[int] = [0]
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
+        self.active: Counter[str] = Counter()
+        self._features: frozenset[str] | None = frozenset()
+
+    def push(self, tag: str, names: set[str], block: bool) -> None:
+        if block:
+            self.blocks.append(len(self.tags))
+        self.places[tag].append(len(self.tags))
+        self.tags.append(tag)
+        self.names.append(names)
+        if names:
+            self.active.update(names)
+            self._features = None
+
+    def last(self, tag: str) -> int:
+        """Place of the innermost open ``tag``; 0 if there is none."""
+        return self.places[tag][-1] if self.places[tag] else 0
+
+    def first_after(self, tags: set[str], limits: set[str]) -> int:
+        """Place of the outermost of ``tags`` inside the innermost of ``limits``; 0 if there is none."""
+        limit = max(self.last(t) for t in limits)
+        inside = [self.places[t][k] for t in tags if (k := bisect_right(self.places[t], limit)) < len(self.places[t])]
+        return min(inside, default=0)
+
+    def pop_to(self, place: int) -> None:
+        while len(self.tags) > place:
+            self.places[self.tags.pop()].pop()
+            if names := self.names.pop():
+                self.active.subtract(names)
+                self._features = None
+        while self.blocks[-1] >= place:
+            self.blocks.pop()
+
+    def features(self) -> frozenset[str]:
+        if self._features is None:
+            self.active = +self.active
+            self._features = frozenset(self.active)
+        return self._features
+
+
 def leaf_blocks(html: str | None) -> list[tuple[str, str, frozenset[str], int]]:
     """``(text, block tag, ancestor features, characters in links)`` of every block with text."""
     blocks: list[tuple[str, str, frozenset[str], int]] = []
-    # An open element: tag, the features of it and its ancestors, whether it is a block.
-    stack: list[tuple[str, frozenset[str], bool]] = [("html", frozenset(), True)]
+    stack = _Stack()
     text: list[str] = []
     linked: list[str] = []
-    links = 0
 
     def finish() -> None:
-        nonlocal text, linked
         joined = " ".join(unescape("".join(text)).split())
         if joined:
-            own = next(e for e in reversed(stack) if e[2])
             inside = len(" ".join(unescape("".join(linked)).split()))
-            blocks.append((joined, own[0], stack[-1][1] | own[1], inside))
-        text, linked = [], []
-
-    def pop_to(k: int) -> None:
-        nonlocal links
-        for tag, _, _ in stack[k:]:
-            links -= tag == "a"
-        del stack[k:]
+            blocks.append((joined, stack.tags[stack.blocks[-1]], stack.features(), inside))
+        text.clear()
+        linked.clear()
 
     at, html = 0, html or ""
     endless: set[str] = set()
@@ -119,54 +185,51 @@ def leaf_blocks(html: str | None) -> list[tuple[str, str, frozenset[str], int]]:
             token = m[0]
             if token[0] != "<" or token == "<":
                 text.append(token)
-                if links:
+                if stack.places["a"]:
                     linked.append(token)
             continue
         tag = tag.lower()
         attributes = m["attr"] or m["attr2"] or ""
+        closed = attributes.endswith("/") and not _VALUE_SLASH.search(attributes)
         if m["end"] or m["end2"]:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if tag == "p" or any(e[2] for e in stack[k:]) if k else tag not in INLINE:
+            k = stack.last(tag)
+            if tag == "p" or stack.blocks[-1] >= k if k else tag not in INLINE:
                 finish()
             if k:
-                pop_to(k)
+                stack.pop_to(k)
             continue
-        if tag in _FOREIGN:
-            if not attributes.endswith("/") and tag not in endless:
-                end = _foreign_end(html, tag, at)
+        if tag in _FOREIGN or tag == "template":
+            if (not closed or tag == "template") and tag not in endless:
+                end = _template_end(html, at) if tag == "template" else _foreign_end(html, tag, at)
                 if end is None:
                     endless.add(tag)  # no later one ends either
                 else:
                     at = end
             continue
         if tag in RAW:
-            end = _RAW_END[tag].search(html, at)
-            at = end.end() if end else len(html)
+            if tag not in endless:
+                end = _RAW_END[tag].search(html, at)
+                if end:
+                    at = end.end()
+                elif tag in _OPTIONAL:
+                    endless.add(tag)
+                else:
+                    at = len(html)
             continue
         names = {w for x in _NAMES.finditer(attributes) for w in _WORD.findall((x[1] or x[2] or x[3] or "").lower())}
         block = tag not in INLINE or (bool(names) and tag == "ins")
         if block:
             finish()
             if tag not in VOID:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p"), 0)
-                if k:
-                    pop_to(k)
-                if tag in CLOSES:
-                    ends, limit = CLOSES[tag]
-                    cut = 0
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] in limit:
-                            break
-                        if stack[k][0] in ends:
-                            cut = k
-                    if cut:
-                        pop_to(cut)
+                if k := stack.last("p"):
+                    stack.pop_to(k)
+                if tag in CLOSES and (k := stack.first_after(*CLOSES[tag])):
+                    stack.pop_to(k)
         elif tag == "br":
             text.append(" ")
-        if tag not in VOID and not attributes.endswith("/"):
+        if tag not in VOID and not closed:
             own = {f"a:{tag}"} if block else set()
-            stack.append((tag, stack[-1][1] | own | {f"c:{w}" for w in names}, block))
-            links += tag == "a"
+            stack.push(tag, own | {f"c:{w}" for w in names}, block)
         elif tag not in INLINE and tag not in VOID:
             finish()
     finish()
