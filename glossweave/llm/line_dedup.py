@@ -44,7 +44,7 @@ def dedup_lines(
 
     A line found in ``min_docs`` documents stays only in the largest id that holds it.
     """
-    docs = docs.drop("_row", "_lost_id", "_lost_row", "_lost")
+    docs = docs.drop("_row", "_lost_id", "_lost_row", "_lost", "_lost_lines")
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = (
         docs.filter(F.col(id_column).isNotNull())
@@ -67,19 +67,20 @@ def dedup_lines(
         .groupBy("_id", "_row")
         .agg(F.collect_set("pos").alias("_lost"))
     )
-    own = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("_lost"))
     joined = docs.withColumn("_row", F.xxhash64(whole)).join(
         lost.withColumnRenamed("_id", "_lost_id").withColumnRenamed("_row", "_lost_row"),
         (F.col(id_column) == F.col("_lost_id")) & (F.col("_row") == F.col("_lost_row")),
         "left",
     )
-    return joined.withColumns(
+    # A column of its own, so that the text is split once and not for every kept line.
+    cut = joined.withColumn("_lost_lines", F.split(whole, "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_lost_lines") - 1), F.col("_lost"))
+    return cut.withColumns(
         {
-            "n_lines": F.size(own).cast("long"),
+            "n_lines": F.size("_lost_lines").cast("long"),
             "n_dropped": F.coalesce(F.size("_lost"), F.lit(0)).cast("long"),
-            kept: F.when(F.col("_lost").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(
-                F.array_join(F.transform(stay, lambda i: F.get(own, i)), "\n")
+            kept: F.when(F.col("_lost").isNull(), whole).otherwise(
+                F.array_join(F.transform(stay, lambda i: F.get("_lost_lines", i)), "\n")
             ),
         }
-    ).drop("_row", "_lost_id", "_lost_row", "_lost")
+    ).drop("_row", "_lost_id", "_lost_row", "_lost", "_lost_lines")
