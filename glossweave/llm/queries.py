@@ -274,7 +274,7 @@ wide AS (
   SELECT * FROM spans w WHERE k = 3 AND rnd
   AND NOT EXISTS (SELECT 1 FROM spans b WHERE b.r = w.r AND b.k < 3 AND b.s < w.e AND w.s < b.e)),
 cand AS (SELECT * FROM spans WHERE k < 3 UNION ALL SELECT * FROM wide),
-judged AS (SELECT v, bool_or(rnd) AND count(DISTINCT owner) <= 2 AS live FROM cand GROUP BY v),
+judged AS (SELECT v, bool_or(rnd) AND count(DISTINCT owner) <= 2 AND count(DISTINCT coalesce(doc_id::VARCHAR, '')) <= 10 AS live FROM cand GROUP BY v),
 shown AS (SELECT c.*, j.live FROM cand c JOIN judged j USING (v)),
 rowwise AS (
   SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,

@@ -12,12 +12,14 @@ is live-looking.  Candidates that are live-looking are added to the spans as kin
 
 Main path: DataFrame functions only.  The hash is the only thing that is shuffled; counts
 are combined before the shuffle, so a value in a third of all rows is one row per task.
-Null texts are empty.  A null owner or repository counts as one of its own.  Repeated rows are
-kept, with the same result.  An empty table gives an empty result.
+Null texts are empty.  All null owners count as one, that of the empty name, and so do all null
+repositories.  Repeated rows are kept, with the same result.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,31 +45,94 @@ MOST_REPOSITORIES = 10
 LEAST_VARIETY = 8
 
 
+SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
+#: Elements of an array that a scan goes through before it appends what it found.
+BLOCK = 256
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it stands there."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _scan(array: Column, first: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """Spans that ``step`` gives while a state is carried along ``array``.
+
+    ``step(state, x)`` is the next state and an array of the spans found at ``x``.  Appending to an array
+    copies it, so spans are gathered in blocks, and blocks in the whole: time near the array's length.
+    """
+    none = F.array().cast(SPANS)
+
+    def one(acc: Column, x: Column) -> Column:
+        state, found = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.concat(acc["out"], found).alias("out"))
+
+    def block(acc: Column, xs: Column) -> Column:
+        begin = F.struct(F.element_at(acc, -1)["state"].alias("state"), none.alias("out"))
+        return F.concat(acc, F.array(F.aggregate(xs, begin, one)))
+
+    def whole(xs: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(xs), F.lit(BLOCK))
+        blocks = F.transform(starts, lambda at: F.slice(xs, at, BLOCK))
+        return F.aggregate(blocks, F.array(F.struct(first.alias("state"), none.alias("out"))), block, lambda acc: F.flatten(F.transform(acc, lambda x: x["out"])))
+
+    return _let(array, lambda xs: F.when(F.size(xs) > 0, whole(xs)).otherwise(none))
+
+
 def _spans(text: Column, pattern: str, kind: str, value_group: int = 0) -> Column:
     """Array of (start, kind, end, value) of all matches, in order; offsets in code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else found
     between = F.split(text, pattern, -1)
-    start = F.struct(
-        F.lit(0).alias("at"),
-        F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>").alias("out"),
-    )
 
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + F.length(x["between"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        begin = at + F.length(x["between"])
         end = begin + F.length(x["match"])
         span = F.struct(
             begin.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), x["value"].alias("value")
         )
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+        return end, F.array(span)
 
     zipped = F.zip_with(
         F.arrays_zip(found.alias("match"), values.alias("value")),
         F.slice(between, 1, F.size(found)),
         lambda m, b: F.struct(b.alias("between"), m["match"].alias("match"), m["value"].alias("value")),
     )
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(zipped, start, step, lambda s: s["out"])).otherwise(none)
+    return F.when(F.rlike(text, F.lit(pattern)), _scan(zipped, F.lit(0), step)).otherwise(F.array().cast(SPANS))
+
+
+def _untouched(wide: Column, base: Column) -> Column:
+    """Spans of ``wide`` that no span of ``base`` overlaps.
+
+    Base spans come at their start and wide ones at their end, sorted: a wide span is touched if a base
+    span that came before it ends behind its start.
+    """
+    event = lambda key, is_base: lambda s: F.struct(s[key].alias("at"), F.lit(is_base).alias("base"), s.alias("span"))
+    events = F.array_sort(F.concat(F.transform(base, event("start", 1)), F.transform(wide, event("end", 0))))
+
+    def step(reached: Column, x: Column) -> tuple[Column, Column]:
+        free = (x["base"] == 0) & (reached <= x["span"]["start"])
+        return (
+            F.when(x["base"] == 1, F.greatest(reached, x["span"]["end"])).otherwise(reached),
+            F.when(free, F.array(x["span"])).otherwise(F.array().cast(SPANS)),
+        )
+
+    return F.array_sort(_scan(events, F.lit(0), step))
+
+
+def _live(wide: Column, verdicts: Column) -> Column:
+    """Spans of ``wide`` whose value has a live verdict: both sorted by hash, verdicts first."""
+    nothing = F.lit(None).cast("struct<start:int,kind:int,end:int,value:string>")
+    live = F.transform(F.filter(verdicts, lambda v: v["live"]), lambda v: F.struct(v["hash"].alias("hash"), nothing.alias("span")))
+    own = F.transform(wide, lambda s: F.struct(F.xxhash64(s["value"]).alias("hash"), s.alias("span")))
+
+    def step(last: Column, x: Column) -> tuple[Column, Column]:
+        span = x["span"]
+        found = span.isNotNull() & last.eqNullSafe(x["hash"])
+        return F.when(span.isNull(), x["hash"]).otherwise(last), F.when(found, F.array(span)).otherwise(F.array().cast(SPANS))
+
+    # sort_array puts the null span of a verdict before the spans of its hash.
+    return _scan(F.sort_array(F.concat(live, own)), F.lit(None).cast("bigint"), step)
 
 
 def _random_looking(value: Column) -> Column:
@@ -113,20 +178,14 @@ def find_secrets(
         )
         .withColumns({"base": base_spans(F.col("_text")), "wide": _spans(F.col("_text"), TOKEN, "token")})
         .drop("_text")
-        .withColumn(
-            # Of the wider candidates, those that no base span touches.
-            "wide",
-            F.filter(
-                "wide",
-                lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
-                & _random_looking(w["value"]),
-            ),
-        ),
+        # Of the wider candidates, those that no base span touches.
+        .withColumn("wide", _untouched(F.filter("wide", lambda w: _random_looking(w["value"])), F.col("base"))),
         "secret-spans",
     )
     hashed = lambda s: F.xxhash64(s["value"])
-    # The row's own key: rows that agree in it have the same values and so the same verdicts.
+    # The row's own key, 128 bits of its values: rows that agree in it have the same verdicts.
     keyed = spans.withColumn("_values", F.array_sort(F.array_distinct(F.transform(F.concat("base", "wide"), hashed))))
+    keyed = keyed.withColumn("_key", F.struct(F.xxhash64("_values").alias("h1"), F.xxhash64(F.lit(1), "_values").alias("h2")))
     held = keyed.filter(F.size("_values") > 0)
     one = held.select(
         "_owner",
@@ -156,22 +215,20 @@ def find_secrets(
             ).alias("live"),
         ).alias("verdict"),
     )
-    sets = held.select("_values").distinct()
+    sets = held.select("_key", F.explode("_values").alias("hash")).distinct()
     # Written, so that the skew join can split values that very many rows hold.
     verdicts = saved(
-        sets.select("_values", F.explode("_values").alias("hash"))
-        .join(judged, "hash")
-        .groupBy("_values")
+        sets.join(judged, "hash")
+        .groupBy("_key")
         .agg(F.sort_array(F.collect_list("verdict")).alias("verdicts")),
         "verdicts",
     )
     none = F.array().cast("array<struct<hash:bigint,owners:bigint,repositories:bigint,live:boolean>>")
-    live = lambda s: F.exists("verdicts", lambda v: (v["hash"] == hashed(s)) & v["live"])
     # Most rows have no values; they would all meet at one join key, so they stay out of it.
-    rows = held.join(verdicts, "_values").unionByName(
+    rows = held.join(verdicts, "_key").unionByName(
         keyed.filter(F.size("_values") == 0).withColumn("verdicts", none)
     )
     return (
-        rows.withColumn("spans", F.array_sort(F.concat("base", F.filter("wide", live))))
+        rows.withColumn("spans", F.array_sort(F.concat("base", _live(F.col("wide"), F.col("verdicts")))))
         .select(F.col("_id").alias(id_column), "base", "spans", "verdicts")
     )

@@ -2,6 +2,7 @@
 
 import random
 import sys
+import time
 from pathlib import Path
 
 import numpy as np
@@ -342,3 +343,57 @@ def test_drawings_are_no_text(tagger):
         assert html_crf.main_text(page, tagger) == f"Title\n\n{text}\n\n{text}"
     blocks = html_crf.leaf_blocks("plain <svg>" * 20_000 + "end")
     assert [len(b[0].split()) for b in blocks] == [20_001]
+
+
+LOST = [
+    "<!--><p>{0}</p>", "<!---><p>{0}</p><!-- x -->", "<!-- a --!><p>{0}</p><!-- b -->", "<!-- a -- b ->c<p>no</p>--><p>{0}</p>",
+    "<p title=it's>{0}</p><p title=that's></p>", "<p title=a\"b>{0}</p>", "<p title='a>b' data-x=\"'\">{0}</p>", "<p title = \"x\" hidden = it's>{0}</p>",
+    "<p><a href=/more/>{0}</a></p>", "<p title=\"open>{0}</p>", "<noscript><p>{0}</p>", "<template><p>{0}</p>",
+    "<template><p>no</p><template><p>no</p></template><p>no</p></template><p>{0}</p>",
+    "<template><!-- </template> --><script>'</template>'</script>no</template><p>{0}</p>", "<noscript><p>no</p></noscript><p>{0}</p>",
+]
+
+
+@pytest.mark.parametrize("markup", LOST)
+def test_html_takes_no_text_of_the_article(tagger, markup):
+    """Mark-up that is well defined, or open, before and after the paragraph it must leave alone."""
+    body = "This is a long paragraph of the article, with words, commas and a full stop at the end."
+    other = "Another long paragraph of the article follows here, and it has some words as well."
+    page = f"<html><body><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>{other}</p>{markup.format(body)}<p>{other}</p></article></body></html>"
+    assert html_crf.main_text(page, tagger) == f"Title\n\n{other}\n\n{body}\n\n{other}"
+
+
+def test_html_nesting_takes_time_in_proportion(tagger):
+    start = time.perf_counter()
+    for page in ("<div class=a>x" * 100_000, "<b>" * 100_000 + "<p>y" * 50_000, "<ul><li>x" * 50_000, "<div>" * 50_000 + "</section>x" * 50_000,
+                 "<noscript>x" * 50_000, "<template>x" * 50_000, "<td>x" * 50_000, "<a title='x>" * 50_000, "<!" * 50_000, "<a b=" * 50_000):
+        html_crf.leaf_blocks(page)
+    assert time.perf_counter() - start < 30
+
+
+def timed(frame):
+    start = time.perf_counter()
+    out = frame.collect()
+    return out, time.perf_counter() - start
+
+
+def test_one_text_of_very_many_lines(spark):
+    """100,000 lines, some lost: time in proportion to them."""
+    shared = [f"a line that several documents hold, number {i}" for i in range(50_000)]
+    long = "\n".join(x for i, s in enumerate(shared) for x in (s, f"own {i}"))
+    docs = spark.createDataFrame([(1, long), (2, "\n".join(shared)), (3, "\n".join(shared))], "doc_id long, text string")
+    out, seconds = timed(line_dedup.dedup_lines(docs))
+    got = {r.doc_id: r for r in out}
+    assert got[1].n_lines == 100_000 and got[1].n_dropped == 50_000 and got[3].n_dropped == 0
+    assert got[1].kept_text == "\n".join(f"own {i}" for i in range(50_000)) and seconds < 60
+
+
+def test_one_text_of_very_many_secrets(spark):
+    """100,000 matches of every kind and place: time in proportion to them."""
+    r = random.Random(9)
+    token = lambda n: "".join(r.choices("abcdefghijkABCDEFGHIJ0123456789", k=n))
+    parts = [(f"token: {token(12)}", f"x {token(30)} y", f"é AKIA{token(16).upper()}", "0123456789abcdef" * 2)[k % 4] for k in range(100_000)]
+    text = "\n".join(parts)
+    out, seconds = timed(secret_scan.find_secrets(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")))
+    assert [f"{secret_scan.KINDS[s.kind]}:{s.start}:{s.end}" for s in out[0].base] == plain.base_spans(text)
+    assert sum(s.kind == 3 for s in out[0].spans) > 24_000 and seconds < 90
