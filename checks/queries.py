@@ -49,12 +49,7 @@ def paragraphs(spark, sf) -> DataFrame:
 
 
 def document_pairs(spark, sf) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
-    cores = spark.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() < cores:
-        # One small file is one task; the gram work on it deserves all cores.
-        docs = docs.repartition(cores)
-    return segmentation.segment_documents(docs).select(
+    return paragraphs(spark, sf).select(
         "doc_id", "lang", "index",
         glossary_column(F.col("text"), WORDS).alias("hyp"), F.col("text").alias("ref"),
     )
@@ -644,11 +639,12 @@ QUERIES = {
 
 def flagship(spark, sf):
     """Segment, translate by glossary, translate back, and score every paragraph per language."""
-    langs = table(spark, sf, "documents").select("doc_id", "lang")
-    pairs = translations(spark, sf).select(
-        "doc_id", "index", glossary_column(F.col("text"), BACK).alias("hyp"), F.col("source_text").alias("ref")
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    done = plan.translate_paragraphs(docs, GlossaryTranslator(WORDS), carry=("lang",))
+    pairs = done.select(
+        "doc_id", "index", "lang", glossary_column(F.col("text"), BACK).alias("hyp"), F.col("source_text").alias("ref")
     )
-    stats = metrics.chrf_stats(pairs, ["doc_id", "index"]).join(langs, "doc_id")
+    stats = metrics.chrf_stats(pairs, ["doc_id", "index", "lang"])
     return metrics.with_chrf(metrics.total_stats(stats, ["lang"])).select(
         "lang", "n_evaluated", round2(F.col("chrf")).alias("chrf")
     )

@@ -109,15 +109,17 @@ def translate_paragraphs(
     briefs: DataFrame | None = None,
     folder: str | None = None,
     kept: Column | None = None,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``(doc_id, pos, index, source_text, text, is_fallback)`` of ``(doc_id, text)``.
+    """``(doc_id, *carry, pos, index, source_text, text, is_fallback)`` of ``(doc_id, text)``.
 
-    ``kept`` is an array of kept paragraphs for documents that are not plain text.
+    ``kept`` is an array of kept paragraphs for documents that are not plain text; ``carry`` are further
+    columns of the documents that every paragraph keeps.
 
     From document row to aligned paragraph everything stays inside the row: nothing is
     shuffled unless the translator itself joins or spreads its requests.
     """
-    docs = documents.select("doc_id", (F.col("text") if kept is None else kept).alias("text"))
+    docs = documents.select("doc_id", *carry, (F.col("text") if kept is None else kept).alias("text"))
     brief = None
     if briefs is not None:
         docs, brief = with_brief(docs, briefs), "brief"
@@ -130,7 +132,7 @@ def translate_paragraphs(
     if reviewer is not None:
         second = review_requests(replies, options.target_language)
         replies = saved(reviewer.respond(second, keys), folder, "reviews")
-    return unbatch(align_responses(replies), ["doc_id"])
+    return unbatch(align_responses(replies), ["doc_id", *carry])
 
 
 def translated_paragraphs(documents: DataFrame, translations: DataFrame) -> DataFrame:
