@@ -8,10 +8,16 @@ document and no two values the same one, so links survive; without the key they
 back.  A check digit is computed anew, so a valid card stays valid.
 
 Forms: mail addresses; IBANs, plain or spaced; cards of 13 to 19 digits, plain or in groups of 4-4-4-1
-to 4-4-4-7 or 4-6-5; phones with + and country code, (555) 123-4567, 555-123-4567 and 555.123.4567; 123-45-6789;
-IPv4; 2024-12-31, 31.12.2024, 12/31/2024 and 31/12/2024.  Others stay in clear, such as 2024/12/31, 31-12-2024,
-names of months, two-digit years, 555 123 4567, ten bare digits, IPv6 and cards of 4-4-4-4-3.
-A slashed date with the day first is permuted apart, so it is not linked to its other forms.
+to 4-4-4-7, 4-4-4-4-1 to 4-4-4-4-3 or 4-6-5; phones with + and country code, (555) 123-4567, 555-123-4567,
+555.123.4567, 555 123 4567 and ten bare digits; 123-45-6789; IPv4; IPv6 of eight groups or with ::;
+2024-12-31, 2024/12/31, 2024.12.31, 31.12.2024, 31-12-2024, 12/31/2024, 31/12/2024, December 31, 2024 and
+31 December 2024, in full or by three letters.  Phones without + must have an area and an exchange that North
+America's plan uses, and bare or spaced digits are no phone otherwise.  Other forms stay in clear, such as
+two-digit years and months in other languages; a mail address keeps its host.
+
+All forms of a value share one permutation, so a date or a number is linked however it is written.
+A slashed date that could be either has the month first.  Days after the twelfth are permuted among themselves,
+so that a slashed date with the day first can be told from the others before and after.
 
 What is not valid is no personal datum here and stays.  Null texts stay null.  Rows are kept
 as they are (repeated rows, null ids, extra columns); nothing is shuffled.
@@ -24,6 +30,7 @@ import re
 from collections.abc import Callable, Iterator
 from datetime import date
 from functools import lru_cache
+from ipaddress import IPv6Address
 from math import prod
 
 import pandas as pd
@@ -33,17 +40,24 @@ from pyspark.sql import functions as F
 ROUNDS = 10
 KINDS = ("email", "iban", "card", "phone", "ssn", "ip", "date")
 
+#: Names of months, which may stand by their first three letters.
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+_MONTHS = "|".join([*MONTHS, *(m[:3] for m in MONTHS)])
 _EDGE, _END = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
 PATTERN = re.compile(
     r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9]))"
     rf"|(?P<iban>{_EDGE}[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}{_END})"
     r"|(?P<phone>(?<![A-Za-z0-9+])\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
     r"|(?<![A-Za-z0-9+])\+[2-9][0-9]{0,2}[ -]?\(?[0-9]{1,4}\)?(?:[ -]?[0-9]{2,4}(?![0-9]*\.[0-9])){2,4}(?![0-9])"
-    r"|(?<![A-Za-z0-9(])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![A-Za-z0-9]))"
-    rf"|(?P<date>{_EDGE}(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}[./][0-9]{{1,2}}[./][0-9]{{4}}){_END})"
+    r"|(?<![A-Za-z0-9(])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![A-Za-z0-9])"
+    r"|(?<![A-Za-z0-9(.,/+-])(?<![0-9]\x20)[2-9][0-9]{2}(?P<_s>\x20?)[2-9][0-9]{2}(?P=_s)[0-9]{4}(?![A-Za-z0-9]|[.,/-][0-9]|\x20[0-9]))"
+    rf"|(?P<date>{_EDGE}(?:[0-9]{{4}}(?P<_d>[-./])[0-9]{{2}}(?P=_d)[0-9]{{2}}|[0-9]{{1,2}}(?P<_e>[-./])[0-9]{{1,2}}(?P=_e)[0-9]{{4}}"
+    rf"|(?:{_MONTHS})\.?\x20[0-9]{{1,2}},?\x20[0-9]{{4}}|[0-9]{{1,2}}\.?\x20(?:{_MONTHS})\.?,?\x20[0-9]{{4}}){_END})"
     rf"|(?P<ssn>{_EDGE}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_END}(?!-))"
-    r"|(?P<ip>(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9]|\.[0-9]))"
-    rf"|(?P<card>{_EDGE}(?:[0-9]{{13,19}}|[0-9]{{4}}(?P<_a>[ -])[0-9]{{4}}(?P=_a)[0-9]{{4}}(?P=_a)[0-9]{{1,7}}"
+    r"|(?P<ip>(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9]|\.[0-9])"
+    r"|(?<![A-Za-z0-9:.])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,6}(?![A-Za-z0-9:]|\.[0-9]))"
+    rf"|(?P<card>{_EDGE}(?:[0-9]{{13,19}}|[0-9]{{4}}(?P<_a>[ -])[0-9]{{4}}(?P=_a)[0-9]{{4}}(?P=_a)"
+    rf"(?:[0-9]{{4}}(?P=_a)[0-9]{{1,3}}|[0-9]{{1,7}})"
     rf"|[0-9]{{4}}(?P<_b>[ -])[0-9]{{6}}(?P=_b)[0-9]{{5}}){_END})"
 )
 _SOME = re.compile("[0-9@]")
@@ -126,7 +140,7 @@ def _iban(p: Permutation, text: str) -> str | None:
 
 def _card(p: Permutation, text: str) -> str | None:
     digits = "".join(c for c in text if c.isdigit())
-    if luhn(digits[:-1]) != int(digits[-1]) or len(set(digits)) == 1:
+    if len(digits) < 13 or luhn(digits[:-1]) != int(digits[-1]) or len(set(digits)) == 1:
         return None
     width = len(digits) - 2  # the first digit names the kind of card and stays
     one = lambda x: len(set(digits[0] + f"{x:0{width}d}")) > 1
@@ -147,9 +161,11 @@ def _phone(p: Permutation, text: str) -> str | None:
     if code == "1":
         if width != 10:
             return None
-        # Areas that the plan uses stay such; numbers with others are personal all the same.
-        used = own[0] not in "01"
-        plan = lambda x: (f"{x:010d}"[0] not in "01") == used
+        # Areas and exchanges that the plan uses stay such; numbers with others are personal all the same.
+        used = lambda x: (x[0] not in "01", x[3] not in "01")
+        if not text.startswith("+") and used(own) != (True, True) and not re.search(r"[().-]", text):
+            return None
+        plan = lambda x: used(f"{x:010d}") == used(own)
     else:
         plan = lambda x: f"{x:0{width}d}"[0] == "0" if own[0] == "0" else f"{x:0{width}d}"[0] != "0"
     value = f"{p.apply(int(own), 10**width, 'phone' + code, plan):0{width}d}"
@@ -167,6 +183,16 @@ def _ssn(p: Permutation, text: str) -> str | None:
 
 
 def _ip(p: Permutation, text: str) -> str | None:
+    if ":" in text:
+        try:
+            value = int(IPv6Address(text))
+        except ValueError:
+            return None
+        # Short forms without a digit are names of code, as in abc::def.
+        if "::" in text and (text.count(":") < 3 or not any(c.isdigit() for c in text)):
+            return None
+        new = IPv6Address(p.apply(value, 1 << 128, "ip6"))
+        return str(new).upper() if text.isupper() else str(new)
     parts = text.split(".")
     if any(int(x) > 255 or (len(x) > 1 and x[0] == "0") for x in parts):
         return None
@@ -175,39 +201,40 @@ def _ip(p: Permutation, text: str) -> str | None:
 
 
 def _date(p: Permutation, text: str) -> str | None:
-    iso = text[4] == "-"
-    parts = re.split(r"[-./]", text)
-    year = int(parts[0 if iso else 2])
-    # 31.12.2024 has the day first, 12/31/2024 the month; a dash has the year first.
-    month, day = (parts[1], parts[2]) if iso else (parts[1], parts[0]) if "." in text else (parts[0], parts[1])
-    try:
-        value = date(year, int(month), int(day)).toordinal()
-    except ValueError:
-        if iso or "." in text:
-            return None
+    # The parts of the date and what stands between; which part is the year, month and day.
+    parts = re.findall("[0-9]+|[A-Za-z]+", text)
+    if parts[0].isalpha():
+        orders = ((2, 0, 1),)
+    elif parts[1].isalpha() or text[len(parts[0])] in ".-" and len(parts[2]) == 4:
+        orders = ((2, 1, 0),)
+    elif len(parts[0]) == 4:
+        orders = ((0, 1, 2),)
+    else:
+        orders = ((2, 0, 1), (2, 1, 0))
+    names = {m[:3]: k for k, m in enumerate(MONTHS, 1)}
+    for year, month, day in orders:
         try:
-            month, day = day, month
-            value = date(year, int(month), int(day)).toordinal()
+            old = date(int(parts[year]), names.get(parts[month][:3]) or int(parts[month]), int(parts[day]))
         except ValueError:
-            return None
-        swapped = True
+            continue
+        break
     else:
-        swapped = False
-    # Dates stay in their century; a slashed date keeps telling day from month or not.
-    first = date(max(1, year // 100 * 100), 1, 1).toordinal()
-    size = date(year // 100 * 100 + 99, 12, 31).toordinal() - first + 1
-    if iso or "." in text:
-        new = date.fromordinal(first + p.apply(value - first, size, "date"))
-        if iso:
-            return new.isoformat()
-        d, m = (f"{x:02d}" if len(y) == 2 else str(x) for x, y in ((new.day, parts[0]), (new.month, parts[1])))
-        return f"{d}.{m}.{new.year:04d}"
-    late = lambda x: date.fromordinal(first + x).day > 12
-    ok = late if swapped else (lambda x: True)
-    new = date.fromordinal(first + p.apply(value - first, size, "date-day-first" if swapped else "date", ok))
-    a, b = (new.day, new.month) if swapped else (new.month, new.day)
-    a, b = (f"{x:02d}" if len(y) == 2 else str(x) for x, y in ((a, parts[0]), (b, parts[1])))
-    return f"{a}/{b}/{new.year:04d}"
+        return None
+    # Dates stay in their century, on the same side of the twelfth.
+    first = date(max(1, old.year // 100 * 100), 1, 1).toordinal()
+    size = date(old.year // 100 * 100 + 99, 12, 31).toordinal() - first + 1
+    side = lambda x: (date.fromordinal(first + x).day > 12) == (old.day > 12)
+    new = date.fromordinal(first + p.apply(old.toordinal() - first, size, "date", side))
+    number = lambda x, like: f"{x:02d}" if len(like) == 2 and (like[0] == "0" or x > 9) else str(x)
+    if parts[month].isalpha():
+        name = MONTHS[new.month - 1]
+        shown = name[:3] if len(parts[month]) == 3 and parts[month] != "May" else name
+        own = {year: f"{new.year:04d}", month: shown, day: number(new.day, parts[day])}
+    else:
+        fixed = lambda x, like: f"{x:02d}" if len(like) == 2 else str(x)
+        own = {year: f"{new.year:04d}", month: fixed(new.month, parts[month]), day: fixed(new.day, parts[day])}
+    place = iter(range(3))
+    return re.sub("[0-9]+|[A-Za-z]+", lambda _: own[next(place)], text)
 
 
 _MAKE = {"email": _email, "iban": _iban, "card": _card, "phone": _phone, "ssn": _ssn, "ip": _ip, "date": _date}
@@ -226,7 +253,7 @@ class Pseudonyms:
         while m := PATTERN.search(text, begin):
             kind = next(k for k in KINDS if m[k] is not None)
             value, new = m[0], self.of(kind, m[0])
-            while new is None and kind in ("iban", "phone") and " " in value:
+            while new is None and kind in ("iban", "phone", "card") and " " in value:
                 # Words after the number may look like more of it.
                 value = value[: value.rindex(" ")]
                 new = self.of(kind, value)
@@ -245,7 +272,10 @@ SPANS = "array<struct<kind: string, start: int, end: int, new_start: int, new_en
 
 
 def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", new: str = "new_text", spans: str = "pii") -> DataFrame:
-    """``docs`` with the text under pseudonyms and the spans of every datum, in code points."""
+    """``docs`` with the text under pseudonyms and the spans of every datum, in code points.
+
+    Columns of ``docs`` named like ``new`` or ``spans``, or ``_pii``, are replaced.
+    """
 
     @F.pandas_udf(f"text: string, spans: {SPANS}")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -1,6 +1,8 @@
 """Every operator against its brute-force counterpart, on awkward rows."""
 
+import ipaddress
 import random
+import re
 import sys
 import time
 from pathlib import Path
@@ -297,6 +299,52 @@ def test_pii_permutes_within_formats(spark, docs, none):
     assert own.replace(text) != pii.Pseudonyms(b"other").replace(text)
 
 
+SAME = [
+    ["2024-12-31", "31/12/2024", "31.12.2024", "31-12-2024", "2024/12/31", "2024.12.31", "12/31/2024", "December 31, 2024", "31 Dec 2024", "31. December 2024"],
+    ["2024-05-06", "05/06/2024", "5/6/2024", "06.05.2024", "6 May 2024", "May 06, 2024"],
+    ["555-223-4567", "(555) 223-4567", "+1 555 223 4567", "555.223.4567", "555 223 4567", "5552234567"],
+    ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111"],
+    ["2001:db8::8a2e:370:7334", "2001:0DB8:0000:0000:0000:8A2E:0370:7334"],
+    ["6304000000000000000", "6304 0000 0000 0000 000"],
+]
+
+
+@pytest.mark.parametrize("forms", SAME)
+def test_pii_links_all_forms_of_a_value(forms):
+    """The pseudonyms of all forms are forms of one value, and are found and linked again."""
+    own = pii.Pseudonyms(b"k")
+    again = [own.replace(f"on {own.replace(f'on {x} at')[0][3:-3]} at")[0] for x in forms]
+    for texts in ([own.replace(f"on {x} at")[0] for x in forms], again):
+        values = {value_of(x[3:-3]) for x in texts}
+        assert len(values) == 1 and value_of(forms[0]) not in values
+    for x in forms:
+        assert [s[0] for s in own.replace(f"on {x} at")[1]] == [own.replace(f"on {forms[0]} at")[1][0][0]]
+
+
+def value_of(text):
+    """The date, address or digits of a form."""
+    if ":" in text:
+        return ipaddress.ip_address(text)
+    names = {m[:3]: k for k, m in enumerate(pii.MONTHS, 1)}
+    parts = [int(x) if x.isdigit() else names[x[:3]] for x in re.findall("[0-9]+|[A-Za-z]+", text)]
+    if re.search("[A-Za-z]|^[0-9]{4}[./-][0-9]{2}[./-]|[./-][0-9]{1,2}[./-][0-9]{4}$", text) and len(parts) == 3 and "223" not in text:
+        year = max(parts)
+        rest = [x for x in parts if x != year]
+        if text[0].isalpha() or parts[0] == year or ("/" in text and rest[0] <= 12):
+            return year, *rest
+        return year, rest[1], rest[0]
+    return "".join(c for c in text if c.isdigit())[-19:].removeprefix("1" if text.startswith("+1") else "")
+
+
+def test_pii_leaves_other_numbers_alone():
+    own = pii.Pseudonyms(b"k")
+    for text in ("at 1700000000 ms", "555 123 4567", "1234567890", "abc::def", "::1", "12:34:56", "00:1B:44:11:3A:B7", "v2024.13.01", "31/31/2024",
+                 "Mai 5, 2024", "555 223 45678", "4 555 223 4567", "2.5552234567", "Dec 32, 2024", "1.2.3.4.5"):
+        assert own.replace(text) == (text, []), text
+    taken = {own.replace(f"{d:02d}/{m:02d}/2024")[0] for m in range(1, 13) for d in range(1, 29)}
+    assert len(taken) == 12 * 28  # no two slashed dates get the same pseudonym
+
+
 @pytest.fixture(scope="module")
 def tagger():
     return html_crf.trained()
