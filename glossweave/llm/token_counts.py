@@ -1,13 +1,14 @@
 """Token counts by a two-tier lookup on the map side.
 
-Tier one is a table of the lengths of the corpus's most frequent pre-tokens, broadcast to
-every worker; its size is bounded by ``FREQUENT`` keys of at most ``LONGEST_CACHED``
-characters.  Tier two is a cache in each worker, which encodes what the table lacks with the
-tokenizer library.  Counting needs no shuffle at all; the frequent keys come from a sketch
-of ``PER_TASK`` keys per input task, so no pre-token of the corpus is shuffled either.
+Tier one is a table of the lengths of frequent pre-tokens, broadcast to every worker; its size
+is bounded by ``FREQUENT`` keys of at most ``LONGEST_CACHED`` characters.  Tier two is a cache in each
+worker, which encodes what the table lacks with the tokenizer library.  Texts are read once and
+nothing is shuffled.  The keys come from ``SAMPLE`` texts, of which the first ``SAMPLE_CHARS`` characters are
+looked at; the choice of keys decides only the speed, never a count.
 
 Null and empty texts have no bytes and no tokens.  Rows are kept as they are (repeated rows,
-null ids, extra columns); an empty table gives an empty result.
+null ids, extra columns); a column with the name of the result is replaced; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -16,48 +17,25 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretokens import LONGEST_CACHED, default_model, library_lengths, pre_tokens
 
 FREQUENT = 65_536
-PER_TASK = 8_192
-#: Keys a task counts before it drops the rarer half; bounds its memory, not what it reads.
-COUNTED = 300_000
+#: Texts that the frequent pre-tokens are taken from, and characters of each.
+SAMPLE, SAMPLE_CHARS = 4_096, 16_384
 #: Entries of a worker's cache before it starts anew.
 CACHED = 300_000
 
 
-def _task_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The heaviest pre-tokens of one task with their counts."""
-    counts: Counter[str] = Counter()
-    for batch in batches:
-        for text in batch.column(0):
-            counts.update(pre_tokens(text.as_py()))
-            if len(counts) > COUNTED:
-                counts = Counter(dict(counts.most_common(COUNTED // 2)))
-    top = [(k, n) for k, n in counts.most_common(PER_TASK) if len(k) <= LONGEST_CACHED]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())],
-        names=["key", "n"],
-    )
-
-
 def frequent_lengths(docs: DataFrame, model: str, text: str = "text") -> dict[str, int]:
-    """Lengths of at most ``FREQUENT`` frequent pre-tokens of all texts.
-
-    The choice of keys decides only the speed, never a count.
-    """
-    sketches = docs.select(F.col(text)).mapInArrow(_task_sketch, "key string, n long")
-    top = (
-        sketches.groupBy("key")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "key")
-        .limit(FREQUENT)
-    )
-    keys = [r.key for r in top.select("key").toLocalIterator()]
+    """Lengths of at most ``FREQUENT`` frequent pre-tokens of a bounded sample of the texts."""
+    counts: Counter[str] = Counter()
+    # A limit reads only as many parts of the table as it takes.
+    for row in docs.select(F.substring(F.col(text).cast("string"), 1, SAMPLE_CHARS)).limit(SAMPLE).collect():
+        counts.update(k for k in pre_tokens(row[0]) if len(k) <= LONGEST_CACHED)
+    keys = [k for k, _ in counts.most_common(FREQUENT)]
     return dict(zip(keys, library_lengths(model, keys))) if keys else {}
 
 
