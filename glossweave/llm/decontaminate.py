@@ -7,8 +7,10 @@ of windows, and found words are mapped back to offsets of the original text.
 
 The automaton is broadcast, so its size is bounded: windows are dealt into blocks of at most
 ``BLOCK`` windows by a hash, and each block is a pass of its own over the texts.  Which words are
-hit and which items occur come back per row and pass, and are joined in the next pass.  The item
-ids of a window are not bounded: they are broadcast with it, however many items share it.
+hit and which items occur come back per row and pass, and are joined in the next pass.  Item ids go with the
+windows while all windows together name at most ``MOST_IDS`` of them; beyond that the automaton has the
+windows' numbers only, and Spark joins the ids to the rows that hold a window, so one that very many items
+share is in no broadcast.
 
 Null texts and texts without words have no words and no hits.  Items without words have no
 windows, items without an id no part.  Rows are kept as they are (repeated rows, null ids, extra
@@ -31,6 +33,9 @@ WINDOW = 10
 #: Windows of one automaton: at most some 100 MB in a worker.
 BLOCK = 200_000
 
+#: Item ids that are broadcast with their windows.
+MOST_IDS = 1_000_000
+
 #: Bytes to bytes: A-Z in lower case, ASCII separators to a space, the rest as it is.
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
@@ -144,6 +149,25 @@ def _scan_udf(windows, key: str):
     return scan
 
 
+def _with_ids(out: DataFrame, items: DataFrame) -> DataFrame:
+    """``found.items`` from window numbers to the ids of ``(number, item)``.
+
+    Rows of equal windows share one list of ids; rows without any stay out of the join.
+    """
+    key = F.struct(F.xxhash64("found.items").alias("h1"), F.xxhash64(F.lit(1), F.col("found.items")).alias("h2"))
+    rows = saved(out.withColumn("_key", key), "numbered")
+    hit = rows.filter(F.size("found.items") > 0)
+    ids = (
+        hit.select("_key", F.explode("found.items").alias("number"))
+        .distinct()
+        .join(items, "number")
+        .groupBy("_key")
+        .agg(F.sort_array(F.collect_set("item")).alias("_ids"))
+    )
+    named = hit.join(saved(ids, "ids"), "_key").withColumn("found", F.col("found").withField("items", F.col("_ids")))
+    return named.select(*out.columns).unionByName(rows.filter(F.size("found.items") == 0).select(*out.columns))
+
+
 def find_benchmark(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -152,12 +176,20 @@ def find_benchmark(
     item_text: str = "text",
     size: int = WINDOW,
     block: int = BLOCK,
+    most_ids: int = MOST_IDS,
 ) -> DataFrame:
     """``docs`` with a struct ``found``: ``words`` (count), ``hits`` (words hit), ``hit`` (merged word spans, start and
     end in turn), ``spans`` (the same as code points of the text) and ``items`` (sorted ids)."""
     spark = docs.sparkSession
     windows = saved(benchmark_windows(benchmark, item_id, item_text, size), "windows")
-    blocks = max(1, -(-windows.count() // block))
+    n, ids = windows.agg(F.count("*"), F.coalesce(F.sum(F.size("items")), F.lit(0))).first()
+    blocks = max(1, -(-n // block))
+    items = None
+    if ids > most_ids:
+        # A window's number: 96 bits of hashes, so that no table has to be numbered.
+        number = F.concat(F.xxhash64("window").cast("string"), F.lit(":"), F.crc32(F.col("window").cast("binary")).cast("string"))
+        items = windows.select(number.alias("number"), F.explode("items").alias("item"))
+        windows = windows.select("window", F.array(number).alias("items"))
     empty = {"hit": F.lit(None).cast("array<int>"), "items": F.lit(None).cast("array<string>")}
     out = docs
     for k in range(blocks):
@@ -169,4 +201,4 @@ def find_benchmark(
         out = out.withColumn("found", scan(F.col(text), *before))
         if k + 1 < blocks:
             out = saved(out, f"scanned-{k}")  # so that one automaton is in memory at a time
-    return out
+    return out if items is None else _with_ids(out, items)

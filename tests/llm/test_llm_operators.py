@@ -121,12 +121,12 @@ def test_sketches_merge(spark):
         assert b <= v <= b * (1 + 1 / 32) + 1
 
 
-@pytest.mark.parametrize("block", [7, 200_000])
-def test_decontamination(spark, docs, rows, none, block):
+@pytest.mark.parametrize("block,most_ids", [(7, 10**6), (200_000, 10**6), (200_000, 0), (7, 3)])
+def test_decontamination(spark, docs, rows, none, block, most_ids):
     items = [(1, " ".join(f"word{i % 977} É{i}" for i in range(100, 112))), (2, "w3 w3"), (3, None), (4, "..."), (5, "line one two"),
              (None, "one"), (6, "w1"), (11, "w1"), (12, "THREE")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = decontaminate.find_benchmark(docs, bench, block=block)
+    found = decontaminate.find_benchmark(docs, bench, block=block, most_ids=most_ids)
     got = found.select("doc_id", "found.words", "found.hits", F.size("found.items"), F.sha2(F.array_join("found.items", ","), 256), "text", "found.spans").collect()
     same([tuple(x)[:5] for x in got], plain.benchmark_hits(pairs(rows), items))
     for x in got:  # offsets lead to the hit words of the original
