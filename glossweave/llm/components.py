@@ -13,8 +13,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps (Kiveris et al. 2014) until the edges are
     stars around the smallest node.  Each step only groups for a minimum, which is combined
-    before the shuffle, and joins it back; no neighbourhood is gathered.  The edges of every
-    round are a written table, so a lost executor repeats one round.
+    before the shuffle, and joins it back; no neighbourhood is gathered.  Edges and minima are
+    written tables, so a lost executor repeats one step, and the edges of a hub, which meet in one
+    join key, are split by Spark's skew join.
     """
     current = saved(_tidy(edges, "a", "b"), "edges")
     before = None
@@ -25,11 +26,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if state == before:
             break
         before = state
-        both = current.select("a", "b").unionAll(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = _tidy(both.join(least, "a").filter("b > a").select("b", "m"), "b", "m")
-        # Every edge has a > b here: the smaller neighbours of a meet at the smallest.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        # Every edge has a > b.  Large star: a meets the smallest node around b, which is b itself
+        # unless b has a smaller neighbour.
+        least = saved(current.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "b"), "minima")
+        large = saved(_tidy(current.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("m")), "a", "m"), "large")
+        # Small star: the smaller neighbours of a meet at the smallest.
+        least = saved(large.groupBy("a").agg(F.min("b").alias("m")), "minima")
         small = large.join(least, "a").select(
             F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")
         )
