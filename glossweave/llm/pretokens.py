@@ -38,6 +38,26 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+@lru_cache(maxsize=2)
+def checked_model(path: str) -> str:
+    """``path``, if its model reads texts as the operators here do: the only change to a text is a space
+    in front and U+2581 for spaces, pieces are merged pairs, and characters without one become bytes.
+    """
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    rules, training = model.normalizer_spec, model.trainer_spec
+    plain = not rules.precompiled_charsmap and not rules.normalization_rule_tsv
+    spaces = rules.add_dummy_prefix and rules.escape_whitespaces and not rules.remove_extra_whitespaces
+    if not (plain and spaces) or training.treat_whitespace_as_suffix:
+        raise ValueError(f"{path}: a normaliser that changes more than spaces is not supported")
+    if training.model_type != training.BPE or not training.byte_fallback:
+        raise ValueError(f"{path}: only BPE models with byte fallback are supported")
+    return path
+
+
 @lru_cache(maxsize=2)
 def processor(path: str):
     """The library's processor, once per worker process."""

@@ -2,7 +2,8 @@
 
 Three machines are compiled from the model file and composed lazily with each input:
 
-* the normaliser, which emits U+2581 before the text and for every space;
+* the normaliser, which emits U+2581 before the text and for every space (a model whose file names another
+  one is refused);
 * the pieces, a prefix tree whose final arcs write a piece, with a byte fallback: a
   character without a piece becomes its UTF-8 bytes;
 * a bigram acceptor over pieces.  The model merges pairs by rank, and a sequence of pieces is
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import LONGEST_CACHED, default_model, pre_tokens
+from .pretokens import LONGEST_CACHED, checked_model, default_model, pre_tokens
 
 SPACE = "▁"
 #: Entries of one generation of a worker's path cache, and of its acceptor before it starts anew.
@@ -191,9 +192,10 @@ def transducer(path: str) -> PieceTransducer:
 def encode(docs: DataFrame, model: str | None = None, text: str = "text", column: str = "token_ids") -> DataFrame:
     """``docs`` with the piece ids of each whole text (an empty array for null or empty).
 
-    Rows are kept as they are: no shuffle, no grouping; an empty table stays empty.
+    Rows are kept as they are: no shuffle, no grouping; an empty table stays empty.  A column named like the
+    result is replaced.
     """
-    path = model or default_model()
+    path = checked_model(model or default_model())
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -205,8 +207,11 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text", column
 
 
 def decode(docs: DataFrame, model: str | None = None, ids: str = "token_ids", column: str = "decoded") -> DataFrame:
-    """``docs`` with the text of an array of piece ids (null stays null, none gives "")."""
-    path = model or default_model()
+    """``docs`` with the text of an array of piece ids (null stays null, none gives "").
+
+    A column named like the result is replaced.
+    """
+    path = checked_model(model or default_model())
 
     @F.pandas_udf("string")
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .byte_tokens import default_tokenizer, tokenizer
 from .common import saved, small_batches
-from .pretokens import LONGEST_CACHED, default_model, pre_tokens, processor
+from .pretokens import LONGEST_CACHED, checked_model, default_model, pre_tokens, processor
 
 #: Pairs in the broadcast table, 16 bytes each.
 FREQUENT = 500_000
@@ -224,7 +224,7 @@ def align(
         return [_lists(x.a.ids, x.a.counts), _lists(x.b.ids, x.b.counts), *sizes, pa.array(x.digests, pa.string())]
 
     names = [c for c in keep if c not in RESULTS]
-    return _per_slice(docs, names, text, ALIGNED, path_a or default_tokenizer(), path_b or default_model(), columns)
+    return _per_slice(docs, names, text, ALIGNED, path_a or default_tokenizer(), checked_model(path_b or default_model()), columns)
 
 
 def linked_pairs(x: Block, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -294,7 +294,7 @@ def score(
     other pair of their A id exceeds, ``count_sum`` adds up the counts of all links.
     """
     spark = docs.sparkSession
-    path_a, path_b = path_a or default_tokenizer(), path_b or default_model()
+    path_a, path_b = path_a or default_tokenizer(), checked_model(path_b or default_model())
     names = [c for c in keep if c not in RESULTS]
     width = len(piece_bytes(path_b))
     with small_batches(spark, BATCH):

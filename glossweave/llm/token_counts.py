@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import LONGEST_CACHED, default_model, library_lengths, pre_tokens
+from .pretokens import LONGEST_CACHED, checked_model, default_model, library_lengths, pre_tokens
 
 FREQUENT = 65_536
 #: Texts that the frequent pre-tokens are taken from, and characters of each.
@@ -46,7 +46,7 @@ def count_tokens(
     column: str = "n_tokens",
 ) -> DataFrame:
     """``docs`` with the number of tokens of each whole text."""
-    path = model or default_model()
+    path = checked_model(model or default_model())
     table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path, text))
 
     @F.pandas_udf("long")

@@ -445,3 +445,28 @@ def test_one_text_of_very_many_secrets(spark):
     out, seconds = timed(secret_scan.find_secrets(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")))
     assert [f"{secret_scan.KINDS[s.kind]}:{s.start}:{s.end}" for s in out[0].base] == plain.base_spans(text)
     assert sum(s.kind == 3 for s in out[0].spans) > 24_000 and seconds < 90
+
+
+def test_a_model_with_another_normaliser_is_refused(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2
+
+    for change in (lambda m: setattr(m.normalizer_spec, "remove_extra_whitespaces", True), lambda m: setattr(m.normalizer_spec, "precompiled_charsmap", b"x"),
+                   lambda m: setattr(m.trainer_spec, "byte_fallback", False), lambda m: setattr(m.trainer_spec, "model_type", 1)):
+        model = sentencepiece_model_pb2.ModelProto()
+        model.ParseFromString(Path(pretokens.default_model()).read_bytes())
+        change(model)
+        path = tmp_path / f"{len(list(tmp_path.iterdir()))}.model"
+        path.write_bytes(model.SerializeToString())
+        with pytest.raises(ValueError):
+            pretokens.checked_model(str(path))
+    assert pretokens.checked_model(pretokens.default_model()) == pretokens.default_model()
+
+
+def test_columns_named_like_results_are_replaced(spark):
+    rows = [(1, "some text of 4111111111111111", "x", "x", "x", "x", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, token_ids string, decoded string, n_tokens string, new_text string, pii string")
+    coded = sentencepiece_fst.decode(sentencepiece_fst.encode(docs)).first()
+    assert coded.decoded == rows[0][1] and len(coded.token_ids) > 4 and coded.pii == "x"
+    assert token_counts.count_tokens(docs).first().n_tokens == len(coded.token_ids)
+    named = pii.pseudonymise(docs, b"k").first()
+    assert named.new_text != rows[0][1] and named.pii[0].kind == "card" and named.decoded == "x"
