@@ -570,3 +570,21 @@ def test_time_of_calls_is_independent_of_scan_and_write(spark, tmp_path):
     took = {r.system: r.seconds for r in seconds.collect()}
     assert took["free"] is None and 2.0 <= took["slow"] <= 2.6
     assert hyps.filter("system = 'slow'").count() == 30 and [r.hyp for r in hyps.filter("system = 'slow'").orderBy("seg_id").limit(4).collect()] == ["a", "b", "c", "a"]
+
+
+def test_reports_of_many_groups(spark, tmp_path):
+    """A report for every document, written by Spark; length mismatches are in it."""
+    rows_ = [(d, i, f"one two three four {d}", f"one two three {'four' if i else 'five'} {d}") for d in range(40) for i in range(3)] + [(None, 0, "a b", "a b")]
+    pairs = spark.createDataFrame(rows_, "doc_id long, pos int, hyp string, ref string")
+    result = ev.evaluate(pairs, ["doc_id", "pos"], ["doc_id"], k=2)
+    counts = spark.createDataFrame([(0, 3, 3), (1, 3, 4), (2, 9, 3)], "doc_id long, n_hyp long, n_ref long")
+    texts = reports.report_texts(result.corpus, result.spread, result.flagged, alignment.length_severity(counts, ["doc_id"]))
+    got = {r.doc_id: r.report for r in texts.collect()}
+    assert set(got) == {*range(40), None}
+    assert "mismatch" not in got[0] and "the last 1 references were dropped (3 to 3, 25%): scores are not reliable." in got[1]
+    assert "9 hypotheses and 3 references; the last 6 hypotheses were dropped (3 to 8, 67%)" in got[2]
+    assert got[5].split("\n")[:4] == ["TRANSLATION EVALUATION REPORT", "  doc_id : 5", "  Mode       : reference", "  Paragraphs : 3"]
+    assert got[5].count("] chrF") == 2 and "  [0001] chrF" in got[5] and "Detail : " in got[5]
+    reports.write_reports(texts, str(tmp_path / "reports"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "reports")).collect()]
+    assert lines.count("TRANSLATION EVALUATION REPORT") == 41
