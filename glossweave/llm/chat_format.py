@@ -7,10 +7,13 @@ after the last reply become a last example without a trainable part, so nothing
 The template marks a turn by its role.  Marks inside a text are broken by a backslash and
 backslashes are doubled, so ``unescaped`` gives every text back.
 
-Turns are hashed by conversation and sorted inside the partitions; a task streams through
-them and holds one conversation, never a partition.  An example repeats its context, so a
-conversation's output is its length times its replies, which is what the method defines; it
-is given out row by row.
+A conversation of up to ``TURNS`` turns is one group.  A longer one is numbered and cut into blocks of
+``TURNS`` turns, and each block is a group of its own, with the turns before it: so the examples of a hot
+conversation, whose size is its length times its replies, are made by as many tasks as it has blocks.
+A task holds one conversation's text, never a partition, and gives examples out row by row.
+
+``read_back`` takes its numbers from each example where it is; only replies are then put in order, by
+conversation and example, however the examples are stored.
 
 Turns are ordered by turn, role and text (nulls first); repeated rows are turns of their own.
 A null text is empty, a null role is the role "", a null conversation id is a conversation.
@@ -29,6 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.positions import anti_join_null_safe, dense_position, join_null_safe
+from .common import saved
+
 START = "<s>"
 #: Role: what opens and closes its turns.  Other roles are named in the mark.
 MARKS = {
@@ -44,8 +50,10 @@ _TURN = re.compile(
     + r"|\[ROLE:(?P<name>(?:[^\\\]]|\\.)*)\](?P<other>.*?)\[/ROLE\]",
     re.DOTALL,
 )
-EXAMPLES = "conv_id long, example int, target_turn int, text string, loss_start int, loss_end int"
+EXAMPLES = "conv_id long, example long, target_turn long, text string, loss_start long, loss_end long, last boolean"
 READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+#: Turns of a block.
+TURNS = 512
 #: Characters of examples that leave a task at once.
 BATCH_CHARS = 1 << 22
 
@@ -78,46 +86,102 @@ def parse(example: str) -> list[tuple[str, str]]:
     return turns
 
 
-def conversation_examples(turns: list[tuple[str, str]]) -> Iterator[tuple[int | None, str, int, int]]:
-    """``(target turn, text, loss start, loss end)`` of a conversation's examples."""
-    whole = START
-    replied = True
+def conversation_examples(turns: list[tuple[str, str]], first: int = 0, whole: bool = True) -> Iterator[tuple]:
+    """``(example, target turn, text, loss start, loss end, last)`` of the examples from turn ``first`` on.
+
+    ``whole`` says that the conversation ends with these turns.
+    """
+    parts, chars, replies = [START], len(START), 0
+    final = max((k for k, (role, _) in enumerate(turns) if role == "assistant"), default=-1)
     for k, (role, text) in enumerate(turns):
         marked, start, end = format_turn(role, text)
-        at = len(whole)
-        whole += marked
-        replied = role == "assistant"
-        if replied:
-            yield k, whole, at + start, at + end
-    if not replied:
-        yield None, whole, len(whole), len(whole)
+        at = chars
+        parts.append(marked)
+        chars += len(marked)
+        if role == "assistant":
+            if k >= first:
+                parts = ["".join(parts)]
+                yield replies, k, parts[0], at + start, at + end, whole and k == final == len(turns) - 1
+            replies += 1
+    if whole and final < len(turns) - 1:
+        yield replies, None, "".join(parts), chars, chars, True
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        yield from zip(*(column.to_pylist() for column in batch.columns))
+        for k in range(batch.num_rows):
+            yield tuple(column[k].as_py() for column in batch.columns)
 
 
-def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema(
-        [("conv_id", pa.int64()), ("example", pa.int32()), ("target_turn", pa.int32()), ("text", pa.string()),
-         ("loss_start", pa.int32()), ("loss_end", pa.int32())]
-    )
-    held, chars = [], 0
+_EXAMPLE = pa.schema(
+    [("conv_id", pa.int64()), ("example", pa.int64()), ("target_turn", pa.int64()), ("text", pa.string()),
+     ("loss_start", pa.int64()), ("loss_end", pa.int64()), ("last", pa.bool_())]
+)
 
-    def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
-    for conv, rows in groupby(_rows(batches), itemgetter(0)):
-        turns = [(role or "", text or "") for _, _, role, text in rows]
-        for k, (target, text, start, end) in enumerate(conversation_examples(turns)):
-            held.append((conv, k, target, text, start, end))
-            chars += len(text)
-            if chars >= BATCH_CHARS:
-                yield flush()
-                held, chars = [], 0
-    if held:
-        yield flush()
+def _expand(size: int):
+    """Examples of blocks of ``size`` turns, given with all turns before them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, chars = [], 0
+        for conv, block, last, rows in _rows(batches):
+            turns = [(row["role"] or "", row["text"] or "") for row in rows]
+            for example in conversation_examples(turns, block * size, block == last):
+                held.append((conv, *example))
+                chars += len(example[2])
+                if chars >= BATCH_CHARS:
+                    yield _example_batch(held)
+                    held, chars = [], 0
+        if held:
+            yield _example_batch(held)
+
+    return run
+
+
+def _example_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _EXAMPLE)], schema=_EXAMPLE)
+
+
+def expand_examples(conversations: DataFrame, size: int = TURNS) -> DataFrame:
+    """Examples of all conversations, numbered inside each; ``last`` marks the one that holds all turns.
+
+    ``size`` is the number of turns of a block.
+    """
+    turns = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    sizes = turns.groupBy("conv_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > size)
+    long = saved(sizes.select("conv_id", F.expr(f"(_n - 1) div {size}").alias("_last")), "long-conversations")
+    zero = F.lit(0).cast("long")
+    cut = anti_join_null_safe(turns, long, ["conv_id"]).withColumns({"_block": zero, "_last": zero})
+    if not long.isEmpty():
+        # Each turn goes to its own block and to all blocks after it.
+        placed = dense_position(join_null_safe(turns, long, ["conv_id"], "inner"), ["conv_id"], "turn", ties=("role", "text"), block=size)
+        own = F.expr(f"pos div {size}")
+        cut = cut.unionByName(placed.withColumn("_block", F.explode(F.sequence(own, F.col("_last")))).drop("pos"))
+    # A struct's nulls come first, as in a sort by its columns.
+    inside = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    blocks = cut.groupBy("conv_id", "_block", "_last").agg(inside.alias("turns"))
+    return blocks.mapInArrow(_expand(size), EXAMPLES)
+
+
+READ_ONE = "conv_id long, example long, reply string, chars long, n_turns long, turns_sha256 string"
+
+
+def _read_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reply and length of each example; of a conversation's last one also the digest of its turns."""
+    names = [x.split()[0] for x in READ_ONE.split(", ")]
+    for batch in batches:
+        out = []
+        for conv, example, text, start, end, last in _rows([batch]):
+            n, digest = None, hashlib.sha256()
+            if last:
+                turns = parse(text)
+                n = len(turns)
+                for role, own in turns:
+                    digest.update(f"{role}\n{own}\n".encode("utf-8", "surrogatepass"))
+            out.append((conv, example, unescaped(text[start:end]), len(text), n, digest.hexdigest() if last else None))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+        columns = list(zip(*out)) or [()] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,17 +194,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     for conv, rows in groupby(_rows(batches), itemgetter(0)):
-        loss, loss_chars, chars, text = hashlib.sha256(), 0, 0, START
-        for _, _, _, text, start, end in rows:
-            reply = unescaped(text[start:end])
+        loss, loss_chars, total, turns, digest = hashlib.sha256(), 0, 0, None, None
+        for _, _, reply, chars, n, own in rows:
             loss.update(reply.encode("utf-8", "surrogatepass"))
             loss_chars += len(reply)
-            chars += len(text)
-        turns = parse(text)  # the last example holds every turn
-        digest = hashlib.sha256()
-        for role, own in turns:
-            digest.update(f"{role}\n{own}\n".encode("utf-8", "surrogatepass"))
-        out.append((conv, len(turns), digest.hexdigest(), loss_chars, loss.hexdigest(), chars))
+            total += chars
+            if n is not None:
+                turns, digest = n, own
+        out.append((conv, turns, digest, loss_chars, loss.hexdigest(), total))
         if len(out) >= 4096:
             yield flush()
             out = []
@@ -148,17 +209,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def expand_examples(conversations: DataFrame) -> DataFrame:
-    """Examples of all conversations; those of one follow each other in their partition."""
-    parts = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-        .repartition(parts, "conv_id")
-        .sortWithinPartitions("conv_id", "turn", "role", "text")
-        .mapInArrow(_expand, EXAMPLES)
-    )
-
-
 def read_back(examples: DataFrame) -> DataFrame:
-    """Per conversation, what its examples hold; takes the rows as ``expand_examples`` gives them."""
-    return examples.mapInArrow(_read, READ)
+    """Per conversation, what its examples hold, in whatever order they come.
+
+    Only replies and numbers are shuffled; a digest of a conversation is one stream through its replies.
+    """
+    parts = int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = examples.select("conv_id", "example", "text", "loss_start", "loss_end", "last").mapInArrow(_read_one, READ_ONE)
+    return one.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "example").mapInArrow(_read, READ)

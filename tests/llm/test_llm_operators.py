@@ -262,6 +262,11 @@ def test_chat_round_trip(spark):
     rows += [(None, 0, "user", "hi", ""), (None, 1, "assistant", "there", ""), (7, None, "user", "x", ""), rows[0]]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, example string").repartition(5)
     got = {x.conv_id: x for x in chat_format.read_back(chat_format.expand_examples(frame)).collect()}
+    # Blocks of any size, and examples in any order, hold the same.
+    cut = chat_format.expand_examples(frame, 2)
+    assert {x.conv_id: x for x in chat_format.read_back(cut.repartition(7, "text")).collect()} == got
+    key = lambda x: (x.conv_id is not None, x.conv_id or 0, x.example)
+    assert sorted(cut.collect(), key=key) == sorted(chat_format.expand_examples(frame).collect(), key=key)
     order = lambda x: tuple((v is not None, v or "") if i != 1 else (v is not None, v or 0) for i, v in enumerate(x))
     for conv in {x[0] for x in rows}:
         turns = sorted(((x[1], x[2], x[3]) for x in rows if x[0] == conv),
@@ -299,6 +304,27 @@ def test_pii_permutes_within_formats(spark, docs, none):
     assert own.replace(text) != pii.Pseudonyms(b"other").replace(text)
 
 
+def test_chat_splits_a_hot_conversation(spark):
+    """A third of all turns are one conversation: its blocks are groups of their own."""
+    rows = spark.range(3000).select(
+        F.when(F.col("id") < 1000, 1).otherwise(F.col("id")).alias("conv_id"), (F.col("id") * 7 % 1000).alias("turn"),
+        F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), "id").alias("text"))
+    examples = chat_format.expand_examples(rows, 64)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        places = [r.part for r in examples.filter("conv_id = 1").withColumn("part", F.spark_partition_id()).select("part").collect()]
+    finally:
+        spark.conf.set(name, before)
+    assert len(places) == 500 and len(set(places)) > 4
+    got = chat_format.read_back(examples).filter("conv_id = 1").first()
+    turns = sorted((i * 7 % 1000, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(1000))
+    assert got.n_turns == 1000 and got.turns_sha256 == plain.sha("".join(f"{r}\n{t}\n" for _, r, t in turns))
+    assert got.loss_sha256 == plain.sha("".join(t for _, r, t in turns if r == "assistant"))
+    assert [r.example for r in examples.filter("conv_id = 1").orderBy("example").collect()] == list(range(500))
+
+
 SAME = [
     ["2024-12-31", "31/12/2024", "31.12.2024", "31-12-2024", "2024/12/31", "2024.12.31", "12/31/2024", "December 31, 2024", "31 Dec 2024", "31. December 2024"],
     ["2024-05-06", "05/06/2024", "5/6/2024", "06.05.2024", "6 May 2024", "May 06, 2024"],
