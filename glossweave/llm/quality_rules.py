@@ -44,7 +44,7 @@ RULES = {
     "symbols": (16, False, True),  # symbols per 1,000 characters of words
     "marks": (8, False, False),  # characters of words that are punctuation or symbols, per 1,000
     "capitals": (8, False, False),  # A-Z per 1,000 characters of words
-    "dup_lines": (16, False, True),  # repeated lines per 1,000 lines with a word
+    "dup_lines": (4, False, True),  # repeated lines per 1,000 lines with a word
     "repeats": (16, False, True),  # repeated words per 1,000 words
     "word_length": (8, True, False),  # hundredths of characters per word
 }

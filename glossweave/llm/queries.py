@@ -215,7 +215,7 @@ vals AS (SELECT r, lang, source, x.rule AS rule, x.v::BIGINT AS v FROM (SELECT r
 buckets AS (
   SELECT *, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS b FROM vals),
 spread AS (
-  SELECT *, CASE WHEN rule IN ('symbols', 'dup_lines', 'repeats') THEN 16 ELSE 8 END AS fence FROM buckets
+  SELECT *, CASE WHEN rule = 'dup_lines' THEN 4 WHEN rule IN ('symbols', 'repeats') THEN 16 ELSE 8 END AS fence FROM buckets
   WHERE b > 0 OR rule NOT IN ('symbols', 'dup_lines', 'repeats')),
 quartiles AS (
   SELECT 0 AS level, lang, source, rule, count(*) AS n, any_value(fence) AS fence,
