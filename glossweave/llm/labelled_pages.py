@@ -12,20 +12,21 @@ import random
 SYLLABLES = "an be ca der en fo gi hel is jo ka lun mer no or pra qui ren so tu und ver wa xi yon ze".split()
 PLACES = {
     "menu": ["nav", "div class=menu", "div id=navigation", "ul class=nav-menu", "div class=navbar", "div role=navigation",
-             "div class=breadcrumb", "div class=pagination", "div class=toc"],
+             "div class=breadcrumb", "div class=pagination", "div class=toc", "td class=nav", "td class=menu"],
     "header": ["header", "div id=header", "div class=masthead", "div class=site-header", "div class=topbar"],
     "notice": ["div class=notice", "div class=cookie-banner", "div id=cookie-consent", "div class=alert", "div role=alert",
                "div class=announcement", "div class=popup", "div class=modal", "div class=disclaimer", "section class=gdpr"],
     "advert": ["div class=ad", "div class=ads", "div class=advert", "div class=advertisement", "aside class=sponsored",
-               "div class=promo", "div id=banner-ad", "ins class=adsbygoogle", "div class=sponsor", "section class=promotion"],
+               "div class=promo", "div id=banner-ad", "ins class=adsbygoogle", "div class=sponsor", "section class=promotion", "td class=ads"],
     "sidebar": ["aside", "div id=sidebar", "div class=side-bar", "div class=widget", "div class=related", "section class=related-posts",
-                "div class=recommended", "div class=share-buttons", "div class=social", "aside class=sidebar", "div role=complementary"],
-    "form": ["form", "form class=search", "form class=newsletter", "div class=subscribe", "div class=login", "form class=signup"],
+                "div class=recommended", "div class=share-buttons", "div class=social", "aside class=sidebar", "div role=complementary",
+                "td class=sidebar", "aside class=widget-area"],
+    "form": ["form", "form class=search", "form class=newsletter", "div class=newsletter", "div class=newsletter-signup", "div class=subscribe", "div class=login", "form class=signup"],
     "comments": ["div class=comments", "section id=comments", "ol class=comment-list", "div class=comment", "div id=disqus",
                  "section class=discussion", "div class=replies", "ul class=responses", "section class=user-comments"],
     "footer": ["footer", "div id=footer", "div class=site-footer", "div class=copyright", "div class=legal", "div role=contentinfo"],
     "article": ["article", "main", "div class=content", "div id=content", "div class=article-body", "div class=post", "div class=entry-content",
-                "section class=story", "div class=main-text", "td class=text", "div", "section", "div role=main", "body"],
+                "section class=story", "div class=main-text", "div class=col-main", "td class=text", "div", "section", "div role=main", "body"],
 }
 
 
@@ -110,15 +111,20 @@ class _Writer:
 
     def article(self) -> None:
         r = self.r
+        boxes = r.random() < 0.15  # pages that use div for everything
+        name = r.choice(("", " class=txt", " class=para", " class=text"))
         if r.random() < 0.85:
-            self.put(f"<h1>{self.words(3, 10).capitalize()}</h1>", True)
+            title = r.choice(("div", "div class=headline", "div class=title", "h2")) if boxes else "h1"
+            self.put(f"<{title}>{self.words(3, 10).capitalize()}</{title.split()[0]}>", True)
         terse = r.random() < 0.2  # verse, chat logs: many short paragraphs
         for _ in range(r.randint(4, 40) if terse else r.randint(1, 12)):
             kind = 0.0 if terse and r.random() < 0.9 else r.random()
             text = self.words(1, 4).capitalize() + r.choice(("", ".")) if terse else self.sentences(1, 9)
             if r.random() < 0.2:
                 text = text.replace(" ", f" {self.link()} ", 1)
-            if kind < 0.62:
+            if boxes and kind < 0.8:
+                self.put(f"<div{name}>{text}</div>", True)
+            elif kind < 0.62:
                 end = "</p>" if r.random() < 0.85 else ""
                 lead = f"<b>{self.words(2, 5)}</b> " if r.random() < 0.2 else ""
                 self.put(f"<p>{lead}{text}{end}", True)

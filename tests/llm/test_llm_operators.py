@@ -496,3 +496,25 @@ def test_columns_named_like_results_are_replaced(spark):
     assert token_counts.count_tokens(docs).first().n_tokens == len(coded.token_ids)
     named = pii.pseudonymise(docs, b"k").first()
     assert named.new_text != rows[0][1] and named.pii[0].kind == "card" and named.decoded == "x"
+
+
+BODY = ["The committee met on Tuesday to discuss the new bridge, which has been delayed for months.",
+        "According to the mayor, the work will begin in spring; nobody knows how long it will take.",
+        "Residents were divided. Some welcomed the plan, others feared the noise and the cost of it."]
+LAYOUTS = {
+"wordpress":f"<html><body class='home'><div id=page><header class=site-header><a href=/>My Blog</a><nav class=menu><ul><li><a href=/a>About</a><li><a href=/b>Contact</a></ul></nav></header><div class=content-area><main><div class='post type-post'><h1 class=entry-title>Bridge delayed</h1><div class=entry-meta>By <a href=/u>Ann</a> on May 3</div><div class=entry-content><p>{BODY[0]}</p><p>{BODY[1]}</p><h2>Reactions</h2><p>{BODY[2]}</p><p>Short remark.</p></div></div><div id=comments><h3>2 comments</h3><ol><li><p>I think this is a great idea, thank you for the report.</p></li></ol></div></main><aside class=widget-area><h3>Recent posts</h3><ul><li><a href=/1>Post one</a></li><li><a href=/2>Post two</a></li></ul></aside></div><footer class=site-footer><p>Copyright 2024 My Blog. All rights reserved.</p></footer></div></body></html>",
+"tables":f"<html><body><table width=100%><tr><td class=nav><a href=/>Home</a><br><a href=/news>News</a><br><a href=/c>Contact</a></td><td><font size=5><b>Bridge delayed</b></font><p>{BODY[0]}<p>{BODY[1]}<p>{BODY[2]}</td><td class=ads>Buy now! <a href=/x>Cheap flights</a></td></tr></table><hr><center>(c) 2001 Webmaster</center></body></html>",
+"divs":f"<html><body><div class=top><a href=/>Home</a> | <a href=/l>Login</a></div><div class=wrap><div class=col-main><div class=headline>Bridge delayed</div><div class=txt>{BODY[0]}</div><div class=txt>{BODY[1]}</div><div class=txt>{BODY[2]}</div></div><div class=col-right><div>Most read</div><div><a href=/1>First headline of the day</a></div><div><a href=/2>Second headline</a></div></div></div><div class=bottom>Imprint | Privacy</div></body></html>",
+"docs":f"<html><body><div role=navigation><ul><li><a href=#a>Intro</a><li><a href=#b>Usage</a></ul></div><div role=main><section id=a><h1>Intro</h1><p>{BODY[0]}</p><pre>x = 1\ny = 2</pre><ul><li>{BODY[1]}</li><li>{BODY[2]}</li></ul></section></div><footer>Built with a tool</footer></body></html>",
+"bare":f"<h1>Bridge delayed</h1><p>{BODY[0]}</p><p>{BODY[1]}</p><p>{BODY[2]}</p>",
+"cookie":f"<html><body><div class=cookie-consent><p>We use cookies to improve your experience on this site, please accept them all.</p><button>Accept</button></div><div class=story><h1>Bridge delayed</h1><p>{BODY[0]}</p><p>{BODY[1]}</p><div class=newsletter><p>Sign up for our newsletter and get the best stories in your inbox every day.</p><form><input><button>Subscribe</button></form></div><p>{BODY[2]}</p></div><div class=related><h4>Related</h4><p><a href=/1>Another bridge story from the archive</a></p></div></body></html>",
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_html_of_other_layouts(tagger, layout):
+    """Hand-written pages in mark-up of other kinds than the tables'."""
+    text = html_crf.main_text(LAYOUTS[layout], tagger)
+    assert all(b in text for b in BODY)
+    for other in ("Contact", "Login", "Privacy", "Cheap flights", "Webmaster", "newsletter", "cookies", "Recent posts", "thank you", "headline", "archive", "Built with"):
+        assert other not in text
