@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,10 +67,26 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return saved(frame, new_folder(frame.sparkSession, name), "table")
 
 
-def drop_intermediates(spark: SparkSession) -> int:
-    """Delete what this application left in the shared folder; frames that read it end with it."""
-    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def drop_intermediates(spark: SparkSession) -> int:
+    """Delete what this application left in the shared folder; frames that read it end with it."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    _delete(spark, paths)
     return len(paths)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables made inside on the way out; what is written elsewhere stays."""
+    own = _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+    before = len(own)
+    try:
+        yield
+    finally:
+        _delete(spark, own[before:])
+        del own[before:]

@@ -588,3 +588,15 @@ def test_reports_of_many_groups(spark, tmp_path):
     reports.write_reports(texts, str(tmp_path / "reports"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "reports")).collect()]
     assert lines.count("TRANSLATION EVALUATION REPORT") == 41
+
+
+def test_intermediates_are_deleted(spark):
+    from glossweave import session
+
+    kept = session.written(spark.range(3), "kept")
+    with session.scratch(spark):
+        assert session.written(spark.range(5), "gone").count() == 5
+        gone = session._WRITTEN[spark.sparkContext.applicationId][-1]
+    place = spark._jvm.org.apache.hadoop.fs.Path(gone)
+    assert kept.count() == 3 and not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    assert session.drop_intermediates(spark) > 0 and session.drop_intermediates(spark) == 0
