@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossweave.llm import decontaminate, line_dedup, quality_rules, sentencepiece_fst, simhash
-from glossweave.llm.common import saved, table
+from glossweave.llm.common import table
 from glossweave.llm.queries import TEXTS_PER_BATCH
+from glossweave.session import new_folder, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -80,13 +81,18 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written and read again."""
+    """All stages over ``documents``; each stage's rows are written and read again.
+
+    What a stage writes for itself is deleted when its rows are written.  The rows of the stages stay until
+    ``drop_intermediates``, since the result reads the last of them.
+    """
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = saved(docs, f"stage-{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        path = new_folder(spark, f"stage-{k}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: SQL has neither the bit-distance components nor the piece encoding.
