@@ -1,7 +1,8 @@
 """Headline queries at ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]``; prints one JSON line.
 
 The given tables are files of one row group, which one task reads whatever the query does.  Before anything
-is timed, the larger ones are dealt out over as many files as there are cores, as a table on a cluster is.
+is timed, the larger ones are dealt out over as many files as there are cores, as a table on a cluster is;
+``BENCH_DEAL=0`` leaves them as they are.
 
 Each query runs once on the smallest data to load and compile it, then up to three times timed
 (the median counts), written to Spark's no-op sink so that every column of every row is produced.
@@ -80,7 +81,7 @@ def main() -> None:
     small = str(Path(sf_dir).parent / "sf0.001")
     available = {**QUERIES, "flagship": flagship}
     only = sys.argv[1:]
-    tables = dealt_out(spark, sf_dir, int(cpus))
+    tables = sf_dir if os.environ.get("BENCH_DEAL") == "0" else dealt_out(spark, sf_dir, int(cpus))
     seconds = {}
     for name in HEADLINE:
         if only and name not in only:
