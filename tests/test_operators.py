@@ -458,7 +458,7 @@ def test_one_reference_file_over_several_splits(spark, tmp_path):
         [(7, i, i, t, t.upper(), False) for i, t in enumerate(lines)] + [(8, i, i, t, t, False) for i, t in enumerate(["one", "two"])],
         "doc_id long, pos int, index int, source_text string, text string, is_fallback boolean")
     try:
-        for size in ("64", "700", "128m"):
+        for size in ("400", "128m"):
             spark.conf.set(name, size)
             got = {}
             for r in read_references(spark, str(tmp_path)).orderBy("path", "pos").collect():
@@ -470,8 +470,8 @@ def test_one_reference_file_over_several_splits(spark, tmp_path):
             assert found.pairs.filter("lower(hyp) <> ref").count() == 0
             assert [r.n_lines for r in found.ignored.collect() if r.path.endswith("readme.txt")] == [2]
             assert {r.doc_id: (r.n_hyp, r.n_ref) for r in found.lengths.collect()} == {7: (400, 400), 8: (2, 3)}
-        spark.conf.set(name, "64")
-        assert spark.read.text(str(tmp_path / "7.txt")).rdd.getNumPartitions() > 1
+        spark.conf.set(name, "400")
+        assert spark.read.text(str(tmp_path / "7.txt")).rdd.getNumPartitions() > 10
     finally:
         spark.conf.set(name, before)
 
