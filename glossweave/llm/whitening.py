@@ -181,16 +181,17 @@ def polynomial_mod(matrix: np.ndarray, p: int) -> list[int]:
         factors = h[m + 1 :, m - 1] * pow(int(h[m, m - 1]), -1, p) % p
         h[m + 1 :] = (h[m + 1 :] - factors[:, None] * h[m] % p) % p
         h[:, m] = (h[:, m] + (h[:, m + 1 :] * factors % p).sum(1)) % p
-    # Leading principal minors of x - h, by expanding the last column.
+    # Leading principal minors of x - h, by expanding the last column; below[i] is the product of the
+    # entries under the diagonal from column i on.
     minors = np.zeros((d + 1, d + 1), np.int64)
     minors[0, 0] = 1
+    below = np.ones(d, np.int64)
     for k in range(d):
         minors[k + 1, 1:] = minors[k, :-1]
-        minors[k + 1] = (minors[k + 1] - h[k, k] * minors[k] % p) % p
-        beside = 1
-        for i in range(k - 1, -1, -1):
-            beside = beside * int(h[i + 1, i]) % p
-            minors[k + 1] = (minors[k + 1] - (int(h[i, k]) * beside % p) * minors[i] % p) % p
+        if k:
+            below[:k] = below[:k] * h[k, k - 1] % p
+        factors = h[: k + 1, k] * below[: k + 1] % p
+        minors[k + 1] = (minors[k + 1] - (factors[:, None] * minors[: k + 1] % p).sum(0)) % p
     return minors[d].tolist()
 
 
