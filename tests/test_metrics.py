@@ -90,3 +90,32 @@ def test_empty_corpus(spark):
     scored = M.segment_scores(frame(spark, []), ["seg_id"])
     row = M.corpus_scores(scored, []).first()
     assert row.n_evaluated == 0 and row.bleu is None and row.chrf is None and row.bleu_label is None
+
+
+def test_units_are_cut_in_the_kernel(spark):
+    """No regular expression runs over the texts of a pair, and each side is computed once."""
+    pairs = frame(spark, []).withColumn("hyp", F.reverse("hyp"))
+    for make in (M.bleu_stats, M.chrf_stats, M.segment_scores):
+        plan = make(pairs, ["seg_id"])._jdf.queryExecution().executedPlan().toString()
+        assert "regexp_replace" not in plan and plan.count("reverse(") == 1
+
+
+def test_kernel_tokens_are_those_of_the_expression(spark):
+    rng = random.Random(9)
+    alphabet = "ab .,,..-193&;\n　é\U0001f600<>-'\"_/(){}~`!@#$%^*+=|\\\x1c\xa0quot"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts += ["", "&amp;quot; x", "<skip<skipped>ped>-\n1..2,.3.", "1.,.,2", ".,.5", "3.5-4", "٣.٣-٣"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    want = [r.t.split() for r in rows.select("k", grams.tokens_13a(F.col("t")).alias("t")).orderBy("k").collect()]
+    tokens, sizes = grams.split_13a(texts)
+    assert sizes.tolist() == list(map(len, want)) and tokens == [t for w in want for t in w]
+
+
+@pytest.mark.parametrize("order", [1, 4, 6])
+def test_both_ways_of_counting_agree(order):
+    rng = random.Random(order)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 30))) for _ in range(200)]
+    units, sizes = M._characters(texts)
+    assert (M.clipped_matches(units, sizes, order) == M._matches_by_order(units.astype(int), sizes, order)).all()
+    wide = units.astype(int) + 5000 * (1 + len(units) * (units % 2))
+    assert (M.clipped_matches(wide, sizes, order) == M._matches_by_order(wide, sizes, order)).all()
