@@ -5,7 +5,7 @@ from glossweave.functions import replies
 from glossweave.functions.labels import bleu_label, chrf_label, quality_note
 from glossweave.functions.text import is_blank, preview, strip
 from glossweave.operators import alignment, batching, positions, requests, runs, scoring
-from glossweave.operators import distinct, segmentation, tables
+from glossweave.operators import distinct, segmentation, tables, translators
 from glossweave.operators.translators import (
     GlossaryTranslator,
     MemoryTranslator,
@@ -600,3 +600,27 @@ def test_intermediates_are_deleted(spark):
     place = spark._jvm.org.apache.hadoop.fs.Path(gone)
     assert kept.count() == 3 and not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
     assert session.drop_intermediates(spark) > 0 and session.drop_intermediates(spark) == 0
+
+
+def test_workers_get_a_bounded_part_of_the_prompts(spark, shout, monkeypatch):
+    asked = spark.range(200).selectExpr("id doc_id", "repeat('x', 100) prompt")
+    model = ModelTranslator(shout, workers=3)
+    assert model.respond(asked, ["doc_id"]).rdd.getNumPartitions() == 3
+    monkeypatch.setattr(translators, "TASK_BYTES", 1000)
+    assert model.respond(asked, ["doc_id"]).rdd.getNumPartitions() == 20
+
+
+@pytest.mark.parametrize("piece", [1, 3, 1000])
+def test_answers_leave_in_pieces(spark, monkeypatch, piece):
+    monkeypatch.setattr(translators, "PIECE", piece)
+
+    def upper(prompts):
+        return [p.upper() for p in prompts]
+
+    asked = spark.range(0, 300, 1, 2).selectExpr("id", "if(id % 7 < 2 or id > 250, null, concat('a', id)) prompt")
+    for width in (1, 4):
+        got = ModelTranslator(upper, calls_per_batch=5, in_flight=width).respond(asked, ["id"]).collect()
+        assert len(got) == 300
+        for r in got:
+            want = (None, "no prompt") if r.prompt is None else (r.prompt.upper(), None)
+            assert (r.raw, r.error) == want
