@@ -9,12 +9,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, strip
 from ..session import written
-from .positions import head
+from .positions import anti_join_null_safe, head, join_null_safe
 
 #: A word: letters, with hyphens or apostrophes inside.
 WORD = r"\p{L}+(?:[-'’]\p{L}+)*"
@@ -25,25 +27,114 @@ CAPITALISED, BARE, SENTENCE_END = r"^\p{Lu}\p{Ll}+$", r"^\p{P}*(\p{L}+)\p{P}*$",
 NAME_SHARE, NAME_SCORE = 0.5, 10.83
 #: The language's rate of capitals counts as so many uses of every word before.
 SHRINK = 20
+#: Characters of a document that one task may count, words in a table that is joined in place, and
+#: bytes of texts that are Python objects at a time.
+LONG, COMMON, SLICE = 1 << 24, 10_000, 1 << 18
 
 
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
+def _word_lines(paragraphs: DataFrame) -> DataFrame:
+    """``(doc_id, words)``: the lower-cased words of every paragraph that has any, space-joined."""
+    words = F.lower(F.array_join(_words(F.col("text")), " "))
+    return paragraphs.select("doc_id", words.alias("words")).filter("words <> ''")
+
+
+def _gram_counts(paragraphs: DataFrame, sizes: tuple[int, ...], least: int) -> DataFrame:
+    """``(doc_id, gram, n)``: word sequences of ``sizes`` words that a document has ``least`` times or more.
+
+    Words travel once, to their document, and are counted there.  Documents of more than ``LONG``
+    characters, as many rows of one id may make, are counted gram by gram in all tasks instead.
+    """
+    total = paragraphs.groupBy("doc_id").agg(F.sum(F.length("text")).alias("_size"))
+    long = written(total.filter(F.col("_size") > LONG).select("doc_id"), "long-documents")
+    lines = _word_lines(paragraphs)
+    some = not long.isEmpty()
+    short = anti_join_null_safe(lines, long, ["doc_id"]) if some else lines
+    whole = short.groupBy("doc_id").agg(F.array_join(F.collect_list("words"), "\n").alias("words"))
+    found = whole.select("doc_id", F.explode_outer(_counted(sizes, least)("words")).alias("g")).filter("g is not null")
+    counts = found.select("doc_id", "g.gram", "g.n")
+    if not some:
+        return counts
+    cut = join_null_safe(lines, long, ["doc_id"], "inner").select("doc_id", F.explode_outer(_counted(sizes, 1)("words")).alias("g"))
+    spread = cut.filter("g is not null").groupBy("doc_id", F.col("g.gram").alias("gram")).agg(F.sum("g.n").alias("n"))
+    return counts.unionByName(spread.filter(F.col("n") >= least))
+
+
+def _by_slices(of, element: pa.DataType):
+    """A function of texts as an iterator UDF; few texts at a time are Python objects, at least one."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False))
+            start = 0
+            while start < len(batch):
+                past = ends[start - 1] if start else 0
+                end = max(start + 1, int(np.searchsorted(ends, past + SLICE, "right")))
+                texts = [t or "" for t in batch.slice(start, end - start).to_pylist()]
+                grams, counts, sizes = of(texts)
+                pairs = pa.StructArray.from_arrays([pa.array(grams, pa.string()), pa.array(counts, pa.int64())], fields=list(element))
+                yield pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pairs)
+                start = end
+
+    return run
+
+
+def _counted(sizes: tuple[int, ...], least: int):
+    """A function of word lines: grams with their counts."""
+
+    def of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        cut = [[*t.replace("\n", " \n ").split(" "), "\n"] if t else ["\n"] for t in texts]
+        words = [w for c in cut for w in c]
+        code = pd.factorize(np.array(words, object))[0]
+        base, stop = code.max() + 1, code[-1]
+        text = np.repeat(np.arange(len(cut)), list(map(len, cut)))
+        at = np.flatnonzero(code != stop)
+        number = text[at]
+        starts, lengths, counts = [], [], []
+        for n in range(1, max(sizes) + 1):
+            inside = code[at + (n - 1)] != stop
+            at, number = at[inside], number[inside]
+            number, found = pd.factorize(number * base + code[at + (n - 1)])
+            count = np.bincount(number, minlength=len(found))
+            if n in sizes:
+                first = np.empty(len(found), np.int64)
+                first[number] = at
+                often = count >= least
+                starts.append(first[often])
+                lengths.append(np.full(often.sum(), n))
+                counts.append(count[often])
+            # A longer gram is not more frequent.
+            often = count[number] >= least
+            at, number = at[often], number[often]
+        starts, lengths, counts = map(np.concatenate, (starts, lengths, counts))
+        order = np.argsort(text[starts], kind="stable")
+        grams = [" ".join(words[i : i + n]) for i, n in zip(starts[order].tolist(), lengths[order].tolist())]
+        return grams, counts[order], np.bincount(text[starts], minlength=len(texts))
+
+    element = pa.struct([("gram", pa.string()), ("n", pa.int64())])
+    return F.arrow_udf(_by_slices(of, element), "array<struct<gram string, n bigint>>")
+
+
 def key_terms(paragraphs: DataFrame, k: int = 10, least_length: int = 3) -> DataFrame:
     """The ``k`` words of each document with the highest TF-IDF; ties in word order.
 
-    Both tables are written: the counts are made once, and a word that every document holds is a
-    skewed key of a join between tables, which Spark splits.
+    The counts are a written table, a document's side by side.  The ``COMMON`` words of most
+    documents, nearly all rows, are a table so small that Spark joins it in place, so of these
+    rows only the best ``k`` travel; the other words meet their counts by a join between tables.
     """
-    words = paragraphs.select("doc_id", F.explode(F.transform(_words(F.col("text")), F.lower)).alias("term"))
-    tf = words.filter(F.length("term") >= least_length).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    tf = _gram_counts(paragraphs, (1,), 1).withColumnRenamed("gram", "term").filter(F.length("term") >= least_length)
     tf = written(tf, "term-counts")
     df = written(tf.groupBy("term").agg(F.count("*").alias("n_docs")), "document-counts")
     total = paragraphs.agg(F.count_distinct("doc_id")).scalar()
+    common = written(df.orderBy(F.desc("n_docs"), "term").limit(COMMON), "common-terms")
+    rest = tf.join(common, "term", "left_anti").join(df, "term")
     score = F.round(F.col("n") * F.log(total / F.col("n_docs")), 6)
-    scored = tf.join(df, "term").withColumn("score", score).withColumn("_low", -F.col("score"))
+    columns = ["doc_id", "term", "n", "n_docs"]
+    scored = tf.join(common, "term").select(columns).unionByName(rest.select(columns))
+    scored = scored.withColumn("score", score).withColumn("_low", -F.col("score"))
     return head(scored, ["doc_id"], ["_low", "term"], k, rank="rank").select(
         "doc_id", "rank", "term", "n", "n_docs", "score"
     )
@@ -51,29 +142,20 @@ def key_terms(paragraphs: DataFrame, k: int = 10, least_length: int = 3) -> Data
 
 def name_candidates(paragraphs: DataFrame, least: int = 2) -> DataFrame:
     """Capitalised words that do not start a sentence, with their counts per document."""
-    tokens = F.split(strip("text"), r"\s+")
+    cut = paragraphs.select("doc_id", F.split(strip("text"), r"\s+").alias("_t"))
     inside = F.filter(
-        F.transform(tokens, lambda t, i: F.struct(t.alias("token"), F.get(tokens, i - 1).alias("before"))),
+        F.transform("_t", lambda t, i: F.struct(t.alias("token"), F.get("_t", i - 1).alias("before"))),
         lambda x: x["before"].isNotNull() & ~F.rlike(x["before"], F.lit(r"[.!?:]$")),
     )
     bare = F.transform(inside, lambda x: F.regexp_extract(x["token"], r"^\p{P}*(\p{Lu}\p{Ll}+)\p{P}*$", 1))
-    names = paragraphs.select("doc_id", F.explode(F.filter(bare, lambda t: t != "")).alias("name"))
+    # The filter of a plain explode would repeat the whole expression, for every token the split as well.
+    names = cut.select("doc_id", F.explode_outer(F.filter(bare, lambda t: t != "")).alias("name")).filter("name is not null")
     return names.groupBy("doc_id", "name").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
 def recurring_phrases(paragraphs: DataFrame, sizes: tuple[int, ...] = PHRASE_SIZES, least: int = 2) -> DataFrame:
     """Word sequences that a document has ``least`` times or more."""
-    words = F.transform(_words(F.col("text")), F.lower)
-
-    def grams(n: int) -> Column:
-        starts = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - (n - 1)))
-        return F.coalesce(
-            F.transform(starts, lambda i: F.array_join(F.slice("_w", i, n), " ")), F.array().cast("array<string>")
-        )
-
-    cut = paragraphs.select("doc_id", words.alias("_w"))
-    phrases = cut.select("doc_id", F.explode(F.concat(*[grams(n) for n in sizes])).alias("phrase"))
-    return phrases.groupBy("doc_id", "phrase").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return _gram_counts(paragraphs, sizes, least).select("doc_id", F.col("gram").alias("phrase"), "n")
 
 
 def maximal_phrases(documents: DataFrame, least: int = 2) -> DataFrame:
@@ -84,21 +166,21 @@ def maximal_phrases(documents: DataFrame, least: int = 2) -> DataFrame:
     suffixes, in time near its length however long its repeats are.  A text that is one word over and
     over has that word at every length as a phrase, so what it gives is quadratic in it.
     """
-    words = lambda p: F.transform(_words(p), F.lower)
-    paragraphs = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), words)
-    found = _repeats(least)(paragraphs)
+    words = lambda p: F.lower(F.array_join(_words(p), " "))
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), words), lambda p: p != "")
+    found = _repeats(least)(F.array_join(lines, "\n"))
     rows = documents.select("doc_id", F.explode_outer(found).alias("p")).filter("p is not null")
     return rows.select("doc_id", "p.phrase", "p.n")
 
 
 def _repeats(least: int):
-    """A function of ``array<array<string>>``: closed repeats with their counts."""
+    """A function of word lines: closed repeats with their counts."""
 
-    def of(paragraphs) -> list[tuple[str, int]]:
+    def of(text: str) -> list[tuple[str, int]]:
         # Words as numbers; every paragraph ends with a number of its own, so no repeat crosses it.
         names: dict[str, int] = {}
-        words = [w for p in paragraphs for w in (*p, None)]
-        s = np.array([-1 - i if w is None else names.setdefault(w, len(names)) for i, w in enumerate(words)], np.int64)
+        words = [*text.replace("\n", " \n ").split(" "), "\n"]
+        s = np.array([-1 - i if w == "\n" else names.setdefault(w, len(names)) for i, w in enumerate(words)], np.int64)
         n, step = len(s), 1
         rank = np.unique(s, return_inverse=True)[1]
         while True:
@@ -136,16 +218,19 @@ def _repeats(least: int):
                 stack.append((shared[hi], lo))
         return out
 
-    @F.pandas_udf("array<struct<phrase string, n bigint>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([of(p) for p in batch], dtype=object)
+    def of_all(texts: list[str]) -> tuple[list[str], list[int], list[int]]:
+        found = [of(t) if t else [] for t in texts]
+        return [p for f in found for p, _ in f], [n for f in found for _, n in f], list(map(len, found))
 
-    return run
+    element = pa.struct([("phrase", pa.string()), ("n", pa.int64())])
+    return F.arrow_udf(_by_slices(of_all, element), "array<struct<phrase string, n bigint>>")
 
 
 def _case_tokens(paragraphs: DataFrame, by: list[str]) -> DataFrame:
-    """Words inside sentences with the word before them: ``(*by, doc_id, index, at, word, before)``."""
+    """Words inside sentences with the word before them: ``(*by, doc_id, index, at, word, before)``.
+
+    The filter of a plain explode would repeat the expressions, for every token those of all tokens.
+    """
     cut = paragraphs.select(*by, "doc_id", "index", F.split(strip("text"), r"\s+").alias("_t")).select(
         *by,
         "doc_id",
@@ -161,7 +246,7 @@ def _case_tokens(paragraphs: DataFrame, by: list[str]) -> DataFrame:
         ),
     )
     return (
-        cut.select(*by, "doc_id", "index", F.explode(beside).alias("x"))
+        cut.select(*by, "doc_id", "index", F.explode_outer(beside).alias("x"))
         .filter("x.word <> '' and not x.stop")
         .select(*by, "doc_id", "index", "x.at", "x.word", "x.before")
     )
@@ -180,8 +265,14 @@ def corpus_names(paragraphs: DataFrame, by: list[str], least: int = 2) -> DataFr
     ``n`` against those expected from what other words do after the same words, whose rates lean to that
     of the group.
     """
-    cases = _case_tokens(paragraphs, by).select(*by, F.lower("before").alias("before"), F.lower("word").alias("word"), _is_capital("word").alias("up"))
-    uses = cases.groupBy(*by, "before", "word").agg(F.count("*").alias("n_uses"), F.count_if("up").alias("n"))
+    return _corpus_names(_case_tokens(paragraphs, by).withColumn("n", F.lit(1)), by, least)
+
+
+def _corpus_names(tokens: DataFrame, by: list[str], least: int) -> DataFrame:
+    """``corpus_names`` of tokens or of counted ones.  How each word is used after each is written once."""
+    cases = tokens.select(*by, F.lower("before").alias("before"), F.lower("word").alias("word"), "n", F.when(_is_capital("word"), F.col("n")).otherwise(0).alias("_up"))
+    uses = cases.groupBy(*by, "before", "word").agg(F.sum("n").alias("n_uses"), F.sum("_up").alias("n"))
+    uses = written(uses, "word-uses")
     total = lambda *keys: uses.groupBy(*keys).agg(F.sum("n").alias("_n"), F.sum("n_uses").alias("_uses"))
     rate = total(*by).select(*by, (F.col("_n") / F.col("_uses")).alias("_rate"))
     before = total(*by, "before").join(rate, by) if by else total("before").withColumn("_rate", total().select(F.col("_n") / F.col("_uses")).scalar())
@@ -208,12 +299,18 @@ def name_pairs(paragraphs: DataFrame, by: list[str], least: int = 2) -> DataFram
 
     ``score`` is the log-likelihood ratio of the table of both words over all words inside sentences.
     """
-    cases = _case_tokens(paragraphs, by).select(
+    return _name_pairs(_case_tokens(paragraphs, by).withColumn("n", F.lit(1)), by, least)
+
+
+def _name_pairs(tokens: DataFrame, by: list[str], least: int) -> DataFrame:
+    """``name_pairs`` of tokens or of counted ones.  The counts of pairs are written, as each use filters them otherwise."""
+    cases = tokens.select(
         *by,
         F.when(_is_capital("before"), F.col("before")).alias("first"),
         F.when(_is_capital("word"), F.col("word")).alias("second"),
+        "n",
     )
-    pairs = cases.groupBy(*by, "first", "second").agg(F.count("*").alias("n"))
+    pairs = written(cases.groupBy(*by, "first", "second").agg(F.sum("n").alias("n")), "pair-counts")
     side = lambda c, name: pairs.filter(F.col(c).isNotNull()).groupBy(*by, c).agg(F.sum("n").alias(name))
     total = pairs.groupBy(*by).agg(F.sum("n").alias("_all"))
     both = pairs.filter((F.col("n") >= least) & F.col("first").isNotNull() & F.col("second").isNotNull())
@@ -238,10 +335,14 @@ def document_names(paragraphs: DataFrame, by: list[str], least: int = 2) -> Data
     Words whose pairs are names are joined to one name as far as the pairs go on; a single word counts
     if it is a name of the corpus and not part of a longer one there.
     """
-    tokens = _case_tokens(paragraphs, by).filter(_is_capital("word"))
-    pairs = name_pairs(paragraphs, by, least).select(*by, F.col("first").alias("before"), F.col("second").alias("word"), F.lit(True).alias("_linked"))
-    singles = corpus_names(paragraphs, by, least).select(*by, F.col("name").alias("word"), F.lit(True).alias("_single"))
-    marked = tokens.join(pairs, [*by, "before", "word"], "left").join(singles, [*by, "word"], "left")
+    every = _case_tokens(paragraphs, by)
+    counted = written(every.groupBy(*by, "before", "word").agg(F.count("*").alias("n")), "word-pairs")
+    linked = _name_pairs(counted, by, least).select(*by, F.col("first").alias("before"), F.col("second").alias("word"), F.lit(True).alias("_linked"))
+    single = _corpus_names(counted, by, least).select(*by, F.col("name").alias("word"), F.lit(True).alias("_single"))
+    # Written, so Spark knows how small they are before it shuffles the tokens.
+    linked, single = written(linked, "linked-words"), written(single, "single-names")
+    tokens = every.filter(_is_capital("word"))
+    marked = tokens.join(linked, [*by, "before", "word"], "left").join(single, [*by, "word"], "left")
     # A linked token follows its first word, which may start the sentence; then it is no token itself.
     place = Window.partitionBy("doc_id", "index").orderBy("at")
     new = ~(F.coalesce("_linked", F.lit(False)) & (F.lag("at").over(place) == F.col("at") - 1))

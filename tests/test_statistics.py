@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -109,3 +110,51 @@ class Listener:
 
     def respond(self, requests, keys):
         return requests.withColumns({"raw": F.concat(F.lit("1. "), F.translate("prompt", "\n", " ")), "error": F.lit(None).cast("string")})
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def lines(spark):
+    """Ids that repeat and are null, empty and repeated lines."""
+    texts = ["a b c d. a b c d", "Don't stop don't stop", "", "a b c d a b", "x", None, "der Mann sah Anna Bell, dann sah er Anna Bell"] * 6
+    rows = [(None if i % 5 == 0 else i % 4, "en", i, t) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, lang string, index int, text string")
+
+
+@pytest.mark.parametrize("long", [10, 10**9])
+def test_grams_are_counted_by_document(spark, lines, monkeypatch, long):
+    monkeypatch.setattr(statistics, "LONG", long)
+    want = Counter()
+    for r in lines.collect():
+        words = [w.lower() for w in WORD.findall(r.text or "")]
+        want.update((r.doc_id, " ".join(words[i : i + n])) for n in (2, 3, 4) for i in range(len(words) - n + 1))
+    found = statistics.recurring_phrases(lines)
+    assert {(r.doc_id, r.phrase): r.n for r in found.collect()} == {k: n for k, n in want.items() if n >= 2}
+    if long > 10:
+        keys = regex.findall(r"hashpartitioning\(([^)]*)\)", plan_of(found))
+        assert keys and all(regex.fullmatch(r"doc_id#\d+L?, \d+", k) for k in keys), keys
+
+
+def test_common_words_make_no_difference(spark, lines, monkeypatch):
+    want = statistics.key_terms(lines, 2, 1).orderBy("doc_id", "rank").collect()
+    monkeypatch.setattr(statistics, "COMMON", 2)
+    assert statistics.key_terms(lines, 2, 1).orderBy("doc_id", "rank").collect() == want
+    assert "_salt" not in plan_of(statistics.key_terms(lines, 2, 1))
+
+
+def test_words_of_texts_are_taken_once(spark, lines):
+    assert plan_of(statistics.name_candidates(lines)).count("regexp_extract") == 1
+    for counted in (statistics.name_pairs, statistics.corpus_names):
+        assert "regexp_extract" not in plan_of(counted(lines, ["lang"]))
+
+
+def test_few_texts_are_objects_at_a_time(monkeypatch):
+    monkeypatch.setattr(statistics, "SLICE", 8)
+    element = pa.struct([("gram", pa.string()), ("n", pa.int64())])
+    of = lambda texts: (texts, [len(t) for t in texts], [1] * len(texts))
+    texts = ["abc", "de", None, "f" * 20, "", "gh", "i" * 7]
+    got = list(statistics._by_slices(of, element)(iter([pa.array(texts)])))
+    assert len(got) > 2 and [x[0]["gram"] for a in got for x in a.to_pylist()] == [t or "" for t in texts]
