@@ -119,3 +119,31 @@ def test_both_ways_of_counting_agree(order):
     assert (M.clipped_matches(units, sizes, order) == M._matches_by_order(units.astype(int), sizes, order)).all()
     wide = units.astype(int) + 5000 * (1 + len(units) * (units % 2))
     assert (M.clipped_matches(wide, sizes, order) == M._matches_by_order(wide, sizes, order)).all()
+
+
+def test_both_scores_cut_a_pair_once(spark):
+    """The texts of a pair go to Python, are decoded and are classified once for both scores."""
+    plan = M.segment_scores(frame(spark, []), ["seg_id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("count(hyp#") == 1
+
+
+def test_tokens_are_numbered_without_strings():
+    """Equal tokens have equal numbers, also those longer than a machine word and those of many characters."""
+    rng = random.Random(4)
+    few, many = "abc", "".join(map(chr, [*range(0x4E00, 0x5100), 0x1F600, 0x10FFFF]))
+    for alphabet in (few, many, few + " .,3-&\n" + "b" * 9):
+        texts = [" ".join("".join(rng.choices(alphabet, k=rng.choice((1, 2, 9, 10, 40)))) for _ in range(30)) for _ in range(20)]
+        texts += ["", " ", "\x00 \x00\x00", "a&amp;b -\nc <skipped>"]
+        number, sizes = grams.number_13a(grams.Texts(texts))
+        tokens, want = grams.split_13a(texts)
+        assert sizes.tolist() == want.tolist() and len(number) == len(tokens)
+        assert len(set(zip(number.tolist(), tokens))) == len(set(tokens)) == len(set(number.tolist()))
+
+
+def test_slices_of_the_kernel_cover_all_rows(spark, monkeypatch):
+    rows = [(k, h, None if k % 5 == 0 else r) for k, h, r in random_pairs(60, 5)]
+    want = M.segment_scores(frame(spark, rows), ["seg_id"]).orderBy("seg_id").collect()
+    monkeypatch.setattr(M, "SLICE", 40)
+    parts = list(M._slices(*[M.pc.fill_null(M.pa.array([r[k] for r in rows], M.pa.string()), "") for k in (1, 2)]))
+    assert len(parts) > 10 and [k for p in parts for k in range(p.start, p.stop)] == list(range(len(rows)))
+    assert M.segment_scores(frame(spark, rows), ["seg_id"]).orderBy("seg_id").collect() == want

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -624,3 +626,38 @@ def test_answers_leave_in_pieces(spark, monkeypatch, piece):
         for r in got:
             want = (None, "no prompt") if r.prompt is None else (r.prompt.upper(), None)
             assert (r.raw, r.error) == want
+
+
+def test_batches_are_cut_once_and_alone(spark):
+    """A document is split once, and no batch carries the paragraphs of the others."""
+    docs = spark.createDataFrame([(1, "a\n\nb\nc\nd"), (2, " \n"), (3, None), (4, "e")], "doc_id long, text string")
+    batches = batching.batch_documents(docs, 3)
+    got = [(r.doc_id, r.batch_id, [tuple(i) for i in r["items"]]) for r in batches.orderBy("doc_id", "batch_id").collect()]
+    assert got == [
+        (1, 0, [(0, 0, "a"), (1, 2, "b"), (2, 3, "c")]), (1, 1, [(3, 4, "d")]), (4, 0, [(0, 0, "e")])
+    ]
+    assert dict(batches.dtypes)["batch_id"] == "int"
+    text = batches._jdf.queryExecution().executedPlan().toString()
+    assert text.count("split(") == 1
+    assert re.search(r"posexplode.*, \[doc_id#\d+L\], true", text)
+    kept = spark.createDataFrame([(1, None), (2, [])], "doc_id long, text array<struct<index:int,text:string>>")
+    assert batching.batch_documents(kept, 3, kept=F.col("text")).count() == 0
+
+
+def test_lines_of_a_reply_are_stripped_as_a_whole_reply_is(spark):
+    space = "\t\x0b\x0c\r\x1c\x85\xa0 　 "
+    texts = ["", " ", "\n\n", f"{space}Translation:{space}\n1. a{space}\n{space}\n2.{space}b{space}", "output: \n 1. x\n\n y \n", f"1. a{space}"]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    for plain, quick in [
+        (F.array_join(F.filter(F.transform(F.split(replies.drop_lead_in(F.col("t")), "\n"), strip), lambda x: x != ""), "\n"),
+         replies.clean_reply(F.col("t"))),
+    ]:
+        assert df.filter(~plain.eqNullSafe(quick)).count() == 0
+
+
+def test_only_words_of_the_glossary_are_looked_up(spark):
+    df = spark.createDataFrame([("the cat of  the\tthe of",), ("",), (None,)], "t string")
+    got = [r[0] for r in df.select(glossary_column(F.col("t"), {"the": "le", "of": None})).collect()]
+    assert got == ["le cat of  the\tthe of", "", None]
+    plan = df.select(glossary_column(F.col("t"), {str(k): "x" for k in range(20)}))._jdf.queryExecution().optimizedPlan().toString()
+    assert " INSET " in plan or " IN (" in plan
