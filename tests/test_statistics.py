@@ -1,5 +1,6 @@
 """Statistics of briefs and reviews, against plain Python."""
 
+import math
 from collections import Counter
 
 import pyarrow as pa
@@ -7,7 +8,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from glossweave.operators import segmentation, statistics
+from glossweave.operators import segmentation, statistics, words
 
 WORD = regex.compile(statistics.WORD)
 
@@ -158,3 +159,96 @@ def test_few_texts_are_objects_at_a_time(monkeypatch):
     texts = ["abc", "de", None, "f" * 20, "", "gh", "i" * 7]
     got = list(statistics._by_slices(of, element)(iter([pa.array(texts)])))
     assert len(got) > 2 and [x[0]["gram"] for a in got for x in a.to_pylist()] == [t or "" for t in texts]
+
+
+#: Spaces of all kinds, ends of lines, marks, letters beyond Python's or Java's tables, cases that depend on neighbours.
+ODD = ["a\u00a0b c", "\u00a0 Anna Bell \u2003", "er sah\u2028 Anna\u2028 Bell\u2029", "so\x1cAnna \x1d sah\x0bBell\x85 x", "ab-cd--ef 'gh' i'j’k- l-", "ΟΔΟΣ ΟΔΟΣ.ΑΒ Σ", "İstanbul IĞDIR ẞ",
+       "x1y2 «Größe», (\U0001d400\U0001d401) \U00020000", "a\u0870b \U00010d50c \U00011f04", "e\u0301tait na\u00efve", "end. (Next) end.) Next end!» Then? \"Now\" no: Yes . Alone", "", "  ", None, "\t\r", "Ab aB AB ab Ǆa ǅa ʰa Aʰ", "don't Anna's O'Neil"]
+
+
+def test_words_are_those_of_the_regular_expressions(spark, monkeypatch):
+    """Words and cases as the JVM finds them text by text, however the texts are dealt out."""
+    own = spark.createDataFrame(list(enumerate(ODD * 3)), "doc_id long, text string").repartition(2)
+    c = words.classes(spark)
+    want = {r.doc_id: r.words for r in statistics._word_lines(own).collect()}
+    texts = pa.array(ODD * 3)
+    found = words.words(words.tokens(texts), c)
+    names, got = found.values.to_pylist(), {}
+    for row, code in zip(found.row.tolist(), found.code.tolist()):
+        got.setdefault(row, []).append(names[code])
+    assert {k: " ".join(v) for k, v in got.items()} == want
+
+    bare, stop = r"^\p{P}*(\p{L}+)\p{P}*$", r"[.!?:]\p{P}*$"
+    tokens = own.select("doc_id", F.split(statistics.strip("text"), r"\s+").alias("t")).select("doc_id", F.posexplode("t").alias("at", "t"))
+    rows = tokens.select("doc_id", "at", F.regexp_extract("t", bare, 1).alias("w"), F.rlike("t", F.lit(stop)).alias("stop"), F.rlike(F.regexp_extract("t", bare, 1), F.lit(statistics.CAPITALISED)).alias("up")).collect()
+    by = {(r.doc_id, r.at): r for r in rows}
+    want = Counter((k, at, r.w, by[k, at - 1].w, r.up) for (k, at), r in by.items() if at and r.w and not by[k, at - 1].stop)
+    stripped = own.select("doc_id", statistics.strip("text").alias("text")).orderBy("doc_id").toArrow()
+    row, at, word, before, forms, capital = statistics._cases(stripped, c)
+    forms = forms.to_pylist()
+    assert Counter((i, a, forms[w], forms[b], bool(capital[w])) for i, a, w, b in zip(row.tolist(), at.tolist(), word.tolist(), before.tolist())) == want
+
+    monkeypatch.setattr(words, "SIZE", 16)
+    batches = pa.table({"k": [1, 1, 1, 2, 2, None, None, 3] * 3, "text": ["some words"] * 24}).to_batches(5)
+    cut = list(words.chunks(iter(batches), "text", "k"))
+    assert len(cut) > 3 and pa.concat_tables(cut).equals(pa.Table.from_batches(batches))
+    assert all(a.column("k")[-1] != b.column("k")[0] for a, b in zip(cut, cut[1:]))
+
+
+def test_most_frequent_phrases_of_a_row(spark, monkeypatch):
+    texts = ["a b c a b c a b", "x y " * 3000, "a a a a a a", "the line again and again\n" * 4 + "line again", "one", None, "u v w " * 30 + "\n" + "v w u " * 5]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    every = {}
+    for r in statistics.maximal_phrases(docs).collect():
+        every.setdefault(r.doc_id, []).append((-r.n, -len(r.phrase), r.phrase))
+    for k, text in enumerate(texts):
+        if k != 1:
+            assert {p: -n for n, _, p in every.get(k, [])} == closed_phrases(text)
+    for free in (statistics.FREE, 0):
+        monkeypatch.setattr(statistics, "FREE", free)
+        monkeypatch.setattr(statistics, "DEEP", 0 if free == 0 else 1)
+        got = {}
+        for r in statistics.maximal_phrases(docs, most=3).collect():
+            got.setdefault(r.doc_id, []).append((-r.n, -len(r.phrase), r.phrase))
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[:3] for k, v in every.items()}
+
+
+def test_key_terms_of_repeated_ids(spark, lines, monkeypatch):
+    """Against plain counts, with few hashes and few terms at a time; ids come again and are null."""
+    monkeypatch.setattr(statistics, "HASHES", 4)
+    monkeypatch.setattr(statistics, "TERMS", 3)
+    monkeypatch.setattr(statistics, "COMMON", 2)
+    more = spark.createDataFrame([(100 + i, "en", 0, f"word{chr(97 + i)} common other other x{chr(97 + i % 3)}") for i in range(9)], lines.schema)
+    own = lines.unionByName(more)
+    counts = {}
+    for r in own.collect():
+        counts.setdefault(r.doc_id, Counter()).update(w.lower() for w in WORD.findall(r.text or ""))
+    df = Counter(t for c in counts.values() for t in c)
+    total = len([k for k in counts if k is not None])
+    want = {}
+    for k, c in counts.items():
+        best = sorted((-round(n * math.log(total / df[t]), 6), t, n) for t, n in c.items())[:3]
+        want[k] = [(t, n, df[t]) for _, t, n in best]
+    got = {}
+    for r in statistics.key_terms(own, 3, 1).orderBy("doc_id", "rank").collect():
+        got.setdefault(r.doc_id, []).append((r.term, r.n, r.n_docs))
+    assert got == {k: v for k, v in want.items() if v}
+
+
+def test_only_what_may_count_travels(spark, monkeypatch):
+    """Pairs are counted for words that may be names, and terms are joined that may be among the best."""
+    tables = {}
+
+    def kept(frame, name, of=statistics.written):
+        tables[name] = of(frame, name)
+        return tables[name]
+
+    monkeypatch.setattr(statistics, "written", kept)
+    texts = [("en", "we met Anna Bell by the old mill and then the river took all of the small boats we had") for _ in range(9)]
+    own = paragraphs(spark, texts)
+    assert {r.name for r in statistics.document_names(own, ["lang"]).collect()} == {"Anna Bell"}
+    assert {r.word for r in tables["word-pairs"].collect()} == {"Anna", "Bell"}
+    rare = paragraphs(spark, [("en", f"common words of all and rare{chr(97 + i)} rare{chr(97 + i)}") for i in range(20)])
+    counted = statistics._document_counts(statistics._term_runs(rare, 3)).groupBy("term").agg(F.sum("n_docs").alias("n_docs"))
+    likely = statistics._likely_terms(statistics._term_runs(rare, 3), counted, 20, 1)
+    assert sorted(r.term for r in likely.collect()) == sorted(f"rare{chr(97 + i)}" for i in range(20))
