@@ -130,7 +130,10 @@ def _types(frame: DataFrame, columns: list[str]) -> str:
 
 
 def _term_runs(paragraphs: DataFrame, least_length: int) -> DataFrame:
-    """``(doc_id, terms)``: words with their counts, for rows of a document that a task reads side by side."""
+    """``(doc_id, terms, counts)``: words and their counts, for rows of a document that a task reads side by side.
+
+    Words are one string, with spaces between, and counts bytes, as Spark moves few large values faster.
+    """
     c = words.classes(paragraphs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,32 +144,43 @@ def _term_runs(paragraphs: DataFrame, least_length: int) -> DataFrame:
             base = len(found.values) + 1
             keys, counts = np.unique(row[found.row[long]] * base + found.code[long], return_counts=True)
             ends = np.searchsorted(keys, np.arange(row[-1] + 2) * base)
-            pairs = pa.StructArray.from_arrays(
-                [found.values.take(pa.array(keys % base, pa.int64())), pa.array(counts, pa.int64())], ["term", "n"]
-            )
+            every = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found.values.take(pa.array(keys % base, pa.int64())))
+            places, numbers = pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(counts.astype(np.int32))
             first = pa.array(np.flatnonzero(np.diff(row, prepend=-1)))
             own = table.column("doc_id").combine_chunks().take(first)
-            yield pa.RecordBatch.from_arrays([own, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], ["doc_id", "terms"])
+            bytes_ = pa.Array.from_buffers(pa.binary(), len(own), [None, places, numbers])
+            yield pa.RecordBatch.from_arrays([own, pc.binary_join(every, " "), bytes_], ["doc_id", "terms", "counts"])
 
-    schema = f"{_types(paragraphs, ['doc_id'])}terms array<struct<term string, n bigint>>"
+    schema = f"{_types(paragraphs, ['doc_id'])}terms string, counts binary"
     return paragraphs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, pa.Array, np.ndarray]]:
     """Rows of ``_term_runs``, few at a time: their ids, and of their terms the row, the term and the count."""
     for batch in batches:
-        ends = np.cumsum(pc.list_value_length(batch.column("terms")).to_numpy(zero_copy_only=False))
-        start = 0
+        sizes = pc.binary_length(batch.column("counts")).to_numpy(zero_copy_only=False) // 4
+        batch, sizes = batch.filter(pa.array(sizes > 0)), sizes[sizes > 0]
+        ends, start = np.cumsum(sizes), 0
         while start < len(batch):
             past = ends[start - 1] if start else 0
             end = max(start + 1, int(np.searchsorted(ends, past + TERMS, "right")))
             part = batch.slice(start, end - start)
-            rows = np.repeat(np.arange(len(part)), np.diff(ends[start:end], prepend=past))
-            flat = part.column("terms").flatten()
-            yield part.column("doc_id"), rows, flat.field("term").dictionary_encode(), flat.field("n").to_numpy(zero_copy_only=False)
+            flat = pc.split_pattern(part.column("terms"), " ").flatten().dictionary_encode()
+            n = np.frombuffer(b"".join(part.column("counts").to_pylist()), np.int32).astype(np.int64)
+            yield part.column("doc_id"), np.repeat(np.arange(len(part)), sizes[start:end]), flat, n
             start = end
 
 
+def _term_rows(runs: DataFrame) -> DataFrame:
+    """``(doc_id, term, n)`` of ``_term_runs``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_id, row, term, n in _pieces(batches):
+            yield pa.RecordBatch.from_arrays([doc_id.take(pa.array(row)), term.dictionary_decode(), pa.array(n)], ["doc_id", "term", "n"])
+
+    return runs.mapInArrow(run, f"{_types(runs, ['doc_id'])}term string, n bigint")
+
+
 def _document_counts(runs: DataFrame) -> DataFrame:
     """``(term, n_docs)``: rows that have each term, as tasks count them, so not all rows of terms travel."""
 
@@ -175,7 +189,7 @@ def _document_counts(runs: DataFrame) -> DataFrame:
             n = np.bincount(term.indices.to_numpy(zero_copy_only=False), minlength=len(term.dictionary))
             yield pa.RecordBatch.from_arrays([term.dictionary, pa.array(n, pa.int64())], ["term", "n_docs"])
 
-    return runs.select("doc_id", "terms").mapInArrow(run, "term string, n_docs bigint")
+    return runs.mapInArrow(run, "term string, n_docs bigint")
 
 
 def _likely_terms(runs: DataFrame, df: DataFrame, total: int, k: int) -> DataFrame:
@@ -209,7 +223,7 @@ def _likely_terms(runs: DataFrame, df: DataFrame, total: int, k: int) -> DataFra
             taken = [doc_id.take(rows), term.dictionary.take(term.indices.take(kept)), pa.array(n).take(kept)]
             yield pa.RecordBatch.from_arrays(taken, ["doc_id", "term", "n"])
 
-    return runs.select("doc_id", "terms").mapInArrow(run, f"{_types(runs, ['doc_id'])}term string, n bigint")
+    return runs.mapInArrow(run, f"{_types(runs, ['doc_id'])}term string, n bigint")
 
 
 def key_terms(paragraphs: DataFrame, k: int = 10, least_length: int = 3) -> DataFrame:
@@ -226,7 +240,7 @@ def key_terms(paragraphs: DataFrame, k: int = 10, least_length: int = 3) -> Data
     once = anti_join_null_safe(runs, again, ["doc_id"]) if some else runs
     counts = _document_counts(once)
     if some:
-        parts = join_null_safe(runs, again, ["doc_id"], "inner").select("doc_id", F.inline("terms"))
+        parts = _term_rows(join_null_safe(runs, again, ["doc_id"], "inner"))
         parts = written(parts.groupBy("doc_id", "term").agg(F.sum("n").alias("n")), "term-sums")
         counts = counts.unionByName(parts.select("term", F.lit(1).cast("bigint").alias("n_docs")))
     df = written(counts.groupBy("term").agg(F.sum("n_docs").alias("n_docs")), "document-counts")
